@@ -1,7 +1,7 @@
 """Quality rules as weak supervision (operator 2).
 
 Each rule votes good (1), bad (-1) or abstains (0). Expectation-maximisation over the counts of vote patterns, of which there
-are at most 3 to the number of rules, estimates how each rule votes on good and on bad documents; a document is kept if its
+are at most 3 to the number of rules, estimates how each rule votes on good documents and on those that are bad in some way; a document is kept if its
 posterior probability of being good is at least a half. The counts cover all documents; no labels are used.
 """
 
@@ -27,9 +27,9 @@ STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 RULES = (
     ("length", lambda m: m["n_words"] < 20, lambda m: m["n_words"] >= 50),
     ("symbols", lambda m: m["symbols"] > 0.1, lambda m: m["symbols"] <= 0.02),
-    ("repeats", lambda m: m["repeats"] > 0.2, lambda m: m["n_words"] >= 50 and m["repeats"] < 0.05),
-    ("lines", lambda m: m["dup_lines"] > 0.3, lambda m: m["n_lines"] >= 3 and m["dup_lines"] <= 0.1),
-    ("letters", lambda m: m["letters"] < 0.6, lambda m: m["letters"] >= 0.75),
+    ("repeats", lambda m: m["repeats"] > 0.3, lambda m: m["n_words"] >= 50 and m["repeats"] < 0.05),
+    ("lines", lambda m: m["dup_lines"] > 0.5, lambda m: m["n_lines"] >= 3 and m["dup_lines"] <= 0.1),
+    ("letters", lambda m: m["letters"] < 0.7, lambda m: m["letters"] >= 0.9),
     ("shouting", lambda m: m["upper"] > 0.4, lambda m: m["upper"] < 0.15),
     ("word_length", lambda m: not 2.5 <= m["mean"] <= 12, lambda m: 4 <= m["mean"] <= 7),
     ("richness", lambda m: m["n_words"] >= 30 and m["richness"] < 3, lambda m: m["richness"] >= 6),
@@ -115,44 +115,50 @@ def annotate(df: DataFrame, text: str = "text", drop_text: bool = False) -> Data
     return df.mapInArrow(run, shape)
 
 
-#: How a rule is thought to vote before any data: share of bad votes among its votes, on good and on bad documents, and how
-#: many documents of each kind that belief is worth.
-BELIEF_GOOD, BELIEF_BAD, WORTH, GOOD_SHARE = 0.03, 0.5, 20.0, 0.85
+#: Beliefs before any data: share of good documents, chance that a rule votes bad (where it votes) on good documents, on
+#: documents that are bad in its own way, and on those bad in another way; and how many documents each belief is worth.
+GOOD_SHARE, ON_GOOD, ON_OWN, ON_OTHER, WORTH = 0.85, 0.02, 0.9, 0.1, 20.0
 
 
-def fit(patterns: dict[str, int], rounds: int = 200, tolerance: float = 1e-9) -> tuple[float, np.ndarray]:
-    """Share of good documents, and for each rule the chance of a bad vote on good and on bad documents, by EM."""
+def _seen(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    bad = np.array([[x == "b" for x in p] for p in names], float).reshape(len(names), len(RULES))
+    return bad, np.array([[x != "a" for x in p] for p in names], float).reshape(len(names), len(RULES))
+
+
+def _posterior(bad: np.ndarray, seen: np.ndarray, share: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    log = np.log(share) + bad @ np.log(rate) + (seen - bad) @ np.log(1 - rate)
+    like = np.exp(log - log.max(1, keepdims=True))
+    return like / like.sum(1, keepdims=True)
+
+
+def fit(patterns: dict[str, int], rounds: int = 500, tolerance: float = 1e-9) -> tuple[np.ndarray, np.ndarray]:
+    """By EM over pattern counts: shares of the classes (good first, then bad in the way that each rule looks for, as what is
+    bad in one way is often fine in the others), and the chance of a bad vote of each rule in each class."""
     k = len(RULES)
     names = sorted(patterns)
-    count = np.array([patterns[p] for p in names], float)
-    bad = np.array([[x == "b" for x in p] for p in names], float).reshape(len(names), k)
-    seen = np.array([[x != "a" for x in p] for p in names], float).reshape(len(names), k)
-    share, rate = GOOD_SHARE, np.tile([BELIEF_GOOD, BELIEF_BAD], (k, 1))
+    count = np.array([patterns[p] for p in names], float)[:, None]
+    bad, seen = _seen(names)
+    start = np.concatenate([np.full((k, 1), ON_GOOD), np.where(np.eye(k) == 1, ON_OWN, ON_OTHER)], 1)
+    first = np.array([GOOD_SHARE] + [(1 - GOOD_SHARE) / k] * k)
+    share, rate = first, start
     for _ in range(rounds):
-        good = _posterior(bad, seen, share, rate)
-        w = np.stack([good, 1 - good]) * count
-        new = (w @ bad + WORTH * np.array([[BELIEF_GOOD], [BELIEF_BAD]])) / (w @ seen + WORTH)
-        new_share = (w[0].sum() + WORTH * GOOD_SHARE) / (count.sum() + WORTH)
-        moved = max(abs(new_share - share), float(np.abs(new.T - rate).max()))
-        share, rate = new_share, new.T
+        w = _posterior(bad, seen, share, rate) * count
+        new = (bad.T @ w + WORTH * start) / (seen.T @ w + WORTH)
+        new_share = (w.sum(0) + WORTH * first) / (count.sum() + WORTH)
+        moved = max(float(np.abs(new_share - share).max()), float(np.abs(new - rate).max()))
+        share, rate = new_share, new
         if moved < tolerance:
             break
-    return float(share), rate
-
-
-def _posterior(bad: np.ndarray, seen: np.ndarray, share: float, rate: np.ndarray) -> np.ndarray:
-    log = [math.log(s) + bad @ np.log(rate[:, c]) + (seen - bad) @ np.log(1 - rate[:, c]) for c, s in ((0, share), (1, 1 - share))]
-    return 1 / (1 + np.exp(np.clip(log[1] - log[0], -700, 700)))
+    return share, rate
 
 
 def posteriors(patterns: dict[str, int]) -> dict[str, float]:
-    share, rate = fit(patterns)
+    """Probability that a document with these votes is good."""
     names = sorted(patterns)
     if not names:
         return {}
-    bad = np.array([[x == "b" for x in p] for p in names], float)
-    seen = np.array([[x != "a" for x in p] for p in names], float)
-    return dict(zip(names, map(float, _posterior(bad, seen, share, rate)), strict=True))
+    good = _posterior(*_seen(names), *fit(patterns))[:, 0]
+    return dict(zip(names, map(float, good), strict=True))
 
 
 def _learn(voted: DataFrame) -> dict[str, float]:

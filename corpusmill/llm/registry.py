@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from corpusmill.llm import bpe, chat, mixing, quality, sharding, topk
+from corpusmill.llm import bpe, chat, mixing, neardup, pii, quality, secrets, sharding, topk, urls
 
-MODULES = (quality, sharding, bpe, chat, topk, mixing)
+MODULES = (neardup, quality, urls, sharding, bpe, secrets, chat, topk, mixing, pii)
 
 
 def queries() -> dict:
