@@ -51,6 +51,6 @@ def blend(vectors: dict[str, Column], weights: dict[str, float], dims: int) -> C
     for layer, v in vectors.items():
         w = float(weights.get(layer, 1.0 / n))
         there = v.isNotNull()
-        sum_ = F.when(there, F.zip_with(sum_, v, lambda x, y, w=w: x + y.cast("double") * w)).otherwise(sum_)
+        sum_ = F.when(there, F.zip_with(sum_, scale(v, w), lambda x, y: x + y)).otherwise(sum_)
         total = total + F.when(there, w).otherwise(0.0)
     return normalize(F.when(total > 0, F.transform(sum_, lambda x: x / F.nullif(total, F.lit(0.0)))).otherwise(sum_))

@@ -47,7 +47,7 @@ def merge_run(corpus: dict[str, DataFrame], run: dict[str, DataFrame], run_id: s
     for table, key in (("chunk_features", ["chunk_id", "feature_name"]), ("chunk_vectors", ["chunk_id", "layer"])):
         source = {"chunk_features": "_output_features", "chunk_vectors": "_output_vectors"}[table]
         if source in run:
-            new = schemas.align(run[source], table)
+            new = schemas.align(run[source], table).dropDuplicates(key)  # equal ids are equal contents
             out[table] = corpus[table].join(new.select(*key), key, "left_anti").unionByName(new)
     if "_output_relations" in run:
         out["chunk_relations"] = insert_ignore(corpus["chunk_relations"], schemas.align(run["_output_relations"], "chunk_relations"), ["from_chunk_id", "to_chunk_id", "relation_type"], "chunk_relations", ["weight"])

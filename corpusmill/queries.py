@@ -121,7 +121,7 @@ def _(spark, d):
 
 
 @query("aggregate_groups", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue,
-max(l_shipdate)::VARCHAR[1:10] AS last_ship, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2""".replace("max(l_shipdate)::VARCHAR[1:10]", "strftime(max(l_shipdate), '%Y-%m-%d')"))
+strftime(max(l_shipdate), '%Y-%m-%d') AS last_ship, count(DISTINCT l_suppkey) AS suppliers FROM lineitem GROUP BY 1, 2""")
 def _(spark, d):
     return steps.aggregate(
         read(spark, d, "lineitem"), group_by=["l_returnflag", "l_linestatus"],
@@ -186,10 +186,11 @@ def _(spark, d):
     return steps.merge([x.select("doc_id", F.lit(k).alias("branch")) for k, x in b.items()])
 
 
-@query("diff_steps", """WITH a AS (SELECT doc_id FROM documents WHERE n_chars > 500), b AS (SELECT doc_id FROM documents WHERE lang = 'en')
-SELECT (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) AS rows_lost, (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) AS rows_gained,
-CASE WHEN rows_after < rows_before THEN 'reduction' WHEN rows_after > rows_before THEN 'expansion' ELSE 'transformation' END AS delta_type,
-round(1 - rows_after / rows_before, 6) AS delta_score, round((SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) / (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)), 6) AS jaccard_index""")
+@query("diff_steps", """WITH a AS (SELECT doc_id FROM documents WHERE n_chars > 500), b AS (SELECT doc_id FROM documents WHERE lang = 'en'),
+c AS (SELECT (SELECT count(*) FROM a) AS rows_before, (SELECT count(*) FROM b) AS rows_after, (SELECT count(*) FROM a ANTI JOIN b USING (doc_id)) AS rows_lost, (SELECT count(*) FROM b ANTI JOIN a USING (doc_id)) AS rows_gained,
+(SELECT count(*) FROM a SEMI JOIN b USING (doc_id)) AS n_both, (SELECT count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)) AS n_all)
+SELECT rows_before, rows_after, rows_lost, rows_gained, CASE WHEN rows_after < rows_before THEN 'reduction' WHEN rows_after > rows_before THEN 'expansion' ELSE 'transformation' END AS delta_type,
+round(1 - rows_after / rows_before, 6) AS delta_score, round(n_both / n_all, 6) AS jaccard_index FROM c""")
 def _(spark, d):
     x = read(spark, d, "documents")
     return steps.diff(x.where("n_chars > 500"), x.where("lang = 'en'"), "doc_id").withColumn("delta_score", F.round("delta_score", 6)).withColumn("jaccard_index", F.round("jaccard_index", 6))
@@ -202,8 +203,6 @@ def _features(kind: str) -> None:
     over = "(SELECT page_id AS id, html AS content, 0::BIGINT AS level, url AS section_path FROM pages)" if kind in ("html", "javascript", "docx") else "(SELECT doc_id AS id, text AS content FROM documents)"
     cols = ", ".join(f"{_rounded(e, n)} AS {n}" for n, e in ft.features(kind, ft.DUCKDB).items())
     sql = f"SELECT id, {cols} FROM {over} WHERE length(content) > {ft.MIN_LENGTH[kind]}"
-    if kind == "pdf":
-        sql = sql.replace("lower(content)", "lower(content)")
 
     @query(f"features_{kind}", sql)
     def run(spark, d):
@@ -594,7 +593,7 @@ def _(spark, d):
     return _sparse(vectorize.graph_embed(v, edges, ("follows",), dims), "chunk_id")
 
 
-@query("task_fifo", "SELECT event_type AS zone, min(event_id) AS id FROM events WHERE (ts, event_id) IN (SELECT (min(ts), arg_min(event_id, (ts, event_id))) FROM events GROUP BY event_type) GROUP BY event_type".replace("WHERE (ts, event_id) IN (SELECT (min(ts), arg_min(event_id, (ts, event_id))) FROM events GROUP BY event_type) ", "WHERE event_id IN (SELECT arg_min(event_id, (ts, event_id)) FROM events GROUP BY event_type) "))
+@query("task_fifo", "SELECT event_type AS zone, arg_min(event_id, (ts, event_id)) AS id FROM events GROUP BY event_type")
 def _(spark, d):
     return metrics.fifo(read(spark, d, "events").select(F.col("event_type").alias("zone"), "ts", F.col("event_id").alias("id")), "zone", ["ts", "id"]).select("zone", "id")
 
