@@ -26,8 +26,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts of Latin-1 alone, with the classes written out, for the faster engine.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Remembered pieces, and the longest piece that is remembered.
-REMEMBER, LONGEST = 600_000, 64
+#: Remembered pieces and verdicts on pairs, and the longest piece that is remembered. A task forgets them at its end, as the
+#: process that ran it may be kept for other work.
+REMEMBER, REMEMBER_PAIRS, LONGEST = 250_000, 500_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -113,7 +114,7 @@ class Codec:
                 pair = before << 20 | token
                 ok = agree.get(pair)
                 if ok is None:
-                    if len(agree) > 2_000_000:
+                    if len(agree) > REMEMBER_PAIRS:
                         agree.clear()
                     ok = agree[pair] = compatible(before, token)
                 if not ok:
@@ -219,6 +220,13 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(spec.value)
+        try:
+            yield from encoded(own, batches)
+        finally:
+            own.known.clear()
+            own.agree.clear()
+
+    def encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, ids_hash, text_hash, all_ids, all_texts = [], [], [], [], []
             for t in batch.column(1):

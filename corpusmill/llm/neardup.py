@@ -30,8 +30,10 @@ _ODD = _RNG.integers(0, 2**63, N, np.uint64) | np.uint64(1)
 
 
 class _Words(dict):
+    """Hashes of words, remembered within a bound; a task forgets them at its end."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -75,6 +77,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sizes.append(len(own))
             keys.append(bands(own) if len(own) else None)
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "grams_id", "text_id", "n_grams", "bands"])
+    _WORDS.clear()
 
 
 def components(pairs: DataFrame) -> DataFrame:
@@ -177,6 +180,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cols = [b.column(j) for j in range(b.num_columns) if j != i]
         names = [n for n in b.schema.names if n != "_text"]
         yield pa.RecordBatch.from_arrays([*cols, pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in own], pa.binary()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], [*names, "is_id", "grams"])
+    _WORDS.clear()
 
 
 def join_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
