@@ -168,9 +168,21 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("_loss").cast("long").alias("loss_chars"),
         F.sha2("_loss", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
-        "loss_spans",
     )
 
 
 QUERIES = {"op7_chat_format": op7}
-ORACLES: dict[str, str] = {}
+def _oracle() -> str:
+    escaped = "replace({0}, '\\', '\\\\')"
+    for c in CONTROLS:
+        escaped = f"replace({escaped}, '{c}', '{c[0]}\\{c[1:]}')"
+    size = " + ".join([*(f"length({escaped.format(c)})" for c in ("role", "text")), str(len(OPEN + MIDDLE + CLOSE))])
+    said = "</s>[INST] ok [/INST]"
+    return f"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{said}'), (-7, 1, 'assistant', '{said}'))
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+(sum({size}) + count(*) - 1)::BIGINT AS formatted_chars FROM t GROUP BY conv_id"""
+
+
+ORACLES = {"op7_chat_format": _oracle()}

@@ -43,7 +43,7 @@ def _cells(source: Column, size: Column, key: Column) -> list[Column]:
     return [
         F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_src"),
         (bits * 16 + top).cast("int").alias("_class"),
-        F.pmod(F.xxhash64(key, size), F.lit(PARTS)).cast("int").alias("_part"),
+        (F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), size)), 1, 4), 16, 10).cast("int") % PARTS).alias("_part"),
     ]
 
 
@@ -94,4 +94,20 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op9_systematic_mix": op9}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    # Shares by weight, capped in the order of how soon a source reaches its cap; ranks by size class, part, size and id.
+    "op9_systematic_mix": """
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source),
+w AS (SELECT source, words, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+o AS (SELECT *, (sum(words) OVER () - coalesce(sum(3 * words) OVER a, 0))::BIGINT AS rest, sum(w) OVER (ORDER BY 3 * words::DOUBLE / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open
+      FROM w WINDOW a AS (ORDER BY 3 * words::DOUBLE / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+c AS (SELECT *, rest * w > 3 * words * open AS capped FROM o),
+f AS (SELECT coalesce(arg_min(rest, 3 * words::DOUBLE / w) FILTER (NOT capped), 0) AS rest, coalesce(max(open) FILTER (NOT capped), 1) AS open FROM c),
+t AS (SELECT source, words, CASE WHEN capped THEN 3.0::DOUBLE * words ELSE (f.rest * w)::DOUBLE / f.open END AS target,
+      CASE WHEN words = 0 THEN 0 WHEN capped THEN 3 ELSE (f.rest * w)::DOUBLE / (f.open * words) END AS e,
+      ('0x' || substr(md5('17:' || coalesce('s' || source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM c, f),
+k AS (SELECT *, bit_length(bin(size)) // 8 AS bits, ('0x' || substr(md5(doc_id || ':' || size), 1, 4))::BIGINT % 64 AS part FROM d),
+r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bits * 16 + CASE WHEN bits > 4 THEN (size >> (bits - 5)) & 15 ELSE size END, part, size, doc_id) - 1 AS rank FROM k)
+SELECT doc_id, size, words AS source_size, target, ((floor((rank + 1) * e + u) - floor(rank * e + u)) * size)::BIGINT AS taken FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source"""
+}

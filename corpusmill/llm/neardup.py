@@ -242,4 +242,18 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op1_ngram_jaccard": op1}
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    # Every pair of texts with a 5-gram in common, exactly; what hangs together by a recursive closure.
+    "op1_ngram_jaccard": """
+WITH RECURSIVE t AS MATERIALIZED (SELECT text, min(doc_id) AS id FROM documents WHERE text IS NOT NULL GROUP BY text),
+w AS (SELECT id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS w FROM t),
+g AS MATERIALIZED (SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+n AS (SELECT id, count(*) AS n FROM g GROUP BY id),
+p AS (SELECT a.id AS a, b.id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.id <> b.id GROUP BY ALL),
+l AS MATERIALIZED (SELECT a, b, k = x.n AND k = y.n AS same FROM p JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 10 * k >= 8 * (x.n + y.n - k)),
+r AS (SELECT id, id AS far FROM t UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.far),
+c AS (SELECT id, min(far) AS class_id FROM r GROUP BY id),
+m AS (SELECT t.id, count(l.b) AS n_links, least(t.id, coalesce(min(l.b) FILTER (l.same), t.id)) AS copy_of FROM t LEFT JOIN l ON l.a = t.id GROUP BY t.id)
+SELECT d.doc_id, CASE WHEN n.id IS NULL THEN d.doc_id ELSE c.class_id END AS class_id, CASE WHEN n.id IS NULL THEN d.doc_id ELSE m.copy_of END AS copy_of, coalesce(m.n_links, 0) AS n_links
+FROM documents d LEFT JOIN t ON d.text = t.text LEFT JOIN n ON n.id = t.id LEFT JOIN c ON c.id = t.id LEFT JOIN m ON m.id = t.id"""
+}

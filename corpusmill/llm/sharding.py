@@ -42,6 +42,10 @@ def jump_shards(key: str, counts: list[int]) -> str:
     return f"aggregate(sequence(1, {most + 1}), named_struct({start}), (s, i) -> if(s.j >= {most}, s, named_struct({walk})), s -> named_struct({out}))"
 
 
+def _part(key: str) -> Column:
+    return F.conv(F.substring(F.md5(F.expr(key).cast("string")), 1, 4), 16, 10).cast("int") % PARTS
+
+
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24) -> DataFrame:
     """Add size, text_crc32, law, shard, slot and grown_shard to every row.
 
@@ -54,9 +58,9 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     kept = [c for c in df.columns if c not in new]
     k = f"coalesce(cast(`{key}` as bigint), 0L)"
     t = F.coalesce(F.col(text), F.lit(""))
-    placed = df.select(*kept, (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.expr(jump_shards(k, [shards, shards + 1])).alias("_s"), F.expr(f"pmod(xxhash64({k}), {PARTS})").alias("_part"))
+    placed = df.select(*kept, (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.expr(jump_shards(k, [shards, shards + 1])).alias("_s"), _part(k).alias("_part"))
     placed = placed.select("*", F.lit("key").alias("law"), F.col("_s.s0").alias("shard"), F.col("_s.s1").alias("grown_shard")).drop("_s")
-    sizes = df.select(F.expr(jump_shards(k, [shards])).alias("_s"), F.expr(f"pmod(xxhash64({k}), {PARTS})").alias("_part"))
+    sizes = df.select(F.expr(jump_shards(k, [shards])).alias("_s"), _part(k).alias("_part"))
     sizes = sizes.groupBy(F.col("_s.s0").alias("shard"), "_part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = cut(sizes.select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("_base")), "shard-base")  # at most shards * PARTS rows
@@ -77,4 +81,16 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op4_jump_shards": op4}
-ORACLES: dict[str, str] = {}
+_OCTETS = "list_transform(range(0, octet_length(encode(t))), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT)"
+_CRC = f"xor(list_reduce({_OCTETS}, lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, _: xor(x >> 1, (x & 1) * 3988292384)), 4294967295::BIGINT), 4294967295)"
+ORACLES = {
+    # CRC-32 bit by bit; the generator in 128-bit arithmetic, as many steps as it takes.
+    "op4_jump_shards": f"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(text, '') AS t, hex(encode(coalesce(text, ''))) AS h FROM documents),
+x AS MATERIALIZED (SELECT doc_id, octet_length(encode(t)) + 8 AS size, CASE WHEN t = '' THEN 0 ELSE {_CRC} END AS text_crc32 FROM d),
+s AS (SELECT DISTINCT coalesce(doc_id, 0) AS id, (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0) END)::UHUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM d
+      UNION ALL SELECT id, n, j, floor((j + 1) * (2147483648.0::DOUBLE / ((n // 8589934592)::DOUBLE + 1)))::BIGINT FROM (SELECT id, j, (k * {MULTIPLIER} + 1) % 18446744073709551616::UHUGEINT AS n FROM s WHERE j < 25)),
+p AS (SELECT id, max(j) FILTER (j < 24)::INTEGER AS shard, max(j) FILTER (j < 25)::INTEGER AS grown_shard FROM s GROUP BY id)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(id::VARCHAR), 1, 4))::BIGINT % 256, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+FROM x JOIN p ON p.id = coalesce(doc_id, 0)"""
+}

@@ -41,7 +41,7 @@ def match_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def generalise(segment: Column) -> Column:
-    whole = F.when(segment.rlike("^[0-9]+$"), "{n}").when(segment.rlike("^(?=[^0-9]*[0-9])[0-9A-Fa-f-]{8,}$"), "{h}")
+    whole = F.when(segment.rlike("^[0-9]+\\z"), "{n}").when(segment.rlike("^[0-9A-Fa-f-]{8,}\\z") & segment.rlike("[0-9]"), "{h}")
     return F.coalesce(whole, F.regexp_replace(segment, "[0-9]+", "{n}"))
 
 
@@ -103,8 +103,40 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, label: str | None
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"))
-    return out.select("page_id", "host", "path", "rule", "verdict", "template", "purity", "labelled")
+    return out.select("page_id", "host", "path", "rule", "verdict", "template", F.round("purity", 6).alias("purity"), "labelled")
 
 
 QUERIES = {"op3_url_templates": op3}
-ORACLES: dict[str, str] = {}
+def _oracle() -> str:
+    name, verdict = "NULL", "NULL"
+    for h, p, v in sorted(RULES, key=lambda r: len(r[0] + r[1])):
+        fits = f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')"
+        name, verdict = f"CASE WHEN {fits} THEN '{h}{p}' ELSE {name} END", f"CASE WHEN {fits} THEN '{v}' ELSE {verdict} END"
+    lex = r"CASE WHEN regexp_matches(s, '^[0-9]+\z') THEN '{n}' WHEN regexp_matches(s, '^[0-9A-Fa-f-]{8,}\z') AND regexp_matches(s, '[0-9]') THEN '{h}' ELSE regexp_replace(s, '[0-9]+', '{n}', 'g') END"
+    return f"""
+WITH u AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+v AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM u),
+h AS (SELECT page_id, translate(raw, '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM v),
+k AS MATERIALIZED (SELECT *, {name} AS rule, {verdict} AS ruled, array_to_string(list_transform(list_filter(string_split(path, '/'), lambda s: s <> ''), lambda s: {lex}), '/') AS lex FROM h),
+c AS (SELECT host, lex, count(*) AS n, count(ruled) AS labelled, count(*) FILTER (ruled = 'block') AS bad FROM k GROUP BY host, lex),
+e AS (SELECT *, string_split(lex, '/') AS s, unnest(range(0, len(string_split(lex, '/')))) AS pos FROM c),
+st AS (SELECT host, lex, n, pos, s[pos + 1] AS seg, array_to_string(s[1:pos], '/') AS above FROM e),
+rare AS (SELECT host, pos, above, seg FROM st GROUP BY ALL HAVING sum(n) <= {MAX_PAGES}),
+wild AS (SELECT host, pos, above, seg, true AS wild FROM rare JOIN (SELECT host, pos, above FROM rare GROUP BY ALL HAVING count(*) >= {MIN_CHILDREN}) USING (host, pos, above)),
+nm AS (SELECT host, lex, list(CASE WHEN wild THEN '{{*}}' ELSE seg END ORDER BY pos) AS segs FROM st LEFT JOIN wild USING (host, pos, above, seg) GROUP BY host, lex),
+pt AS (SELECT host, lex, segs[1] AS branch, array_to_string(segs[2:], '/') AS tail, len(segs) AS depth, labelled, bad FROM nm JOIN c USING (host, lex)),
+br AS (SELECT host, branch, tail, depth, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad FROM pt GROUP BY ALL),
+told AS (SELECT * FROM br WHERE labelled >= {MIN_LABELLED}),
+alike AS (SELECT told.* FROM told JOIN (SELECT host, tail, depth, sum(bad) / sum(labelled) AS rate FROM told GROUP BY ALL) USING (host, tail, depth) WHERE abs(bad / labelled - rate) <= {NEAR} * sqrt(rate * (1 - rate) / labelled) + 1e-9),
+mg AS (SELECT host, tail, depth, list(branch) AS names FROM alike GROUP BY ALL HAVING count(*) > 1),
+jn AS (SELECT br.*, CASE WHEN coalesce(list_contains(names, branch), false) THEN '{{m}}' ELSE branch END AS j FROM br LEFT JOIN mg USING (host, tail, depth)),
+tp AS (SELECT host, branch, tail, depth, labelled, bad, CASE WHEN depth > 1 THEN j || '/' || tail ELSE j END AS template FROM jn),
+tm AS (SELECT host, template, sum(labelled)::BIGINT AS labelled, sum(bad)::BIGINT AS bad FROM tp GROUP BY ALL),
+ho AS (SELECT host, sum(labelled) AS hn, sum(bad) AS hb FROM tm GROUP BY host),
+al AS (SELECT (coalesce(sum(hb), 0) + 1) / (coalesce(sum(hn), 0) + 2) AS share FROM ho),
+sc AS (SELECT host, template, labelled, (bad + {STRENGTH} * (hb + {STRENGTH} * share) / (hn + {STRENGTH})) / (labelled + {STRENGTH}) AS purity FROM tm JOIN ho USING (host), al)
+SELECT page_id, k.host, path, rule, coalesce(ruled, CASE WHEN sc.labelled >= {MIN_LABELLED} AND purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, sc.template, round(purity, 6) AS purity, sc.labelled
+FROM k JOIN pt ON pt.host = k.host AND pt.lex = k.lex JOIN tp ON tp.host = pt.host AND tp.branch = pt.branch AND tp.tail = pt.tail AND tp.depth = pt.depth JOIN sc ON sc.host = tp.host AND sc.template = tp.template"""
+
+
+ORACLES = {"op3_url_templates": _oracle()}
