@@ -50,8 +50,15 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), with value computed once however often f uses it: an expression inside a lambda is computed for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def running_starts(lens: Column) -> Column:
-    """Prefix sums (exclusive) of an array of longs, in blocks of 64 so that long arrays stay far from quadratic cost."""
+    """Prefix sums (exclusive) of an array of longs, in blocks of 64 so that long arrays stay far from quadratic cost.
+
+    lens should be bound."""
     step = 64
     n_blocks = F.ceil(F.size(lens) / F.lit(step)).cast("int")
     none = F.array().cast("array<bigint>")
@@ -76,10 +83,15 @@ def match_spans(text: Column, pattern: str, kidx: int, guard: Column, keep) -> C
 
     guard: a cheap test that is true for every text with a match that keep() passes."""
     pieces = F.split(text, pattern, -1)
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), m.alias("val")))
-    starts = running_starts(F.transform(gaps, lambda g: g["gap"] + g["len"]))
-    spans = F.zip_with(gaps, starts, lambda g, s: F.struct((s + g["gap"]).alias("start"), F.lit(kidx).alias("kidx"), (s + g["gap"] + g["len"]).alias("end"), g["val"].alias("val")))
+
+    def gaps_of(found: Column) -> Column:
+        return F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(F.length(p).cast("long").alias("gap"), F.length(m).cast("long").alias("len"), m.alias("val")))
+
+    def placed(gaps: Column) -> Column:
+        starts = bind(F.transform(gaps, lambda g: g["gap"] + g["len"]), running_starts)
+        return F.zip_with(gaps, starts, lambda g, s: F.struct((s + g["gap"]).alias("start"), F.lit(kidx).alias("kidx"), (s + g["gap"] + g["len"]).alias("end"), g["val"].alias("val")))
+
+    spans = bind(bind(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), gaps_of), placed)
     return F.when(guard, F.filter(spans, lambda s: keep(s["val"]))).otherwise(F.array().cast(SPAN)).cast(SPAN)
 
 

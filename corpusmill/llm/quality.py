@@ -182,9 +182,11 @@ def score(df: DataFrame, text: str = "text") -> DataFrame:
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows that are kept, with the columns of the input. Two scans, no shuffle of texts."""
-    voted = annotate(df.select(text), text, drop_text=True).select("votes")
-    known = _learn(voted)
-    return judge(annotate(df, text), known).where("kept").select(*df.columns)
+    clash = [c for c in df.columns if c in {*STATS, "base_failed", "votes", "quality", "kept"}]
+    own = df.withColumnsRenamed({c: f"_own_{c}" for c in clash})
+    known = _learn(annotate(df.select(text), text, drop_text=True).select("votes"))
+    good = judge(annotate(own, text), known).where("kept")
+    return good.select(*[F.col(f"_own_{c}" if c in clash else c).alias(c) for c in df.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

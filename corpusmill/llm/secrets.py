@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, joined, match_spans, of_kind, table
+from corpusmill.llm.common import bind, cut, joined, match_spans, of_kind, table
 
 #: The known forms.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -42,15 +42,15 @@ def _alphabet(v: Column) -> Column:
     return out
 
 
-def randomness(v: Column, alphabet: Column) -> Column:
-    """Probability, by the battery, that symbols as far from random or further come from a uniform source."""
-    k = F.length(alphabet).cast("double")
-    x = F.transform(F.split(v, ""), lambda c: F.instr(alphabet, c).cast("double") - 1)
-    x = F.filter(x, lambda a: a >= 0)
+def randomness(z: Column) -> Column:
+    """Probability, by the battery, that symbols as far from random or further come from a uniform source.
+
+    z: struct of v (the run), alphabet, and x (places of its symbols in the alphabet, from 0), all bound."""
+    v, x, k = z["v"], z["x"], F.length(z["alphabet"]).cast("double")
     n = F.size(x).cast("double")
-    counts = F.transform(F.split(alphabet, ""), lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))).cast("double"))
+    counts = F.transform(F.split(z["alphabet"], ""), lambda c: (F.length(v) - F.length(F.replace(v, c, F.lit("")))).cast("double"))
     squares = F.aggregate(counts, F.lit(0.0), lambda a, c: a + c * c)
-    chi = (squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n)
+    chi = F.greatest((squares * k / n - n - (k - 1)) / F.sqrt(2 * (k - 1) * (n - 1) / n), F.lit(0.0))
     mean, var = (k - 1) / 2, (k * k - 1) / 12
 
     def pairs(lag: int, f) -> Column:
@@ -58,9 +58,9 @@ def randomness(v: Column, alphabet: Column) -> Column:
 
     runs = (pairs(1, lambda a, b: F.when((a > mean) != (b > mean), 1.0).otherwise(0.0)) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     serial = [pairs(lag, lambda a, b: (a - mean) * (b - mean)) / (var * F.sqrt(n - lag)) for lag in (1, 2)]
-    chi = F.greatest(chi, F.lit(0.0))
-    q = (chi * chi + runs * runs + serial[0] * serial[0] + serial[1] * serial[1]) / 2
-    return F.exp(-F.least(q, F.lit(600.0))) * (1 + F.least(q, F.lit(600.0)))  # four squares: chi-squared, 4 degrees
+    tests = F.array(chi, runs, *serial)
+    # The sum of four squares: chi-squared with four degrees of freedom.
+    return bind(F.least(F.aggregate(tests, F.lit(0.0), lambda a, t: a + t * t / 2), F.lit(600.0)), lambda q: F.exp(-q) * (1 + q))
 
 
 CANDIDATE = "array<struct<start:bigint,end:bigint,length:int,bin:int,ordinary:boolean>>"
@@ -71,15 +71,23 @@ def candidates(text: Column, base: Column) -> Column:
     runs = match_spans(text, RUN, 3, text.rlike(RUN), lambda v: _alphabet(F.rtrim(v, F.lit("="))).isNotNull())
     runs = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
-    def rated(s: Column) -> Column:
+    def read(s: Column) -> Column:
         v = F.rtrim(s["val"], F.lit("="))
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), v.alias("v"), _alphabet(v).alias("alphabet"))
+
+    def placed(s: Column) -> Column:
+        x = F.transform(F.split(s["v"], ""), lambda c: F.instr(s["alphabet"], c).cast("double") - 1)
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["v"].alias("v"), s["alphabet"].alias("alphabet"), F.filter(x, lambda a: a >= 0).alias("x"))
+
+    def rated(s: Column) -> Column:
         length = F.lit(0)
         for i, top in enumerate(LENGTHS):
-            length = F.when(F.length(v) > top, i + 1).otherwise(length)
-        log = F.floor(-2 * F.ln(randomness(v, _alphabet(v)))).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), length.alias("length"), F.greatest(F.lit(0), F.least(log, F.lit(BINS - 1))).alias("bin"), v.rlike("^[A-Za-z]+$").alias("ordinary"))
+            length = F.when(F.length(s["v"]) > top, i + 1).otherwise(length)
+        log = F.floor(-2 * F.ln(randomness(s))).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), length.alias("length"), F.greatest(F.lit(0), F.least(log, F.lit(BINS - 1))).alias("bin"), s["v"].rlike("^[A-Za-z]+$").alias("ordinary"))
 
-    return F.when(F.size(runs) > 0, F.transform(runs, rated)).otherwise(F.array()).cast(CANDIDATE)
+    # Each step is an array of its own, so that no lambda repeats the work of the one before.
+    return bind(runs, lambda r: F.when(F.size(r) > 0, F.transform(F.transform(F.transform(r, read), placed), rated)).otherwise(F.array()).cast(CANDIDATE))
 
 
 def limits(counts: list[tuple[int, int, bool, int]]) -> dict[int, int]:
