@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from corpusmill.functions.vectors import bind
+
 TOKEN = r"[\p{L}\p{N}]+"
 FNV_BASIS, FNV_PRIME = 2166136261, 16777619
 #: Common English words that carry no meaning in a query.
@@ -35,21 +37,21 @@ def ngrams(toks: Column, n: int, sep: str = "_") -> Column:
     """Runs of n tokens; none if there are fewer."""
     if n == 1:
         return toks
-    return F.when(F.size(toks) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(toks) - n, F.lit(0))), lambda i: F.array_join(F.slice(toks, i + 1, F.lit(n)), sep)))
+    return bind(toks, lambda t: F.when(F.size(t) < n, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(F.size(t) - n, F.lit(0))), lambda i: F.array_join(F.slice(t, i + 1, F.lit(n)), sep))))
 
 
 def fnv(text: Column, first_xor: bool = True) -> Column:
     """FNV-1a (first_xor) or FNV-1, 32 bits, of the UTF-8 bytes, as bigint."""
-    code = F.hex(F.encode(text, "UTF-8"))
-    n = (F.length(code) / 2).cast("int")
-    octets = F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")))
+    def octets(code: Column) -> Column:
+        n = (F.length(code) / 2).cast("int")
+        return F.when(n == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.conv(F.substring(code, i * 2 - 1, F.lit(2)), 16, 10).cast("bigint")))
 
     def step(h: Column, b: Column) -> Column:
         if first_xor:
             return (h.bitwiseXOR(b) * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF))
         return (h * FNV_PRIME).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseXOR(b)
 
-    return F.aggregate(octets, F.lit(FNV_BASIS).cast("bigint"), step)
+    return F.aggregate(bind(F.hex(F.encode(text, "UTF-8")), octets), F.lit(FNV_BASIS).cast("bigint"), step)
 
 
 def fnv_python(text: str, first_xor: bool = True) -> int:

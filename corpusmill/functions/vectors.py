@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def bind(value: Column, f) -> Column:
+    """f(value), with value computed once: an expression that a lambda only refers to is computed again for each element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def zero(dims: int) -> Column:
     return F.array_repeat(F.lit(0.0).cast("float"), dims)
 
@@ -20,8 +25,7 @@ def norm(v: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Of unit length; a zero vector stays."""
-    n = norm(v)
-    return F.when(n == 0, F.transform(v, lambda x: x.cast("double"))).otherwise(F.transform(v, lambda x: x.cast("double") / n))
+    return bind(v, lambda b: bind(norm(b), lambda n: F.transform(b, lambda x: F.when(n == 0, x.cast("double")).otherwise(x.cast("double") / F.nullif(n, F.lit(0.0))))))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -53,4 +57,4 @@ def blend(vectors: dict[str, Column], weights: dict[str, float], dims: int) -> C
         there = v.isNotNull()
         sum_ = F.when(there, F.zip_with(sum_, scale(v, w), lambda x, y: x + y)).otherwise(sum_)
         total = total + F.when(there, w).otherwise(0.0)
-    return normalize(F.when(total > 0, F.transform(sum_, lambda x: x / F.nullif(total, F.lit(0.0)))).otherwise(sum_))
+    return normalize(bind(F.nullif(total, F.lit(0.0)), lambda t: F.transform(sum_, lambda x: F.coalesce(x / t, x))))

@@ -13,7 +13,7 @@ from corpusmill.functions import vectors as vc
 def dense(df: DataFrame, key: str, dims: int, index: str = "idx", value: str = "value", normalise: bool = True) -> DataFrame:
     """From (key, index, value) sums to one array a key."""
     sums = df.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct(F.col(index).cast("int"), value))).alias("_m"))
-    v = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(F.col("_m"), i), F.lit(0.0)))
+    v = vc.bind(F.col("_m"), lambda m: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at(m, i), F.lit(0.0))))
     return sums.select(key, (vc.normalize(v) if normalise else v).alias("vector"))
 
 

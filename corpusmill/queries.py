@@ -681,7 +681,7 @@ def _(spark, d):
     known = vectorize.idf(postings, n)
     dims = 64
     layers = vectorize.as_layer(vectorize.structure(chunks, dims=dims), "structure", dims, "v1").unionByName(vectorize.as_layer(vectorize.tfidf(chunks, dims=dims, n_docs=n), "lexical", dims, "v1"))
-    q = "the which and from"
+    q = "the and"
     mean = chunks.select(F.avg(F.size(tx.tokens(F.col("content")))).alias("m")).first()["m"] or 1.0
     files = x.select(F.col("source").alias("id"), F.concat(F.lit("files/"), "source").alias("source_path")).distinct()
     vecs = search.query_vectors(chunks, q, dims, known, n)
