@@ -22,7 +22,7 @@ from corpusmill.llm.common import cut, discard, small, table
 N, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
 #: Classes of a block: BLOCK, for clusters over BLOCK * 64 up to MOST_BLOCK; and n-grams of a block.
-BLOCK, MOST_BLOCK, BLOCK_GRAMS = 128, 2048, 1_000_000
+BLOCK, MOST_BLOCK, BLOCK_GRAMS = 64, 2048, 1_000_000
 _RNG = np.random.Generator(np.random.PCG64(7))
 _FLIP = _RNG.integers(0, 2**32, BANDS * ROWS, np.uint64).astype(np.uint32)[:, None]
 _TURN = (_RNG.integers(0, 2**32, BANDS * ROWS, np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
