@@ -390,7 +390,6 @@ def _(spark, d):
 
 # --------------------------------------------------------------------------- chunks and blocks
 
-_TRIM = "regexp_replace(x, '^\\s+|\\s+$', '', 'g')"
 _PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array(text, '\\n(?:[^\\S\\n]*\\n)+'), lambda b: array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')), lambda b: b <> '')"
 _PARA_ROWS = f"(SELECT doc_id AS file_id, generate_subscripts(p, 1) - 1 AS position, unnest(p) AS content FROM (SELECT doc_id, {_PARAGRAPHS} AS p FROM documents))"
 
