@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, discard, joined, match_spans, of_kind, table
+from corpusmill.llm.common import cut, discard, joined, match_spans, of_kind, small, table
 
 #: The known forms. Groups are possessive where nothing follows them, and runs are only entered at their start
 #: (or where the match before ended); this finds the same, needs no stack, and stays linear in long runs.
@@ -118,7 +118,8 @@ def find(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)
     each = read.where(F.size("_mentions") > 0).select("_row", F.explode("_mentions").alias("m")).select("_row", "m.*")
     new = believed(each.select("instance", "seed", F.explode("patterns").alias("pattern")))
     found = each.where(~F.col("seed")).join(new, "instance").groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kidx"), "end")).alias("_more"))
-    whole = read.drop("_mentions").join(found, "_row", "left")
+    found = cut(found, "pii-found")
+    whole = read.drop("_mentions").join(small(found, found.count(), 50_000), "_row", "left")  # else texts that are carried move by row
     spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast("array<struct<start:bigint,kidx:int,end:bigint>>"))))
     return whole.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], spans.alias("spans"))
 
