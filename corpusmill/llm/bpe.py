@@ -19,7 +19,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.llm.common import table
+from corpusmill.llm.common import small_batches, table
 
 #: Fixed value: how byte-level vocabularies split text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,7 +28,7 @@ _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\x
 LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
 #: Remembered pieces and verdicts on pairs, and the longest piece that is remembered. A task forgets them at its end, as the
 #: process that ran it may be kept for other work.
-REMEMBER, REMEMBER_PAIRS, LONGEST = 250_000, 500_000, 64
+REMEMBER, REMEMBER_PAIRS, LONGEST = 120_000, 200_000, 64
 
 
 def byte_letters() -> list[str]:
@@ -215,6 +215,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
     clash. Empty table: empty result. Memory: one batch of texts and the remembered pieces.
     """
     spark = df.sparkSession
+    small_batches(spark)
     with open(path or default_path(), encoding="utf-8") as f:
         spec = spark.sparkContext.broadcast(f.read())  # a vocabulary file has a fixed size
 

@@ -13,6 +13,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
 
 
+#: Rows of an Arrow batch. Texts are long, and a batch is held by the JVM and by Python at once.
+BATCH = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most BATCH rows in this session from here on; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, discard, small, table
+from corpusmill.llm.common import cut, discard, small, small_batches, table
 
 N, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
@@ -33,7 +33,7 @@ class _Words(dict):
     """Hashes of words, remembered within a bound; a task forgets them at its end."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 120_000:
             self.clear()
         out = self[word] = xxhash.xxh64_intdigest(word)
         return out
@@ -191,6 +191,7 @@ def join_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     set. n_links: other texts, different as texts, of similarity 0.8 or more. Null, empty and blank texts have no n-grams and
     no links. Repeated rows fall into one class; different texts under one key count as one node. Empty table: empty result.
     """
+    small_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("rid"), F.col(text).alias("_text"))
     rows = cut(docs.mapInArrow(_sketch, "rid bigint, grams_id binary, text_id binary, n_grams bigint, bands array<bigint>"), "sketch")
 

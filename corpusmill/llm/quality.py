@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, table
+from corpusmill.llm.common import cut, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -98,6 +98,7 @@ def base_failed(m: dict[str, float]) -> bool:
 
 def annotate(df: DataFrame, text: str = "text", drop_text: bool = False) -> DataFrame:
     """Add the five counts, base_failed and votes to every row; columns of these names that the input has are replaced."""
+    small_batches(df.sparkSession)
     new = {*STATS, "base_failed", "votes"}
     df = df.select(*(c for c in df.columns if c not in new))
     kept = [c for c in df.columns if not (drop_text and c == text)]
