@@ -2,12 +2,18 @@
 
 Known forms are found by pattern. Beyond them, long runs of code characters are read in the encoding they fit, and the
 symbols are tested for uniformity (chi-squared), runs, and serial correlation at lags 1 and 2; the tests make one probability
-that the run is random. Runs of letters alone, taken as ordinary, show how often ordinary text of that length looks as
-random; from that each candidate gets a p-value, and the Benjamini-Hochberg rule bounds the share of false finds.
+that the run is random. A model of ordinary text says how rarely text of that length and encoding looks as random; from that
+each run gets a p-value, and the Benjamini-Hochberg rule bounds the share of false finds. The model needs no ordinary runs in
+the table, so that long secrets are found where nothing else is as long.
 """
 
 from __future__ import annotations
 
+import math
+import random
+from functools import cache
+from statistics import NormalDist, fmean, stdev
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +30,12 @@ HEX_LOW, HEX_UP = "0123456789abcdef", "0123456789ABCDEF"
 UP, LOW, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings: what a run must look like, and its alphabet in order.
 ENCODINGS = (("^[0-9a-f]+$", HEX_LOW), ("^[0-9A-F]+$", HEX_UP), ("^[A-Z2-7]+$", UP + "234567"), ("^[A-Za-z0-9]+$", UP + LOW + DIGITS), ("^[A-Za-z0-9+/]+$", UP + LOW + DIGITS + "+/"), ("^[A-Za-z0-9_-]+$", UP + LOW + DIGITS + "-_"))
-#: Upper ends of the length classes, bins of -ln p (half units), and the share of false finds allowed.
-LENGTHS, BINS, FALSE_SHARE = (23, 31, 47, 79), 80, 0.05
+#: Bins of the p-value's normal score, their width and lowest end, and the share of false finds allowed.
+BINS, WIDTH, LOWEST, FALSE_SHARE = 80, 0.125, -10.0, 0.05
+#: The model of ordinary text: letters at these rates (in 1000), or decimal digits in hex.
+RATES = dict(zip(LOW, (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)))
+#: Lengths of model texts (between them it is interpolated, longer runs count as the last), and texts drawn of each.
+KNOTS, DRAWS = (20, 24, 32, 48, 80, 160), 600
 
 
 def base_spans(text: Column) -> Column:
@@ -43,7 +53,7 @@ def _alphabet(v: Column) -> Column:
 
 
 def randomness(z: Column) -> Column:
-    """Probability, by the battery, that symbols as far from random or further come from a uniform source.
+    """How far the battery finds the symbols from a uniform source: the root of the sum of squares of its four tests.
 
     z: struct of v (the run), alphabet, and x (places of its symbols in the alphabet, from 0), all bound."""
     v, x, k = z["v"], z["x"], F.length(z["alphabet"]).cast("double")
@@ -59,15 +69,14 @@ def randomness(z: Column) -> Column:
     runs = (pairs(1, lambda a, b: F.when((a > mean) != (b > mean), 1.0).otherwise(0.0)) - (n - 1) / 2) / F.sqrt((n - 1) / 4)
     serial = [pairs(lag, lambda a, b: (a - mean) * (b - mean)) / (var * F.sqrt(n - lag)) for lag in (1, 2)]
     tests = F.array(chi, runs, *serial)
-    # The sum of four squares: chi-squared with four degrees of freedom.
-    return bind(F.least(F.aggregate(tests, F.lit(0.0), lambda a, t: a + t * t / 2), F.lit(600.0)), lambda q: F.exp(-q) * (1 + q))
+    return F.sqrt(F.aggregate(tests, F.lit(0.0), lambda a, t: a + t * t))
 
 
-CANDIDATE = "array<struct<start:bigint,end:bigint,length:int,bin:int,ordinary:boolean>>"
+CANDIDATE = "array<struct<start:bigint,end:bigint,bin:int>>"
 
 
 def candidates(text: Column, base: Column) -> Column:
-    """Runs outside base spans with length class, bin of -ln p, and whether they are letters alone."""
+    """Runs outside base spans with the bin of their p-value's normal score."""
     runs = match_spans(text, RUN, 3, text.rlike(RUN), lambda v: _alphabet(F.rtrim(v, F.lit("="))).isNotNull())
     runs = F.filter(runs, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
 
@@ -79,47 +88,69 @@ def candidates(text: Column, base: Column) -> Column:
         x = F.transform(F.split(s["v"], ""), lambda c: F.instr(s["alphabet"], c).cast("double") - 1)
         return F.struct(s["start"].alias("start"), s["end"].alias("end"), s["v"].alias("v"), s["alphabet"].alias("alphabet"), F.filter(x, lambda a: a >= 0).alias("x"))
 
+    means, spreads = model()
+
     def rated(s: Column) -> Column:
-        length = F.lit(0)
-        for i, top in enumerate(LENGTHS):
-            length = F.when(F.length(s["v"]) > top, i + 1).otherwise(length)
-        log = F.floor(-2 * F.ln(randomness(s))).cast("int")
-        return F.struct(s["start"].alias("start"), s["end"].alias("end"), length.alias("length"), F.greatest(F.lit(0), F.least(log, F.lit(BINS - 1))).alias("bin"), s["v"].rlike("^[A-Za-z]+$").alias("ordinary"))
+        code = F.array_position(F.array(*[F.lit(letters) for _, letters in ENCODINGS]), s["alphabet"]) - 1
+        at = (code * (KNOTS[-1] - KNOTS[0] + 1) + F.greatest(F.lit(0), F.least(F.length(s["v"]), F.lit(KNOTS[-1])) - KNOTS[0])).cast("int")
+        score = bind(at, lambda i: (randomness(s) - F.get(F.lit(means), i)) / F.get(F.lit(spreads), i))
+        bin = F.greatest(F.lit(0), F.least(F.floor((score - LOWEST) / WIDTH), F.lit(BINS - 1))).cast("int")
+        return F.struct(s["start"].alias("start"), s["end"].alias("end"), bin.alias("bin"))
 
     # Each step is an array of its own, so that no lambda repeats the work of the one before.
     return bind(runs, lambda r: F.when(F.size(r) > 0, F.transform(F.transform(F.transform(r, read), placed), rated)).otherwise(F.array()).cast(CANDIDATE))
 
 
-def limits(counts: list[tuple[int, int, bool, int]]) -> dict[int, int]:
-    """From (length class, bin, ordinary, n): the last bin of each class that is reported, -1 for none."""
-    usual = {(c, b): n for c, b, o, n in counts if o}
-    found = {(c, b): n for c, b, o, n in counts if not o}
-    p = {}
-    for c, b in found:
-        total = sum(n for (c2, _), n in usual.items() if c2 == c)
-        p[c, b] = (1 + sum(n for (c2, b2), n in usual.items() if c2 == c and b2 <= b)) / (1 + total)
-    m, rank, cutoff = sum(found.values()), 0, 0.0
-    for key in sorted(p, key=lambda x: (p[x], x)):
-        rank += found[key]
-        if p[key] <= FALSE_SHARE * rank / m:
-            cutoff = p[key]
-    return {c: max([-1, *(b for c2, b in p if c2 == c and p[c2, b] <= cutoff)]) for c in range(len(LENGTHS) + 1)}
+def distance(x: list[int], k: int) -> float:
+    """The root of the sum of squares of the battery's four tests, as in randomness(); x: places in an alphabet of k."""
+    n, mean, var = len(x), (k - 1) / 2, (k * k - 1) / 12
+    squares = sum(x.count(c) ** 2 for c in set(x))
+    chi = max((squares * k / n - n - (k - 1)) / math.sqrt(2 * (k - 1) * (n - 1) / n), 0.0)
+    runs = (sum((a > mean) != (b > mean) for a, b in zip(x, x[1:])) - (n - 1) / 2) / math.sqrt((n - 1) / 4)
+    serial = [sum((a - mean) * (b - mean) for a, b in zip(x, x[lag:])) / (var * math.sqrt(n - lag)) for lag in (1, 2)]
+    return math.hypot(chi, runs, *serial)
+
+
+@cache
+def model() -> tuple[list[float], list[float]]:
+    """Mean and spread of distance() of ordinary text, by encoding and length from the first knot to the last."""
+    means, spreads = [], []
+    for code, (_, letters) in enumerate(ENCODINGS):
+        usual = dict.fromkeys(DIGITS, 1) if len(letters) == 16 else {c if c in letters else c.upper(): n for c, n in RATES.items()}
+        places, rnd, at = [letters.index(c) for c in usual], random.Random(code), []
+        for n in KNOTS:
+            drawn = [distance(rnd.choices(places, list(usual.values()), k=n), len(letters)) for _ in range(DRAWS)]
+            at.append((fmean(drawn), stdev(drawn)))
+        for i, (a, b) in enumerate(zip(KNOTS, KNOTS[1:])):
+            for n in range(a, b + (b == KNOTS[-1])):
+                means.append(at[i][0] + (at[i + 1][0] - at[i][0]) * (n - a) / (b - a))
+                spreads.append(at[i][1] + (at[i + 1][1] - at[i][1]) * (n - a) / (b - a))
+    return means, spreads
+
+
+def limit(counts: list[tuple[int, int]]) -> int:
+    """From (bin, n): the last bin that is reported, -1 for none. A bin counts with its upper end, the last one as sure to be ordinary."""
+    m, rank, last = sum(n for _, n in counts), 0, -1
+    for b, n in sorted(counts):
+        rank += n
+        if b < BINS - 1 and NormalDist().cdf(LOWEST + (b + 1) * WIDTH) <= FALSE_SHARE * rank / m:
+            last = b
+    return last
 
 
 def scan(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns and spans, array<struct<start, kidx, end>> over KINDS in order; base spans always stay.
 
     Null or empty text: no spans. Very long texts: whole. Equal rows get equal spans. Empty table: empty result. Counts
-    of the whole table by length class and bin are gathered, at most 800 rows.
+    of the whole table by bin are gathered, at most 80 rows.
     """
     t = F.coalesce(F.col(text), F.lit(""))
     read = df.select(*carry, t.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     read = read.withColumn("_found", candidates(F.col("_text"), F.col("_base")))
     read = cut(read.select(*carry, F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kidx"].alias("kidx"), s["end"].alias("end"))).alias("_base"), "_found"), "secrets")
-    counts = read.select(F.explode("_found").alias("f")).groupBy("f.length", "f.bin", "f.ordinary").agg(F.count(F.lit(1)).alias("n")).collect()
-    last = limits([tuple(r) for r in counts])
-    of = F.array(*[F.lit(last[c]) for c in range(len(LENGTHS) + 1)])
-    more = F.transform(F.filter("_found", lambda f: ~f["ordinary"] & (f["bin"] <= F.get(of, f["length"]))), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kidx"), f["end"].alias("end")))
+    counts = read.select(F.explode("_found").alias("f")).groupBy("f.bin").agg(F.count(F.lit(1)).alias("n")).collect()
+    last = limit([tuple(r) for r in counts])
+    more = F.transform(F.filter("_found", lambda f: f["bin"] <= last), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kidx"), f["end"].alias("end")))
     return read.select(*carry, F.array_sort(F.concat("_base", more)).alias("spans"))
 
 

@@ -179,6 +179,20 @@ def test_random_secrets_are_found(spark):
     assert not any(got[i] for i in range(400))
 
 
+@pytest.mark.parametrize("words", [0, 300])
+def test_long_secrets_are_found_without_ordinary_runs(spark, words):
+    import random
+
+    rnd = random.Random(7)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    forms = [(40, letters + "0123456789"), (100, letters + "0123456789"), (100, letters + "0123456789+/"), (100, letters)]
+    hidden = ["".join(rnd.choices(of, k=n)) for n, of in forms]
+    data = [(i, f"see {h} here") for i, h in enumerate(hidden)] + [(100 + i, "a note on nothing much, as 2024-01-02 says") for i in range(words)]
+    data += [(1000, "/usr/share/doc/python3/site_packages/readme")] + [(1001, "12345678901234567890123")]
+    got = {r["doc_id"]: [(s["start"], s["kidx"], s["end"]) for s in r["spans"]] for r in rows(secrets.scan(spark.createDataFrame(data, "doc_id bigint, text string")))}
+    assert {d: s for d, s in got.items() if s} == {i: [(4, 3, 4 + len(h))] for i, h in enumerate(hidden)}
+
+
 def test_contexts_are_learnt(spark):
     data = [(i, f"Please write to account owner mail{i}@mail.example.com today") for i in range(8)]
     data += [(100 + i, f"Please write to account owner ZK-88{i}1234-X today") for i in range(2)]
