@@ -3,11 +3,13 @@
 Personal data of known form (the seeds) is found by pattern. The words around the seeds are lexical patterns; patterns and
 the instances found in them form a graph. In rounds, a pattern's confidence is the smoothed share of its instances that are
 believed, and an instance is believed as far as any of its patterns is; identifier-like tokens that reach the threshold are
-new personal data.
+new personal data. These then start and support patterns as seeds do, and the rounds are run again until none is added.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,20 +90,36 @@ def mentions(text: Column, base: Column) -> Column:
     return F.concat(F.transform(base, lambda s: one(s, True)), F.transform(tokens, lambda s: one(s, False))).cast(MENTION)
 
 
-def believed(seen: DataFrame) -> DataFrame:
-    """From mentions (instance, seed, pattern): the instances that reach the threshold and are no seeds."""
-    edges = cut(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
-    # A pattern without enough seeds of its own never starts.
-    started = edges.groupBy("pattern").agg(F.sum(F.col("seed").cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).where((F.col("k") >= MIN_SEEDS) & (F.col("n") > F.col("k")))
+def _reached(edges: DataFrame) -> DataFrame:
+    """From edges (pattern, instance, known): the instances that ROUNDS of scoring newly bring to the threshold."""
+    started = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).where((F.col("k") >= MIN_SEEDS) & (F.col("n") > F.col("k")))
     live = cut(edges.join(started.select("pattern"), "pattern"), "pii-live")
-    score = cut(live.groupBy("instance").agg(F.max(F.col("seed").cast("double")).alias("score"), F.max("seed").alias("seed")), "pii-score")
+    score = cut(live.groupBy("instance").agg(F.max(F.col("known").cast("double")).alias("score"), F.max("known").alias("known")), "pii-score")
     for _ in range(ROUNDS):
         rated = live.select("pattern", "instance").join(score, "instance").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"))
-        doubt = live.select("pattern", "instance", "seed").join(rated, "pattern").groupBy("instance").agg(F.max("seed").alias("seed"), F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("log_doubt"))
-        new = cut(doubt.select("instance", F.when(F.col("seed"), 1.0).otherwise(1 - F.exp("log_doubt")).alias("score"), "seed"), "pii-score")
+        doubt = live.select("pattern", "instance", "known").join(rated, "pattern").groupBy("instance").agg(F.max("known").alias("known"), F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("log_doubt"))
+        new = cut(doubt.select("instance", F.when(F.col("known"), 1.0).otherwise(1 - F.exp("log_doubt")).alias("score"), "known"), "pii-score")
         discard(score)
         score = new
-    return score.where(~F.col("seed") & (F.col("score") >= BELIEVE)).select("instance")
+    reached = cut(score.where(~F.col("known") & (F.col("score") >= BELIEVE)).select("instance"), "pii-reached")
+    discard(live)
+    discard(score)
+    return reached
+
+
+def believed(seen: DataFrame) -> DataFrame:
+    """From mentions (instance, seed, pattern): the instances that reach the threshold and are no seeds.
+
+    Those believed count as seeds do from then on, for starting patterns too, until no more are reached."""
+    edges = cut(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("known")), "pii-edges")
+    reached = [_reached(edges)]
+    while n := reached[-1].count():
+        more = small(reached[-1].withColumn("_new", F.lit(True)), n)
+        grown = cut(edges.join(more, "instance", "left").select("pattern", "instance", (F.col("known") | F.coalesce("_new", F.lit(False))).alias("known")), "pii-edges")
+        discard(edges)
+        edges = grown
+        reached.append(_reached(edges))
+    return reduce(DataFrame.union, reached)
 
 
 def find(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:

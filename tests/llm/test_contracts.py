@@ -202,6 +202,17 @@ def test_contexts_are_learnt(spark):
     assert not any(got[200 + i] for i in range(5))
 
 
+def test_found_instances_start_patterns(spark):
+    data = [(i, f"Please write to account owner mail{i}@mail.example.com today") for i in range(8)]
+    data += [(100 + i, f"Please write to account owner ZK-88{i}1234-X today") for i in range(6)]
+    data += [(200 + i, f"Her badge number ZK-88{i}1234-X opened doors") for i in range(8)]  # no seed stands there
+    data += [(300 + i, f"Ask at desk about ZK-88{i}1234-X before noon") for i in range(2, 10)]  # reached from the badges alone
+    data += [(400 + i, f"Built in the year 19990{i} somewhere") for i in range(5)]
+    got = {r["doc_id"]: r["spans"] for r in rows(pii.find(spark.createDataFrame(data, "doc_id bigint, text string")))}
+    assert all([s["kidx"] for s in got[d]] == [4] for d, _ in data if 100 <= d < 400)
+    assert not any(got[400 + i] for i in range(5))
+
+
 def brute_targets(sizes):
     names = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
     weigh = {s: 1 + i % 3 for i, s in enumerate(names)}
