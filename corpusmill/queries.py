@@ -577,6 +577,13 @@ def _(spark, d):
     return relations.references(p, names)
 
 
+@query("relations_references_all")
+def _(spark, d):
+    """The names of all parts; relations_references and its SQL take those of every twentieth."""
+    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"))
+    return relations.references(p, p.select("id", F.regexp_extract("content", r"^\w+", 0).alias("name")))
+
+
 @query("graph_degrees", "SELECT chunk_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT l_partkey AS chunk_id, 1 AS o, 0 AS i FROM lineitem UNION ALL SELECT l_suppkey, 0, 1 FROM lineitem) GROUP BY chunk_id")
 def _(spark, d):
     return relations.degrees(read(spark, d, "lineitem").select(F.col("l_partkey").alias("from_chunk_id"), F.col("l_suppkey").alias("to_chunk_id")))

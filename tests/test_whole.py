@@ -1,0 +1,20 @@
+"""Queries over all rows, against brute force."""
+
+import hashlib
+import re
+
+from corpusmill import queries
+from tests.conftest import SF
+
+
+def rows(df, *cols):
+    return sorted(tuple(r[c] for c in cols) for r in df.collect())
+
+
+def test_references_to_all_names(spark):
+    parts = {r["p_partkey"]: r["p_name"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    words = {k: set(re.findall(r"[^\W\d]\w*", t)) for k, t in parts.items()}
+    names = {k: re.match(r"\w*", t)[0] for k, t in parts.items()}
+    want = {(a, b) for a in parts for b in parts if a != b and names[b] in words[a]}
+    got = rows(queries.QUERIES["relations_references_all"](spark, SF), "from_chunk_id", "to_chunk_id")
+    assert len(got) == len(want) and set(got) == want and any(b % 20 for _, b in want)
