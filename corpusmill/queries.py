@@ -328,6 +328,12 @@ def _(spark, d):
     return x.select("doc_id", F.substring(search.highlight(F.substring("text", 1, 200), ["the", "and"]), 1, 300).alias("snippet"))
 
 
+@query("highlight_all")
+def _(spark, d):
+    """All documents, whole; highlight and its SQL take the first 200 characters of English ASCII texts."""
+    return read(spark, d, "documents").select("doc_id", search.highlight(F.col("text"), ["the", "and"]).alias("marked"))
+
+
 # --------------------------------------------------------------------------- vectors
 
 _E = "(SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings)"
@@ -367,8 +373,9 @@ def _(spark, d):
     return search.top_k_by_group(s, "label", 3, "score", "vec_id").select("label", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-def _layers(spark, d) -> DataFrame:
-    e = read(spark, d, "embeddings").where("vec_id >= 1")
+def _layers(spark, d, every: bool = False) -> DataFrame:
+    e = read(spark, d, "embeddings")
+    e = e if every else e.where("vec_id >= 1")
     one = e.select(F.col("vec_id").alias("chunk_id"), F.lit("structure").alias("layer"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     two = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("chunk_id"), F.lit("lexical").alias("layer"), F.transform(F.reverse("embedding"), lambda x: x.cast("double")).alias("vector"))
     return one.unionByName(two)
@@ -380,6 +387,12 @@ def _(spark, d):
     return w.select("chunk_id", (F.col("structure").isNotNull().cast("bigint") + F.col("lexical").isNotNull().cast("bigint") + F.col("contextual").isNotNull().cast("bigint")).alias("layers"))
 
 
+@query("layers_pivot_all")
+def _(spark, d):
+    w = vectorize.layers_wide(_layers(spark, d, every=True), ("structure", "lexical", "contextual"))
+    return w.select("chunk_id", (F.col("structure").isNotNull().cast("bigint") + F.col("lexical").isNotNull().cast("bigint") + F.col("contextual").isNotNull().cast("bigint")).alias("layers"))
+
+
 @query("blend_vectors", f"""SELECT chunk_id, i::BIGINT AS idx, round(b[i + 1] / nullif(sqrt(list_sum(list_transform(b, lambda x: x * x))), 0), 6) AS value FROM (
 SELECT vec_id AS chunk_id, unnest(range(0, len(b))) AS i, b FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN v ELSE list_transform(range(1, len(v) + 1), lambda i: (v[i] * 0.6 + v[len(v) + 1 - i] * 0.4)) END AS b FROM {_E} WHERE vec_id >= 1)) WHERE round(b[i + 1] / nullif(sqrt(list_sum(list_transform(b, lambda x: x * x))), 0), 6) <> 0""")
 def _(spark, d):
@@ -388,6 +401,13 @@ def _(spark, d):
     return _sparse(vectorize.blend(x, {"structure": 0.6, "lexical": 0.4}, dims), "chunk_id")
 
 
+@query("blend_vectors_all")
+def _(spark, d):
+    x = _layers(spark, d, every=True)
+    dims = x.select(F.size("vector").alias("n")).first()["n"]
+    return _sparse(vectorize.blend(x, {"structure": 0.6, "lexical": 0.4}, dims), "chunk_id")
+
+
 # --------------------------------------------------------------------------- chunks and blocks
 
 _PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array(text, '\\n(?:[^\\S\\n]*\\n)+'), lambda b: array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')), lambda b: b <> '')"
@@ -452,6 +472,12 @@ def _(spark, d):
     return fs.extract(x, "pdf").select("file_id", "position", F.sha2("content", 256).alias("hash"), F.col("page").cast("bigint").alias("page"))
 
 
+@query("extract_pdf_text_all")
+def _(spark, d):
+    """All documents; extract_pdf_text and its SQL take ASCII texts."""
+    return fs.extract(contents(spark, d), "pdf").select("file_id", "position", F.sha2("content", 256).alias("hash"), F.col("page").cast("bigint").alias("page"))
+
+
 @query("section_paths", """WITH h AS (SELECT conv_id, turn, CASE role WHEN 'system' THEN 1 WHEN 'user' THEN 2 ELSE 0 END AS level FROM conversations)
 SELECT a.conv_id, a.turn, a.level::BIGINT AS level, concat_ws('/', (SELECT 's' || max(b.turn) FROM h b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND b.level = 1),
 (SELECT 'u' || max(b.turn) FROM h b WHERE b.conv_id = a.conv_id AND b.turn <= a.turn AND b.level = 2 AND b.turn > coalesce((SELECT max(c.turn) FROM h c WHERE c.conv_id = a.conv_id AND c.turn <= a.turn AND c.level = 1), -1))) AS section_path FROM h a""")

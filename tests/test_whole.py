@@ -18,3 +18,32 @@ def test_references_to_all_names(spark):
     want = {(a, b) for a in parts for b in parts if a != b and names[b] in words[a]}
     got = rows(queries.QUERIES["relations_references_all"](spark, SF), "from_chunk_id", "to_chunk_id")
     assert len(got) == len(want) and set(got) == want and any(b % 20 for _, b in want)
+
+
+def test_whole_inputs(spark):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    vectors = {r["vec_id"]: list(r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
+    run = lambda name: queries.QUERIES[name](spark, SF)
+    marked = {r["doc_id"]: r["marked"] for r in run("highlight_all").collect()}
+    assert marked == {k: t if t is None else re.sub(r"(?i)(?<![^\W_])(the|and)(?![^\W_])", r"<b>\1</b>", t) for k, t in texts.items()}
+    assert {r["chunk_id"]: r["layers"] for r in run("layers_pivot_all").collect()} == {k: 1 if k % 3 == 0 else 2 for k in vectors}
+    blended = {(r["chunk_id"], r["idx"]): r["value"] for r in run("blend_vectors_all").collect()}
+    for k, v in vectors.items():
+        b = v if k % 3 == 0 else [x * 0.6 + y * 0.4 for x, y in zip(v, reversed(v))]
+        norm = sum(x * x for x in b) ** 0.5
+        assert all(abs(blended.get((k, i), 0.0) - x / norm) < 2e-6 for i, x in enumerate(b))
+    want = set()
+    for k, t in texts.items():
+        page, position, held = 1, 0, []
+        for line in [*(t or "").split("\n"), ""]:
+            u = line.strip(" \t\r")
+            mark = re.match(r"(?i)page\s+[0-9]+", u)
+            if u and not mark:
+                held.append(u)
+                continue
+            if held:
+                want.add((str(k), position, hashlib.sha256(" ".join(held).encode()).hexdigest(), page))
+                position, held = position + 1, []
+            page += bool(mark)
+    got = [(str(r["file_id"]), r["position"], r["hash"], r["page"]) for r in run("extract_pdf_text_all").collect()]
+    assert set(got) == want and len(got) == len(want)
