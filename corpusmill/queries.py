@@ -610,6 +610,11 @@ def _(spark, d):
     return relations.references(p, p.select("id", F.regexp_extract("content", r"^\w+", 0).alias("name")))
 
 
+@query("relations_similar_to")
+def _(spark, d):
+    return relations.similar_to(read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
+
+
 @query("graph_degrees", "SELECT chunk_id, sum(o)::BIGINT AS out_degree, sum(i)::BIGINT AS in_degree FROM (SELECT l_partkey AS chunk_id, 1 AS o, 0 AS i FROM lineitem UNION ALL SELECT l_suppkey, 0, 1 FROM lineitem) GROUP BY chunk_id")
 def _(spark, d):
     return relations.degrees(read(spark, d, "lineitem").select(F.col("l_partkey").alias("from_chunk_id"), F.col("l_suppkey").alias("to_chunk_id")))

@@ -3,7 +3,11 @@
 import hashlib
 import re
 
+import numpy as np
+import pytest
+
 from corpusmill import queries
+from corpusmill.operators import relations
 from tests.conftest import SF
 
 
@@ -47,3 +51,29 @@ def test_whole_inputs(spark):
             page += bool(mark)
     got = [(str(r["file_id"]), r["position"], r["hash"], r["page"]) for r in run("extract_pdf_text_all").collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+@pytest.mark.parametrize("threshold", [0.9, 0.5])
+def test_similar_pairs_are_recalled(spark, threshold):
+    rnd = np.random.default_rng(1)
+    v = rnd.normal(size=(400, 16))
+    side = rnd.normal(size=v.shape)
+    side -= v * (side * v).sum(1, keepdims=True) / (v * v).sum(1, keepdims=True)
+    c = threshold + 0.01
+    near = c * v / np.linalg.norm(v, axis=1, keepdims=True) + (1 - c * c) ** 0.5 * side / np.linalg.norm(side, axis=1, keepdims=True)
+    x = np.vstack([v, near])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {(int(a), int(b)) for a, b in np.argwhere(np.triu(unit @ unit.T, 1) >= threshold)}
+    df = spark.createDataFrame([(i, e.tolist()) for i, e in enumerate(x)], "chunk_id bigint, vector array<double>")
+    got = rows(relations.similar_to(df, threshold), "from_chunk_id", "to_chunk_id")
+    assert len(want) >= 400 and len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.97 * len(want)
+
+
+def test_similar_to_is_registered(spark):
+    e = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
+    ids, x = [r["vec_id"] for r in e], np.array([r["embedding"] for r in e], dtype=float)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {tuple(sorted((ids[a], ids[b]))) for a, b in np.argwhere(np.triu(unit @ unit.T, 1) >= 0.9)}
+    got = set(rows(queries.QUERIES["relations_similar_to"](spark, SF), "from_chunk_id", "to_chunk_id"))
+    print("recall", len(got & want), len(want))
+    assert got <= want and len(got) >= 0.97 * len(want)
