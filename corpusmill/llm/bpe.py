@@ -26,9 +26,27 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: The same for texts of Latin-1 alone, with the classes written out, for the faster engine.
 _L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
 LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
-#: Remembered pieces and verdicts on pairs, and the longest piece that is remembered. A task forgets them at its end, as the
-#: process that ran it may be kept for other work.
-REMEMBER, REMEMBER_PAIRS, LONGEST = 120_000, 200_000, 64
+#: Letters and numbers of newer Unicode versions than that of the tokenizers library, which takes them for neither.
+NEWER_L = (
+    "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF "
+    "18CD6-18CDA 18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF "
+    "2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F"
+)
+NEWER_N = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+#: Remembered pieces (of which the later half outlives a renewal) and verdicts on pairs, and the longest piece that is
+#: remembered. A task forgets them at its end, as the process that ran it may be kept for other work.
+REMEMBER, REMEMBER_PAIRS, LONGEST = 300_000, 200_000, 64
+
+
+def _chars(ranges: str) -> str:
+    return "".join("-".join(f"\\U{int(x, 16):08x}" for x in r.split("-")) for r in ranges.split())
+
+
+def pinned(pattern: str) -> str:
+    """The pattern with classes of letters and numbers as the library's Unicode version has them."""
+    for name, newer in (("L", NEWER_L), ("N", NEWER_N)):
+        pattern = pattern.replace(rf"[^\s\p{{L}}\p{{N}}]", rf"[^\s[\p{{L}}--[{_chars(NEWER_L)}]][\p{{N}}--[{_chars(NEWER_N)}]]]").replace(rf" ?\p{{{name}}}+", rf" ?[\p{{{name}}}--[{_chars(newer)}]]+")
+    return pattern
 
 
 def byte_letters() -> list[str]:
@@ -76,7 +94,7 @@ class Codec:
                 self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.added, key=len, reverse=True)))) if self.added else None
-        self.split_any, self.split_latin = regex.compile(PATTERN).findall, re.compile(LATIN).findall
+        self.split_any, self.split_latin = regex.compile(pinned(PATTERN), regex.V1).findall, re.compile(LATIN).findall
         self.known = _Known(self)
 
     def compatible(self, left: int, right: int, before: int | None = None) -> bool:
@@ -101,12 +119,11 @@ class Codec:
 
     def _last_tokens(self, letters: str) -> list[int]:
         ends: list[int] = [-1] * (len(letters) + 1)
-        agree, compatible = self.agree, self.compatible
+        agree, done = self.agree, -1
         for at, (size, token) in self.automaton.iter(letters):
-            at += 1
-            if ends[at] >= 0:
+            if at == done:
                 continue
-            start = at - size
+            start = at + 1 - size
             if start:
                 before = ends[start]
                 if before < 0:
@@ -116,10 +133,10 @@ class Codec:
                 if ok is None:
                     if len(agree) > REMEMBER_PAIRS:
                         agree.clear()
-                    ok = agree[pair] = compatible(before, token)
+                    ok = agree[pair] = self.compatible(before, token)
                 if not ok:
                     continue
-            ends[at] = token
+            ends[at + 1], done = token, at
         return ends
 
     def piece(self, text: str) -> list[int]:
@@ -137,7 +154,7 @@ class Codec:
 
     def _parts(self, text: str) -> Iterator[tuple[str, int | None]]:
         at = 0
-        for m in self.special.finditer(text) if self.special else ():
+        for m in self.special.finditer(text) if self.special and any(map(text.__contains__, self.added)) else ():
             yield text[at : m.start()], None
             yield m.group(), self.added[m.group()]
             at = m.end()
@@ -175,21 +192,29 @@ class Codec:
 
 
 class _Known(dict):
-    """Pieces to (ids, bytes decoded from the ids)."""
+    """Pieces to (ids, bytes decoded from the ids). When half of what may be remembered is new, only that half and what is
+    asked for again stay."""
 
     def __init__(self, codec: Codec):
         super().__init__()
-        self.codec = codec
+        self.codec, self.old = codec, {}
 
     def __missing__(self, piece: str) -> tuple[str, bytes]:
-        ids = self.codec.piece(piece)
-        out = (",".join(map(str, ids)), b"".join(map(self.codec.bytes_of.__getitem__, ids)))
+        out = self.old.get(piece)
+        if out is None:
+            ids = self.codec.piece(piece)
+            out = (",".join(map(str, ids)), b"".join(map(self.codec.bytes_of.__getitem__, ids)))
         if len(piece) <= LONGEST:
-            if len(self) >= REMEMBER:
+            if len(self) >= REMEMBER // 2:
+                self.old = dict(self)
                 self.clear()
             self[piece] = out
         return out
 
+    def forget(self) -> None:
+        self.clear()
+        self.old = {}
+
 
 _CODECS: dict[str, Codec] = {}
 
@@ -224,7 +249,7 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         try:
             yield from encoded(own, batches)
         finally:
-            own.known.clear()
+            own.known.forget()
             own.agree.clear()
 
     def encoded(own: Codec, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -423,3 +423,27 @@ def test_url_templates(spark):
     assert of["spam"]["verdict"] == of["junk"]["verdict"] == "block" and of["news"]["verdict"] == "allow"
     assert of["spam"]["template"] == of["junk"]["template"] == "{m}/x{n}q"
     assert of["aaw"]["template"] == "{*}/about" and of["aaw"]["verdict"] == "allow"
+
+
+def test_bpe_of_random_strings_of_all_planes():
+    import random
+
+    from tokenizers import Tokenizer
+
+    own, theirs, rnd = bpe.codec(open(bpe.default_path(), encoding="utf-8").read()), Tokenizer.from_file(bpe.default_path()), random.Random(5)
+    newer = [chr(c) for r in f"{bpe.NEWER_L} {bpe.NEWER_N}".split() for c in range(int(r.split("-")[0], 16), int(r.split("-")[-1], 16) + 1)]
+    spaces = " \t\n\r\x0b\x0c\x1c\x1f\x85\xa0  　"
+    for i in range(20_000):
+        pools = (newer, "a1!s'" + spaces, "中д ", [chr(rnd.choice((rnd.randrange(0xD800), rnd.randrange(0xE000, 0x110000))))])
+        t = "".join(rnd.choice(rnd.choice(pools)) for _ in range(rnd.randint(1, 30)))
+        assert own.encode(t) == theirs.encode(t, add_special_tokens=False).ids, repr(t)
+
+
+def test_remembered_pieces_are_bounded(monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBER", 10)
+    own = bpe.Codec(open(bpe.default_path(), encoding="utf-8").read())
+    want = {f" w{i}": own.piece(f" w{i}") for i in range(50)}
+    for _ in range(2):
+        for w, ids in want.items():
+            assert own.encode(w) == ids
+            assert len(own.known) <= 5 and len(own.known.old) <= 5
