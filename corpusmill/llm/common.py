@@ -28,11 +28,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def aside(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The frame with its columns renamed by position, so that none can clash with ours, and the new name of each."""
+    names = [f"_in{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+def whole_key(key: Column, kind: str) -> Column:
+    """A key as a long: whole numbers as they are, other texts by their hash; null stays."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return key.cast("long")
+    text = key.cast("string")
+    return F.coalesce(F.when(text.rlike("^-?[0-9]{1,19}$"), text.try_cast("long")), F.when(text.isNotNull(), F.xxhash64(text)))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session may lack it, and gets a folder of
+    our own (tests); on a cluster, where nothing else is shared, its lack is an error."""
     conf = spark.sparkContext.getConf()
     at = conf.get("spark.checkpoint.dir", None) or spark.conf.get("corpusmill.shared.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
         spark.conf.set("corpusmill.shared.dir", at)
     return at.rstrip("/")

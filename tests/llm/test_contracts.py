@@ -412,18 +412,157 @@ def test_urls(spark, which):
     assert all(r["verdict"] == verdicts.get(r["rule"], r["verdict"]) and r["verdict"] in ("allow", "block") for r in got)
 
 
+def brute_tree(pages):
+    """From (host, segments, bad or None): (host, segments) to template, purity, labelled, rejected; by recursion over places."""
+
+    def counts(rows):
+        told = [b for _, b in rows if b is not None]
+        return len(rows), len(told), sum(told)
+
+    def form(s):
+        return re.sub("[A-Za-z]+([-_][A-Za-z]+)*", "w", s.replace("{n}", "0").replace("{h}", "#"))
+
+    def side(kid, place):
+        (_, told, bad), (_, all_told, all_bad) = kid, place
+        if told < urls.MIN_LABELLED:
+            return ""
+        rate = all_bad / all_told
+        error = urls.NEAR * (rate * (1 - rate) / told) ** 0.5 + 1e-9
+        return "+" if bad / told - rate > error else "-" if bad / told - rate < -error else ""
+
+    def names(kids):
+        """kids: segment to [(rest, bad)]; what each segment is called."""
+        rows = [r for k in kids.values() for r in k]
+        rare = {s for s, k in kids.items() if len(k) * urls.SHARE < len(rows)}
+        wild = rare if len(rare) >= urls.MIN_RARE else set()
+        sides = {s: side(counts(k), counts(rows)) for s, k in kids.items()}
+        out = {s: "{*" + sides[s] + "}" if s in wild else s for s in kids}
+        forms = {s: Counter(form(rest[1] if len(rest) > 1 else "") for rest, _ in kids[s]) for s in kids}
+        groups = defaultdict(list)
+        for s in kids:
+            if s not in wild:
+                groups[sides[s], max(forms[s], key=lambda f: (forms[s][f], f.encode()))].append(s)
+        for (which, main), own in groups.items():
+            pool = sum((forms[s] for s in own), Counter())
+            total, free = sum(pool.values()), len(pool) - 1
+
+            def alike(s):
+                n = sum(forms[s].values())
+                far = sum(c * c * total / pool[f] for f, c in forms[s].items()) / n - n
+                return far <= free + urls.NEAR * (2 * free) ** 0.5 + 1e-9 or far <= urls.SLIGHT * n
+
+            near = [s for s in own if alike(s)]
+            if len(near) > 1:
+                out |= {s: "{m" + which + "|" + main + "}" for s in near}
+        return out
+
+    def walk(rows, at):
+        """rows: (lex, rest, bad); yields (lex, template)."""
+        go_on = [r for r in rows if r[1]]
+        yield from {(r[0], at) for r in rows if not r[1]}
+        if len({r[1] for r in go_on}) == 1 and len({r[0] for r in go_on}) == 1:
+            yield go_on[0][0], (*at, *go_on[0][1])
+            return
+        kids, below = defaultdict(list), defaultdict(list)
+        for _, rest, bad in go_on:
+            kids[rest[0]].append((rest, bad))
+        called = names(kids) if kids else {}
+        for lex, rest, bad in go_on:
+            below[called[rest[0]]].append((lex, rest[1:], bad))
+        for name, own in below.items():
+            yield from walk(own, (*at, name))
+
+    template = {}
+    for host in {h for h, _, _ in pages}:
+        own = [(lex, lex, bad) for h, lex, bad in pages if h == host]
+        template |= {(host, lex): t for lex, t in walk(own, ())}
+    told, bad, itself = Counter(), Counter(), Counter()
+    for host, lex, b in pages:
+        t = template[host, lex]
+        itself[host, t] += b is not None
+        for node in [("all",), ("domain", ".".join(host.split(".")[-2:])), *((host, t[:i]) for i in range(len(t) + 1))]:
+            told[node] += b is not None
+            bad[node] += bool(b)
+    out = {}
+    for (host, lex), t in template.items():
+        p, judged = (bad["all",] + 1) / (told["all",] + 2), 0.0
+        for node in [("domain", ".".join(host.split(".")[-2:])), *((host, t[:i]) for i in range(len(t) + 1))]:
+            p = (bad[node] + urls.STRENGTH * p) / (told[node] + urls.STRENGTH)
+            if node[0] == host and told[node] >= urls.MIN_LABELLED:
+                judged = p
+        out[host, lex] = ("/".join(t), round(p, 6), itself[host, t], judged >= urls.REJECT)
+    return out
+
+
+def lexical(path):
+    def one(s):
+        if re.fullmatch("[0-9]+", s):
+            return "{n}"
+        if re.fullmatch("[0-9A-Fa-f-]{8,}", s) and re.search("[0-9]", s):
+            return "{h}"
+        return "".join({"{": "%7B", "}": "%7D"}.get(c, c) if c in "{}" else c for c in re.sub("[0-9]+", "\0", s)).replace("\0", "{n}")
+
+    return tuple(one(s) for s in path.split("/") if s)
+
+
+def held_to_brute(got, labels):
+    """got: rows of filter_urls; labels: for each row true, false or None."""
+    pages = [(r["host"], lexical(r["path"]), b) for r, b in zip(got, labels, strict=True)]
+    want = brute_tree(pages)
+    for r, (host, lex, _) in zip(got, pages, strict=True):
+        template, purity, labelled, rejected = want[host, lex]
+        assert (r["template"], round(r["purity"], 6), r["labelled"]) == (template, purity, labelled)
+        assert r["rule"] or r["verdict"] == ("block" if rejected else "allow")
+
+
+@pytest.mark.parametrize("sf", ["0.01", "0.1"])
+def test_url_tree_of_the_query(spark, sf):
+    got = rows(urls.filter_urls(spark.read.parquet(f"/root/testdata/sf{sf}/pages.parquet").select("page_id", "url")))
+    held_to_brute(got, [r["verdict"] == "block" if r["rule"] else None for r in got])
+    if sf == "0.1":  # pages without a rule are judged by the tree
+        assert {r["verdict"] for r in got if not r["rule"]} == {"allow", "block"}
+
+
+def test_url_tree_of_random_sites(spark):
+    import random
+
+    rnd, data = random.Random(11), []
+    for _ in range(3000):
+        host = rnd.choice(["a.x.com", "b.x.com", "y.org", "Z.org"])
+        kind = rnd.choice(["user", "user", "blog", "news", "tag"])
+        parts = {
+            "user": ["u", f"n{rnd.choice('abcdefghij')}{rnd.choice('klmnopqrst')}{rnd.choice('uvwxyz')}", rnd.choice(["", "posts", f"post-{rnd.choice('abcdefghijklm')}q{rnd.choice('nopqrstuv')}"])],
+            "blog": [rnd.choice(["en", "de", "fr", "es"]), str(rnd.randint(1, 99)) + rnd.choice(["", "", ".html"])],
+            "news": ["news", "20" + str(rnd.randint(10, 30)), "{x}%20" + rnd.choice("ab")],
+            "tag": [rnd.choice(["tag", "cat", "{m}"]), rnd.choice("abcdefgh") * 3, "deep", "er"],
+        }[kind]
+        bad = None if rnd.random() < 0.4 else rnd.random() < {"user": 0.9, "blog": 0.5 if parts[0] == "de" else 0.1, "news": 0.0, "tag": 0.8}[kind]
+        data.append((f"http://{host}/" + "/".join(parts), bad))
+    got = rows(urls.filter_urls(spark.createDataFrame(data, "url string, bad boolean"), rules=(), label="bad"))
+    held_to_brute(got, [r["bad"] for r in got])
+    assert any("{*}" in r["template"] for r in got) and {r["verdict"] for r in got} == {"allow", "block"}
+
+
 def test_url_templates(spark):
     data = [(f"http://h.com/spam/x{i}q/", True if i % 2 else None) for i in range(40)]
     data += [(f"http://h.com/junk/x{i}q/", True if i % 2 else None) for i in range(40)]
     data += [(f"http://h.com/news/{i}.html", False if i % 2 else None) for i in range(40)]
     data += [(f"http://h.com/{chr(97 + i % 26)}{chr(97 + i // 26)}w/about", None) for i in range(60)]
-    df = spark.createDataFrame(data, "url string, bad boolean")
+    df = spark.createDataFrame(data, "url string, bad boolean").withColumn("reject", F.lit(True)).withColumn("_lex", F.lit(1)).withColumn("template", F.lit(1))
     got = rows(urls.filter_urls(df, rules=(), label="bad"))
+    assert all(r["reject"] is True and r["_lex"] == 1 for r in got)
     of = {r["url"].split("/")[3]: r for r in got}
     assert of["spam"]["verdict"] == of["junk"]["verdict"] == "block" and of["news"]["verdict"] == "allow"
-    assert of["spam"]["template"] == of["junk"]["template"] == "{m}/x{n}q"
-    assert of["aaw"]["template"] == "{*}/about" and of["aaw"]["verdict"] == "allow"
+    assert of["spam"]["template"] == of["junk"]["template"] == "{m+|w0w}/x{n}q"
+    assert of["aaw"]["template"] == "{*}/about" and of["aaw"]["labelled"] == 0
+
 
+def test_variable_segments_in_a_row(spark):
+    names = [f"{a}{b}{c}" for a in "abcdefgh" for b in "ijklm" for c in "nopqr"]
+    for pages in (2, 20):  # however many pages a user has
+        data = [(f"http://h.com/u/{u}/post-{v}{u[::-1]}z", True if i % 3 else None) for i, u in enumerate(names) for v in names[:pages]]
+        got = rows(urls.filter_urls(spark.createDataFrame(data, "url string, bad boolean"), rules=(), label="bad"))
+        assert {(r["template"], r["verdict"]) for r in got} == {("u/{*}/{*}", "block")}
 
 def test_bpe_of_random_strings_of_all_planes():
     import random
