@@ -13,7 +13,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, n_words, small, table
+from corpusmill.llm.common import aside, cut, n_words, small, table
 
 #: Parts of a size class, so that a source of equal sizes doesn't meet in one task.
 PARTS = 64
@@ -36,14 +36,14 @@ def targets(sizes: dict[str | None, int], weights: tuple[int, ...] = (1, 2, 3),
     return out
 
 
-def _cells(source: Column, size: Column, key: Column) -> list[Column]:
+def _cells(source: Column, size: Column, key: Column, text: Column) -> list[Column]:
     """Source key, ordered size class (bit length and the four bits below the first) and part."""
     bits = F.length(F.bin(size))
     top = F.when(bits > 4, F.expr("shiftright(_size, length(bin(_size)) - 5) & 15L")).otherwise(size)
     return [
         F.coalesce(F.concat(F.lit("s"), source), F.lit("n")).alias("_src"),
         (bits * 16 + top).cast("int").alias("_class"),
-        (F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), size)), 1, 4), 16, 10).cast("int") % PARTS).alias("_part"),
+        (F.conv(F.substring(F.md5(F.concat_ws(":", key.cast("string"), size, F.md5(F.coalesce(text, F.lit(""))))), 1, 4), 16, 10).cast("int") % PARTS).alias("_part"),
     ]
 
 
@@ -51,14 +51,17 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     """Add size (words), source_size, target (words, of the source) and copies to every row; a rerun gives the same.
 
     Null text: size 0. Null source: a source of its own, last in order. A source without words: target 0, no copies.
-    Repeated rows and equal keys: each row stands for itself. Empty table: empty result. Columns of these names that the input
-    has are replaced. The number of sources is taken to be small (their totals come to the driver), rows per source aren't.
+    Repeated rows and equal or null keys: each row stands for itself, in the order of a hash of the whole row, so that the
+    order of the input changes nothing. Empty table: empty result. Columns of these names that the input has are replaced;
+    other names can't clash. The number of sources is taken to be small (their totals come to the driver), rows per source
+    aren't.
     """
     spark = df.sparkSession
     new = {"size", "source_size", "target", "copies"}
-    kept = [c for c in df.columns if c not in new]
-    sized = df.select(*kept, n_words(F.col(text)).alias("_size"))
-    sized = sized.select("*", *_cells(F.col(source), F.col("_size"), F.col(key)))
+    own, name = aside(df)
+    plain = [name[c] for c in df.columns if not any(x in df.schema[c].dataType.simpleString() for x in ("map<", "variant"))]
+    sized = own.select("*", n_words(F.col(name[text])).alias("_size"), F.xxhash64(*plain).alias("_tie"))
+    sized = sized.select("*", *_cells(F.col(name[source]), F.col("_size"), F.col(name[key]), F.col(name[text])))
     cells = cut(sized.groupBy("_src", "_class", "_part").agg(F.count(F.lit(1)).alias("n"), F.sum("_size").alias("words")), "mix-cells")
 
     totals = {r["_src"]: r for r in cells.groupBy("_src").agg(F.sum("words").alias("words")).collect()}
@@ -75,10 +78,11 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
     base = cells.select("_src", "_class", "_part", F.coalesce(F.sum("n").over(within), F.lit(0)).alias("_in")).join(classes, ["_src", "_class"])
     base = base.select("_src", "_class", "_part", (F.col("_before") + F.col("_in")).cast("long").alias("_base"))
 
-    order = Window.partitionBy("_src", "_class", "_part").orderBy("_size", F.col(key))
+    order = Window.partitionBy("_src", "_class", "_part").orderBy("_size", F.col(name[key]), "_tie")
     ranked = sized.withColumn("_rank", F.row_number().over(order).cast("long") - 1).join(base, ["_src", "_class", "_part"]).join(small(plan, len(rows)), "_src")
     at = F.col("_base") + F.col("_rank")
     copies = F.floor((at + 1) * F.col("_expected") + F.col("_offset")) - F.floor(at * F.col("_expected") + F.col("_offset"))
+    kept = [F.col(name[c]).alias(c) for c in df.columns if c not in new]
     return ranked.select(*kept, F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"))
 
 
@@ -97,7 +101,7 @@ QUERIES = {"op9_systematic_mix": op9}
 ORACLES = {
     # Shares by weight, capped in the order of how soon a source reaches its cap; ranks by size class, part, size and id.
     "op9_systematic_mix": """
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS digest, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS words FROM d GROUP BY source),
 w AS (SELECT source, words, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS w FROM s),
 o AS (SELECT *, (sum(words) OVER () - coalesce(sum(3 * words) OVER a, 0))::BIGINT AS rest, sum(w) OVER (ORDER BY 3 * words::DOUBLE / w, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)::BIGINT AS open
@@ -107,7 +111,7 @@ f AS (SELECT coalesce(arg_min(rest, 3 * words::DOUBLE / w) FILTER (NOT capped),
 t AS (SELECT source, words, CASE WHEN capped THEN 3.0::DOUBLE * words ELSE (f.rest * w)::DOUBLE / f.open END AS target,
       CASE WHEN words = 0 THEN 0 WHEN capped THEN 3 ELSE (f.rest * w)::DOUBLE / (f.open * words) END AS e,
       ('0x' || substr(md5('17:' || coalesce('s' || source, 'n')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM c, f),
-k AS (SELECT *, bit_length(bin(size)) // 8 AS bits, ('0x' || substr(md5(doc_id || ':' || size), 1, 4))::BIGINT % 64 AS part FROM d),
+k AS (SELECT *, bit_length(bin(size)) // 8 AS bits, ('0x' || substr(md5(doc_id || ':' || size || ':' || digest), 1, 4))::BIGINT % 64 AS part FROM d),
 r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY bits * 16 + CASE WHEN bits > 4 THEN (size >> (bits - 5)) & 15 ELSE size END, part, size, doc_id) - 1 AS rank FROM k)
 SELECT doc_id, size, words AS source_size, target, ((floor((rank + 1) * e + u) - floor(rank * e + u)) * size)::BIGINT AS taken FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source"""
 }

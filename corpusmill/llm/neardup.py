@@ -16,8 +16,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corpusmill.llm.common import cut, discard, small, small_batches, table
+from corpusmill.llm.common import aside, cut, discard, small, small_batches, table, whole_key
 
 N, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
@@ -76,7 +77,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
             sizes.append(len(own))
             keys.append(bands(own) if len(own) else None)
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "grams_id", "text_id", "n_grams", "bands"])
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(sets, pa.binary()), pa.array(texts, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], ["rid", "hash", "grams_id", "text_id", "n_grams", "bands"])
     _WORDS.clear()
 
 
@@ -183,22 +184,25 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     _WORDS.clear()
 
 
-def join_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """rid, class_id, copy_of, n_links for every row.
+def _similar(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The rows with rid and _hash (of the text), and of each: rid, hash, group (a node's label, or null for a text without
+    n-grams), class_id, copy_of, n_links.
 
-    rid is the key, or where it is null a hash of the text. class_id: the smallest rid of all that the row hangs together with
-    by links of similarity 0.8 or more (itself, without links). copy_of: the smallest rid of the texts with the same n-gram
-    set. n_links: other texts, different as texts, of similarity 0.8 or more. Null, empty and blank texts have no n-grams and
-    no links. Repeated rows fall into one class; different texts under one key count as one node. Empty table: empty result.
-    """
+    A node is a class of texts, named by its smallest rid, or by a hash of its n-grams if another class has the same rid."""
     small_batches(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(key).cast("long"), F.xxhash64(text)).alias("rid"), F.col(text).alias("_text"))
-    rows = cut(docs.mapInArrow(_sketch, "rid bigint, grams_id binary, text_id binary, n_grams bigint, bands array<bigint>"), "sketch")
-
-    texts = rows.where("grams_id is not null").groupBy("grams_id", "text_id").agg(F.min("rid").alias("rid"))
-    classes = texts.groupBy("grams_id").agg(F.min("rid").alias("nid"), F.count(F.lit(1)).alias("n_texts"))
-    classes = cut(classes, "classes")
-    first = rows.where("grams_id is not null").join(classes.withColumnRenamed("nid", "rid"), ["grams_id", "rid"]).select("grams_id", F.col("rid").alias("nid"), "n_grams", "n_texts", "bands")
+    own, name = aside(df)
+    text = F.col(name[text]).cast("string")
+    kind = df.schema[key].dataType.simpleString()
+    docs = own.select("*", F.coalesce(whole_key(F.col(name[key]), kind), F.xxhash64(text)).alias("rid"), F.xxhash64(text).alias("hash"), text.alias("_text"))
+    rows = cut(docs.select("rid", "_text", "hash").mapInArrow(_sketch, "rid bigint, hash bigint, grams_id binary, text_id binary, n_grams bigint, bands array<bigint>"), "sketch")
+
+    some = rows.where("grams_id is not null")
+    texts = some.groupBy("grams_id", "text_id").agg(F.min("rid").alias("rid"))
+    classes = cut(texts.groupBy("grams_id").agg(F.min("rid").alias("low"), F.count(F.lit(1)).alias("n_texts")), "classes")
+    shared = classes.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", F.lit(True).alias("shared"))
+    shared = small(shared, shared.count())
+    classes = cut(classes.join(shared, "low", "left").select("grams_id", "low", "n_texts", F.when(F.col("shared"), F.xxhash64("grams_id")).otherwise(F.col("low")).alias("nid")), "classes")
+    first = some.join(classes.withColumnRenamed("low", "rid"), ["grams_id", "rid"]).select("nid", "bands")
 
     keys = cut(first.select("nid", F.explode("bands").alias("band")).distinct(), "band-keys")
     met = keys.groupBy("band").agg(F.min("nid").alias("leader"), F.max("nid").alias("last")).where("leader < last").select("band", "leader")
@@ -207,34 +211,65 @@ def join_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     discard(keys)
     n = label.count()
 
-    members = rows.where("grams_id is not null").select("grams_id", "rid", "n_grams").join(classes.withColumnRenamed("nid", "rid"), ["grams_id", "rid"]).distinct()
-    members = members.join(small(label.withColumnRenamed("node", "rid"), n), "rid")
+    members = some.select("grams_id", "rid", "n_grams").join(classes.withColumnRenamed("low", "rid"), ["grams_id", "rid"]).distinct()
+    members = members.join(small(label.withColumnRenamed("node", "nid"), n), "nid")
     sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("w"))
     block = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.floor(F.col("m") / 64)))
     sizes = sizes.select("label", F.greatest(F.lit(1), F.ceil(F.col("m") / block), F.ceil(F.col("w") / BLOCK_GRAMS)).cast("int").alias("nb"))
-    members = cut(members.join(sizes, "label").select("rid", "grams_id", "n_texts", "label", "nb", F.pmod(F.xxhash64("rid"), F.col("nb")).cast("int").alias("blk")), "members")
-    near = docs.join(small(members, n), "rid").select("rid", "grams_id", "n_texts", "label", "nb", "blk", "_text").mapInArrow(_gather, "rid bigint, grams_id binary, n_texts bigint, label bigint, nb int, blk int, is_id binary, grams array<bigint>")
+    members = cut(members.join(sizes, "label").select("rid", "nid", "grams_id", "n_texts", "label", "nb", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int").alias("blk")), "members")
+    near = docs.select("rid", "_text").join(small(members, n), "rid").select("nid", "grams_id", "n_texts", "label", "nb", "blk", "_text").mapInArrow(_gather, "nid bigint, grams_id binary, n_texts bigint, label bigint, nb int, blk int, is_id binary, grams array<bigint>")
     near = near.where("is_id = grams_id").withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    near = near.select("label", F.least("blk", "_x").cast("long").alias("i"), F.greatest("blk", "_x").cast("long").alias("j"), "rid", "blk", "n_texts", "grams_id", "grams")
+    near = near.select("label", F.least("blk", "_x").cast("long").alias("i"), F.greatest("blk", "_x").cast("long").alias("j"), "nid", "blk", "n_texts", "grams_id", "grams")
     near = near.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
     links = cut(near.mapInArrow(_verify, "leader bigint, node bigint, links bigint"), "links")
 
     groups = components(links.select("leader", "node"))
-    counts = links.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node")
-    told = cut(classes.join(counts.withColumnRenamed("node", "nid"), "nid", "left"), "told")
-    out = rows.select("rid", "grams_id").join(told, "grams_id", "left")
-    own = F.coalesce("nid", "rid")
-    return out.select("rid", F.coalesce("label", own).alias("class_id"), own.alias("copy_of"), (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n_texts") - 1, F.lit(0))).cast("long").alias("n_links"))
+    counts = links.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node").withColumnRenamed("node", "nid")
+    told = cut(classes.join(counts, "nid", "left").select("grams_id", "low", "n_texts", F.coalesce("label", "nid").alias("group"), "links"), "told")
+    ids = told.where("links is not null").groupBy("group").agg(F.min("low").alias("class_id"))
+    told = cut(told.join(ids, "group", "left").select("grams_id", "low", "n_texts", "group", "links", F.coalesce("class_id", "low").alias("class_id")), "told")
+    out = rows.select("rid", "hash", "grams_id").join(told, "grams_id", "left")
+    links = (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n_texts") - 1, F.lit(0))).cast("long")
+    return docs.drop("_text"), out.select("rid", "hash", "group", F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("low", "rid").alias("copy_of"), links.alias("n_links"))
+
+
+def join_similar(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """rid, class_id, copy_of, n_links for every row.
+
+    rid is the key (a key that is no whole number: its hash), or where it is null a hash of the text. class_id: the smallest
+    rid of all that the row hangs together with by links of similarity 0.8 or more (itself, without links). copy_of: the
+    smallest rid of the texts with the same n-gram set. n_links: other texts, different as texts, of similarity 0.8 or more.
+    Null, empty and blank texts have no n-grams and no links. Repeated rows fall into one class; different texts under one
+    key go by themselves. Empty table: empty result. Other columns are ignored, whatever their names.
+    """
+    return _similar(df, key, text)[1].select("rid", "class_id", "copy_of", "n_links")
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each group that hangs together, the one of the smallest key, with the columns of the input."""
-    told = cut(join_similar(df, key, text), "groups")
-    rid = F.coalesce(F.col(key).cast("long"), F.xxhash64(text))
-    gone = told.where("class_id != rid").select(F.col("rid").alias("_rid")).distinct()
-    left = df.withColumn("_rid", rid).join(small(gone, gone.count()), "_rid", "left_anti")
-    seen = told.groupBy("rid").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n").alias("n")).first()["n"]
-    return (left.dropDuplicates(["_rid"]) if (seen or 0) > 1 else left).drop("_rid").select(*df.columns)
+    """One row of each group that hangs together, the one of the smallest rid, with the columns of the input.
+
+    Rows whose texts have no n-grams all stay. Different texts under one key are told apart; of rows that share key and text,
+    the one of the smallest hash stays. Empty table: empty result. Reruns agree."""
+    docs, told = _similar(df, key, text)
+    told = cut(told, "groups").where("group is not null")
+    first = told.groupBy("group").agg(F.min(F.struct("rid", "hash")).alias("first"))
+    gone = told.join(first, "group").where(F.struct("rid", "hash") != F.col("first")).select("rid", "hash").distinct()
+    gone = cut(gone, "gone")
+    left = docs.join(small(gone, gone.count()), ["rid", "hash"], "left_anti")
+    again = told.groupBy("rid", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rid", "hash")
+    again = cut(again.join(gone, ["rid", "hash"], "left_anti"), "again")
+    names = [c for c in docs.columns if c not in ("rid", "hash")]
+    if again.head(1):  # rows that share key and text: one of each, by a partial minimum
+        marked = left.join(small(again.withColumn("_again", F.lit(True)), again.count()), ["rid", "hash"], "left")
+        plain = [c for c in names if not _unordered(docs.schema[c].dataType)]
+        one = marked.where("_again").groupBy("rid", "hash").agg(F.min_by(F.struct(*names), F.xxhash64(*plain)).alias("_one")).select("_one.*")
+        left = marked.where("_again is null").select(*names).unionByName(one)
+    return left.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])
+
+
+def _unordered(kind: T.DataType) -> bool:
+    """Types that can't be hashed."""
+    return any(x in kind.simpleString() for x in ("map<", "variant"))
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, small_batches, table
+from corpusmill.llm.common import aside, cut, small_batches, table
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
@@ -176,18 +176,23 @@ def judge(voted: DataFrame, known: dict[str, float]) -> DataFrame:
 def score(df: DataFrame, text: str = "text") -> DataFrame:
     """Counts, votes, quality and kept for every row, without the text.
 
-    Null or blank text: no words, base_failed, not kept. Equal rows get equal verdicts. Empty table: empty result."""
-    voted = cut(annotate(df, text, drop_text=True), "quality")
-    return judge(voted, _learn(voted))
+    Null or blank text: no words, base_failed, not kept. Equal rows get equal verdicts. Empty table: empty result. Columns of
+    these names that the input has are replaced; other names can't clash."""
+    new = [*STATS, "base_failed", "votes", "quality", "kept"]
+    own, name = aside(df)
+    voted = cut(annotate(own, name[text], drop_text=True), "quality")
+    kept = [F.col(name[c]).alias(c) for c in df.columns if c not in new and c != text]
+    return judge(voted, _learn(voted)).select(*kept, *new)
 
 
 def keep_good(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows that are kept, with the columns of the input. Two scans, no shuffle of texts."""
-    clash = [c for c in df.columns if c in {*STATS, "base_failed", "votes", "quality", "kept"}]
-    own = df.withColumnsRenamed({c: f"_own_{c}" for c in clash})
-    known = _learn(annotate(df.select(text), text, drop_text=True).select("votes"))
-    good = judge(annotate(own, text), known).where("kept")
-    return good.select(*[F.col(f"_own_{c}" if c in clash else c).alias(c) for c in df.columns])
+    """The rows that are kept, with the columns of the input, whatever their names. Two scans, no shuffle of texts.
+
+    Null and blank texts go. Equal rows stay or go together. Empty table: empty result."""
+    own, name = aside(df)
+    known = _learn(annotate(own.select(name[text]), name[text], drop_text=True).select("votes"))
+    good = judge(annotate(own, name[text]), known).where("kept")
+    return good.select(*[F.col(name[c]).alias(c) for c in df.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

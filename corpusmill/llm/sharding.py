@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, small, table
+from corpusmill.llm.common import aside, cut, small, table, whole_key
 
 #: Fixed value of the published algorithm.
 MULTIPLIER = 2862933555777941757
@@ -42,30 +42,32 @@ def jump_shards(key: str, counts: list[int]) -> str:
     return f"aggregate(sequence(1, {most + 1}), named_struct({start}), (s, i) -> if(s.j >= {most}, s, named_struct({walk})), s -> named_struct({out}))"
 
 
-def _part(key: str) -> Column:
-    return F.conv(F.substring(F.md5(F.expr(key).cast("string")), 1, 4), 16, 10).cast("int") % PARTS
+def _part(key: str, crc: Column) -> Column:
+    """Part of a row: by key and text, so that a key that many rows have isn't one part."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.expr(key).cast("string"), crc)), 1, 4), 16, 10).cast("int") % PARTS
 
 
 def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 24) -> DataFrame:
     """Add size, text_crc32, law, shard, slot and grown_shard to every row.
 
-    Slots number the rows of a shard from 0 without gaps, by part and key. Null key: counts as 0. Null text: size 8, crc32 0.
-    Equal keys share a shard and get slots in the order of crc32 and size; equal rows get neighbouring slots. Empty table:
-    empty result. Columns of these names that the input has are replaced.
+    Slots number the rows of a shard from 0 without gaps, by part, key, crc32 and size. Null key: counts as 0; a key that is
+    no whole number: as its hash. Null text: size 8, crc32 0. Equal keys share a shard; equal rows get neighbouring slots.
+    Empty table: empty result. Columns of these names that the input has are replaced; other names can't clash.
     """
-    spark = df.sparkSession
-    new = {"size", "text_crc32", "law", "shard", "slot", "grown_shard", "_part", "_base"}
-    kept = [c for c in df.columns if c not in new]
-    k = f"coalesce(cast(`{key}` as bigint), 0L)"
-    t = F.coalesce(F.col(text), F.lit(""))
-    placed = df.select(*kept, (F.octet_length(t) + 8).cast("long").alias("size"), F.crc32(t).alias("text_crc32"), F.expr(jump_shards(k, [shards, shards + 1])).alias("_s"), _part(k).alias("_part"))
+    new = {"size", "text_crc32", "law", "shard", "slot", "grown_shard"}
+    own, name = aside(df)
+    k = "coalesce(_key, 0L)"
+    t = F.coalesce(F.col(name[text]), F.lit(""))
+    keyed = own.withColumn("_key", whole_key(F.col(name[key]), df.schema[key].dataType.simpleString())).withColumn("text_crc32", F.crc32(t))
+    placed = keyed.select("*", (F.octet_length(t) + 8).cast("long").alias("size"), F.expr(jump_shards(k, [shards, shards + 1])).alias("_s"), _part(k, F.col("text_crc32")).alias("_part"))
     placed = placed.select("*", F.lit("key").alias("law"), F.col("_s.s0").alias("shard"), F.col("_s.s1").alias("grown_shard")).drop("_s")
-    sizes = df.select(F.expr(jump_shards(k, [shards])).alias("_s"), _part(k).alias("_part"))
+    sizes = keyed.select(F.expr(jump_shards(k, [shards])).alias("_s"), _part(k, F.col("text_crc32")).alias("_part"))
     sizes = sizes.groupBy(F.col("_s.s0").alias("shard"), "_part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     base = cut(sizes.select("shard", "_part", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("_base")), "shard-base")  # at most shards * PARTS rows
-    order = Window.partitionBy("shard", "_part").orderBy(F.col(key), "text_crc32", "size")
+    order = Window.partitionBy("shard", "_part").orderBy("_key", "text_crc32", "size")
     out = placed.withColumn("slot", F.row_number().over(order).cast("long") - 1).join(small(base, shards * PARTS), ["shard", "_part"])
+    kept = [F.col(name[c]).alias(c) for c in df.columns if c not in new]
     return out.withColumn("slot", F.col("slot") + F.col("_base")).select(*kept, "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
@@ -91,6 +93,6 @@ x AS MATERIALIZED (SELECT doc_id, octet_length(encode(t)) + 8 AS size, CASE WHEN
 s AS (SELECT DISTINCT coalesce(doc_id, 0) AS id, (CASE WHEN coalesce(doc_id, 0) < 0 THEN coalesce(doc_id, 0)::HUGEINT + 18446744073709551616 ELSE coalesce(doc_id, 0) END)::UHUGEINT AS k, -1::BIGINT AS b, 0::BIGINT AS j FROM d
       UNION ALL SELECT id, n, j, floor((j + 1) * (2147483648.0::DOUBLE / ((n // 8589934592)::DOUBLE + 1)))::BIGINT FROM (SELECT id, j, (k * {MULTIPLIER} + 1) % 18446744073709551616::UHUGEINT AS n FROM s WHERE j < 25)),
 p AS (SELECT id, max(j) FILTER (j < 24)::INTEGER AS shard, max(j) FILTER (j < 25)::INTEGER AS grown_shard FROM s GROUP BY id)
-SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(id::VARCHAR), 1, 4))::BIGINT % 256, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY ('0x' || substr(md5(id::VARCHAR || ':' || text_crc32), 1, 4))::BIGINT % 256, doc_id NULLS FIRST, text_crc32, size) - 1 AS slot, grown_shard
 FROM x JOIN p ON p.id = coalesce(doc_id, 0)"""
 }

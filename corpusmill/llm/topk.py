@@ -12,18 +12,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, table
+from corpusmill.llm.common import cut, table, whole_key
 
-#: Queries of a block, candidates of one matrix product, bins of a histogram.
-BLOCK, CHUNK, BINS = 4096, 512, 256
+#: Queries of a block, candidates of one matrix product, bins of a histogram; scores end at so much, either way.
+BLOCK, CHUNK, BINS, MOST = 4096, 512, 256, 2**61
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     whole = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
-    return df.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & whole)
+    return df.select(whole_key(F.col(key), df.schema[key].dataType.simpleString()).alias("vec_id"), F.col(vector).alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull() & whole)
+
+
+def _whole(x: Column, scale: float) -> Column:
+    """floor(scale * x) as a double; from 2**53 on, every double is whole."""
+    y = x.cast("double") * scale
+    return F.when(F.abs(y) < 2.0**53, F.floor(y).cast("double")).otherwise(y)
 
 
 def _matrix(column: pa.Array, scale: float) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -44,7 +50,7 @@ class _Block:
     def __init__(self, ids: np.ndarray, q: np.ndarray, reach: float):
         order = np.argsort(ids, kind="stable")
         self.ids, self.q = ids[order], q[order]
-        bound = np.floor(np.sqrt((self.q**2).sum(1)) * reach * (1 + 1e-9)).astype(np.int64) + 1
+        bound = np.minimum(np.floor(np.sqrt((self.q**2).sum(1)) * reach * (1 + 1e-9)), MOST).astype(np.int64) + 1
         self.low, self.width = -bound, np.maximum(1, -(-(2 * bound + 1) // BINS))
         self.span = 2 * bound + 1  # the range is low, ..., low + span - 1
         self.above = np.zeros(len(ids), np.int64)  # candidates above the range
@@ -56,10 +62,16 @@ def _scores(block: _Block, ids: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.
     exact = (np.abs(block.q).max(initial=0) * np.abs(c).max(initial=0) * max(1, c.shape[1])) < 2**53
     for i in range(0, len(ids), CHUNK):
         part, own = c[i : i + CHUNK], ids[i : i + CHUNK]
-        s = (block.q @ part.T).astype(np.int64) if exact else block.q.astype(np.int64) @ part.T.astype(np.int64)
+        s = (block.q @ part.T).astype(np.int64) if exact else _long_scores(block.q, part)
         yield own, s, block.ids[:, None] != own[None, :]
 
 
+def _long_scores(q: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Inner products by Python's integers, within MOST."""
+    s = np.array([[int(x) for x in row] for row in q], object).reshape(q.shape) @ np.array([[int(x) for x in row] for row in c], object).reshape(c.shape).T
+    return np.clip(s, -MOST, MOST).astype(np.int64)
+
+
 def _select(candidates: DataFrame, block: _Block, k: int, scale: float) -> DataFrame:
     spark = candidates.sparkSession
     d = block.q.shape[1]
@@ -145,12 +157,13 @@ def top_k(df: DataFrame, is_query, k: int = 20, key: str = "vec_id", vector: str
 
     A row isn't a candidate for a query of its own id. Null ids, null vectors and vectors with null or non-finite components
     take no part; vectors are only compared with those of equal length. A query id that several rows have counts once, with
-    the smallest vector; as candidates, repeated rows all count. Other columns are ignored. Empty table: empty result.
+    the smallest vector; as candidates, repeated rows all count. Keys that are no whole numbers count as their hash. Scores
+    beyond 2**61 count as that, either way. Other columns are ignored. Empty table: empty result.
     """
     spark = df.sparkSession
     usable = _usable(df, key, vector)
     queries = usable.where(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
-    norms = usable.groupBy(F.size("v").alias("d")).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x.cast("double") * scale) * F.floor(x.cast("double") * scale))).alias("m"))
+    norms = usable.groupBy(F.size("v").alias("d")).agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + _whole(x, scale) * _whole(x, scale))).alias("m"))
     reach = {r["d"]: r["m"] ** 0.5 for r in norms.collect()}
     n = queries.count()
     parts = -(-n // BLOCK)

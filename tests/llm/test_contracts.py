@@ -39,7 +39,8 @@ def docs(request, spark):
     if request.param == "table":
         return spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "source")
     df = spark.createDataFrame(AWKWARD if request.param == "awkward" else [], SCHEMA)
-    return df.withColumn("size", F.lit("clash")).withColumn("spans", F.lit(1)).withColumn("kept", F.lit(2)).withColumn("label", F.lit(3))
+    clash = "size spans kept label quality votes reject rid hash group shard slot target copies _size _tie _part _row _base _text".split()
+    return df.select("*", *[F.lit(f"clash {c}").alias(c) for c in clash])
 
 
 def rows(df):
@@ -250,6 +251,45 @@ def test_mixing(docs):
     assert mixing.emit(mixing.mix(docs)).count() == sum(r["copies"] for r in got)
 
 
+def test_mixing_of_tied_rows(spark):
+    import random
+
+    data = [(None if i % 3 else 7, f"{'abcdefgh'[i % 8]}{i} x y z", "s", i) for i in range(400)] * 2
+    want = None
+    for seed in range(3):
+        random.Random(seed).shuffle(data)
+        df = spark.createDataFrame(data, "doc_id bigint, text string, source string, extra int").repartition(seed + 1)
+        got = Counter((r["text"], r["copies"]) for r in rows(mixing.mix(df.union(df.withColumn("source", F.lit("t"))))))
+        assert want is None or got == want
+        want = got
+    assert len({c for _, c in want}) > 1
+
+
+def test_different_texts_under_one_id_stay(spark):
+    say = lambda w: " ".join(f"{w}{i}" for i in range(40))
+    data = [(1, say("a"), 0), (1, say("b"), 1), (1, say("b"), 2), (2, say("a") + " more", 3), (3, say("b"), 4), (1, "", 5), (1, None, 6), (None, say("c"), 7), (None, say("d"), 8), (None, say("c"), 9)]
+    for seed in range(2):
+        df = spark.createDataFrame(data[::-1] if seed else data, "doc_id bigint, text string, n int")
+        got = rows(neardup.keep_one(df))
+        assert sorted((r["doc_id"] or 0, r["text"] or "") for r in got) == sorted([(1, say("a")), (1, say("b")), (1, ""), (1, ""), (0, say("c")), (0, say("d"))])
+        assert seed == 0 or sorted(r["n"] for r in got) == before
+        before = sorted(r["n"] for r in got)
+    links = {(r["rid"], r["class_id"], r["n_links"]) for r in rows(neardup.join_similar(df.where("n < 5")))}
+    assert links == {(1, 1, 1), (1, 1, 0), (2, 1, 1), (3, 1, 0)}
+
+
+def test_keys_that_are_no_numbers(spark):
+    df = spark.createDataFrame([("a", "w x y z v"), ("b", "w x y z v"), ("12", "q"), (None, "q"), ("99999999999999999999", None)], "doc_id string, text string")
+    near = rows(neardup.join_similar(df))
+    assert len(near) == 5 and 12 in {r["rid"] for r in near} and sorted(r["class_id"] == near[0]["class_id"] for r in near).count(True) == 2
+    assert {r["doc_id"] for r in rows(sharding.shard(df))} == {"a", "b", "12", None, "99999999999999999999"}
+    vectors = spark.createDataFrame([("a", [1.0]), ("b", [2.0]), (None, [3.0])], "vec_id string, embedding array<double>")
+    assert len(rows(topk.top_k(vectors, F.lit(True)))) == 2
+    huge = spark.createDataFrame([(i, [10.0**i, 1e300 * (-1) ** i]) for i in range(4)], "vec_id bigint, embedding array<double>")
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in rows(topk.top_k(huge, F.lit(True))))
+    assert got[:3] == [(0, 1, 2, 2**61), (0, 2, 1, -(2**61)), (0, 3, 3, -(2**61))]
+
+
 def brute_grams(t):
     w = (t or "").encode().split()
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
@@ -317,8 +357,9 @@ TURNS = [
 ]
 
 
+@pytest.mark.parametrize("layouts", [True, False])
 @pytest.mark.parametrize("which", ["table", "awkward", "empty"])
-def test_chat(spark, which):
+def test_chat(spark, which, layouts):
     if which == "table":
         df = spark.read.parquet(f"{SF}/conversations.parquet")
     else:
@@ -326,7 +367,7 @@ def test_chat(spark, which):
     want = defaultdict(list)
     for r in rows(df):
         want[r["conv_id"]].append((r["turn"] is not None, r["turn"] or 0, r["role"] or "", r["text"] or ""))
-    chats = chat.format_chats(chat.turns_of_struct(chat.gather(df), "record"))
+    chats = chat.format_chats(chat.turns_of_struct(chat.layouts_of(chat.gather(df)) if layouts else chat.gather(df), "record"))
     got = rows(chats.withColumn("back", chat.read_back(F.col("formatted"))))
     assert len(got) == len(want)
     for r in got:
@@ -364,6 +405,54 @@ def test_chat_layouts(spark):
     assert got == {0: [("user", "p"), ("assistant", "c")], 1: [("user", "hi"), ("assistant", "yo")], 2: [("user", "i\n\nx"), ("assistant", "o")], 3: [("user", "q"), ("assistant", "a")], 4: None, 5: None, 6: None}
 
 
+def test_chat_layouts_of_any_json(spark):
+    hi = [("user", "p"), ("assistant", "c")]
+    cases = [
+        ('{"id": 7, "prompt": "p", "completion": "c", "meta": {"a\\"b": [1, {"c`d": 2}]}}', hi),
+        ('{"a\\"b": 1}', None),
+        ('{"messages": []}', []),
+        ('{"messages": [], "system": "s"}', [("system", "s")]),
+        ('{"messages": [{"role": "user", "name": "x"}, {"role": "assistant", "content": "c", "tool": [1]}]}', [("user", ""), ("assistant", "c")]),
+        ('{"data": {"prompt": "p", "completion": "c"}, "source": "z"}', hi),
+        ('{"system": "s", "conversations": [{"from": "human", "value": "p"}, {"from": "gpt", "value": "c"}]}', [("system", "s"), *hi]),
+        ('{"messages": [{"turn": 2, "role": "assistant", "text": "c"}, {"turn": 1, "role": "user", "text": "p", "extra": null}]}', hi),
+        ('{"messages": ["p", "c"]}', None),
+        ('{"messages": "p"}', None),
+        ('{"prompt": {"a": 1}, "completion": "c"}', None),
+        ('{"prompt": 5, "completion": null}', [("user", "5"), ("assistant", "")]),
+        ('{"prompt": "p", "completion": "c", "response": "r"}', None),
+        ('{"": 1, "x.y": [[{"k": []}]], "<a: B>": {}}', None),
+        ('{"prompt": "p", "prompt": "q", "completion": "c"}', None),
+        ("[]", None), ("1", None), ('"prompt"', None), ("{", None), ("", None), (None, None),
+    ]
+    df = spark.createDataFrame([(i, r) for i, (r, _) in enumerate(cases)], "id int, record string").withColumn("turns", F.lit("clash"))
+    got = {r["id"]: r["turns"] for r in rows(chat.turns_of_json(df, "record"))}
+    for i, (record, want) in enumerate(cases):
+        turns = None if got[i] is None else [(t["role"], t["text"] or "") for t in got[i]]
+        assert turns == want, record
+    with pytest.raises(Exception, match="no mapping for the layout `a\"b`"):
+        chat.turns_of_json(spark.createDataFrame([(cases[1][0],)], "record string"), "record", unknown="error").collect()
+
+
+def brute_paths(x, at=""):
+    def name(k):
+        return k if re.fullmatch("[A-Za-z_][A-Za-z0-9_]*", k) else "`" + k.replace("`", "``") + "`"
+
+    if isinstance(x, dict):
+        return {p for k, v in x.items() for p in brute_paths(v, (at + "." if at else "") + name(k))}
+    if isinstance(x, list):
+        return {p for v in x for p in brute_paths(v, at + "[]")} if x else {at + "[0]"}
+    return {at}
+
+
+def test_json_paths(spark):
+    import json
+
+    records = [{"a b": 1, 'q"x': {"c`d": [1, 2], "e": {"f": [{"g": [[{"h": 1}]]}]}}, "m": [], "é": [{"r": 1}, {"c": "x"}], "x.y": [[{"k": True}]], "n": None, "<": {"OBJECT<": "VOID"}}, {"A": 1.5, "a": {"A": [{"VOID": 1}, {"VOID": 2, "b": None}]}}]
+    got = spark.createDataFrame([(json.dumps(r),) for r in records], "r string").select(chat.json_paths("r").alias("p")).collect()
+    assert [set(r["p"]) for r in got] == [brute_paths(r) for r in records]
+
+
 def test_top_k(spark):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
