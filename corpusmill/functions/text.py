@@ -20,7 +20,7 @@ MIME = {
     ".sh": "application/x-sh", ".md": "text/markdown", ".go": "text/x-go", ".py": "text/x-python", ".js": "text/javascript", ".ts": "text/typescript",
     ".rs": "text/x-rust", ".sql": "text/x-sql", ".yaml": "text/yaml", ".yml": "text/yaml", ".json": "application/json", ".toml": "text/toml",
 }
-#: Which workflow a MIME type goes to.
+#: Which workflow a MIME type goes to.
 ROUTES = {
     MIME[".pdf"]: "pdf_chunking_v1", MIME[".docx"]: "docx_chunking_v1", MIME[".doc"]: "docx_chunking_v1", "text/plain": "text_chunking_v1", "text/markdown": "markdown_chunking_v1",
     MIME[".xlsx"]: "xlsx_chunking_v1", MIME[".xls"]: "xlsx_chunking_v1", "text/x-go": "go_chunking_v1", "text/x-python": "python_chunking_v1", "text/javascript": "javascript_chunking_v1",
@@ -75,6 +75,19 @@ def stem(word: Column) -> Column:
     return F.when(F.length(word) > 5, F.regexp_replace(word, "(ing|edly|ed|ies|es|s|ly)$", "")).when(F.length(word) > 3, F.regexp_replace(word, "s$", "")).otherwise(word)
 
 
+def _listed(words: tuple[str, ...]) -> str:
+    return "array(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+#: SQL around the argument of tokenize(text): its words in lower case, each once, without stop words unless all are.
+TOKENIZE_SQL = (
+    "get(transform(array(array_distinct(regexp_extract_all(lower(",
+    f"), '[\\\\p{{L}}\\\\p{{N}}]+', 0))), ws -> if(size(array_except(ws, {_listed(STOPWORDS)})) > 0, array_except(ws, {_listed(STOPWORDS)}), ws)), 0)",
+)
+#: SQL around the argument of expand_tokens(words): each word with its stem, as stem() has it.
+EXPAND_SQL = ("transform(", ", w -> array_distinct(array(w, case when length(w) > 5 then regexp_replace(w, '(ing|edly|ed|ies|es|s|ly)$', '') when length(w) > 3 then regexp_replace(w, 's$', '') else w end)))")
+
+
 def mime_type(path: Column, head: Column | None = None) -> Column:
     """By extension, else by the first bytes (a hex string, two characters a byte), else application/octet-stream."""
     ext = F.lower(F.regexp_extract(path, r"(\.[^./\\]+)$", 1))

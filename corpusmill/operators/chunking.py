@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.functions import vectors as vc
+
 #: Parse rules: kinds of units by how they begin, first match wins.
 RULES = (("heading", r"^#{1,6}\s+"), ("list_item", r"^\s*[-*+]\s+"), ("list_item", r"^\s*\d+\.\s+"), ("blockquote", r"^>\s+"), ("code_block", r"^```"))
 
@@ -55,39 +57,65 @@ def by_fixed_window(df: DataFrame, key: str = "id", text: str = "content", size:
     if step <= 0:
         raise ValueError("the overlap must be smaller than the window")
     read = df.select(F.col(key).alias("file_id"), words(F.col(text)).alias("w")).where(F.size("w") > 0)
-    n = F.size("w")
-    last = F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int")
-    out = read.withColumn("last", last).select("file_id", "w", "last", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    last = F.greatest(F.ceil((F.size("w") - size) / F.lit(step)), F.lit(0)).cast("int")
+    pieces = vc.bind(F.col("w"), lambda w: F.transform(F.sequence(F.lit(0), F.col("last")), lambda i: F.array_join(F.slice(w, i * step + 1, F.lit(size)), " ")))
+    out = read.withColumn("last", last).select("file_id", "last", F.posexplode(pieces).alias("i", "content"))
     return out.select(
         "file_id",
         F.col("i").cast("bigint").alias("position"),
-        F.array_join(F.slice("w", F.col("i") * step + 1, F.lit(size)), " ").alias("content"),
+        "content",
+        F.expr("cast(length(content) div 4 as bigint)").alias("token_count"),
+        F.lit("fixed_window").alias("chunk_type"),
         F.when(F.col("i") > 0, overlap).otherwise(0).cast("bigint").alias("overlap_prev"),
         F.when(F.col("i") < F.col("last"), overlap).otherwise(0).cast("bigint").alias("overlap_next"),
-    ).select("file_id", "position", "content", F.expr("cast(length(content) div 4 as bigint)").alias("token_count"), F.lit("fixed_window").alias("chunk_type"), "overlap_prev", "overlap_next")
+    )
 
 
-def by_packing(df: DataFrame, key: str = "id", text: str = "content", max_tokens: int = 512, min_tokens: int = 50, units: Column | None = None, sep: str = "\n\n") -> DataFrame:
-    """Semantic chunks: units in order, a new chunk at a heading or where the next unit wouldn't fit; too small ones dropped.
+HEADING = r"^#{1,6}\s+"
 
-    The packing is sequential inside a text, so it is a fold over the text's own units, which keeps it row-local. Chunk
-    numbers are given to units first and units gathered by number after, so the fold carries only numbers."""
-    u = units if units is not None else paragraphs(F.col(text))
-    read = df.select(F.col(key).alias("file_id"), u.alias("u"))
-    sizes = F.transform("u", lambda x: F.struct(F.expr("0").cast("bigint").alias("z"), F.floor(F.length(x) / 4).cast("bigint").alias("n"), x.rlike(r"^#{1,6}\s+").alias("h")))
-    zero = F.struct(F.lit(-1).alias("c"), F.lit(0).cast("bigint").alias("t"), F.array().cast("array<int>").alias("o"))
+
+def pack(units: Column, max_tokens: int = 512, min_tokens: int = 50, sep: str = "\n\n", markers: tuple[str, ...] = (HEADING,), overlap: int = 0) -> Column:
+    """Semantic chunks of an array of units: in order, a new chunk at a unit that starts like a marker or wouldn't fit; too small
+    ones dropped. With an overlap, a chunk opened for want of room begins with the last units of the one before that fit it.
+
+    The packing is sequential inside a text: a fold over the text's own units, whose state is the finished chunks and the open one."""
+    texts = F.array().cast("array<string>")
+    zero = F.struct(texts.alias("done"), texts.alias("open"), F.lit(0).cast("bigint").alias("t"))
+
+    def tokens(x: Column) -> Column:
+        return F.floor(F.length(x) / 4).cast("bigint")
+
+    def tail(xs: Column) -> Column:
+        if overlap <= 0:
+            return texts
+        start = F.struct(texts.alias("kept"), F.lit(0).cast("bigint").alias("t"), F.lit(True).alias("go"))
+
+        def back(a: Column, x: Column) -> Column:
+            fits = a["go"] & (a["t"] + tokens(x) <= overlap)
+            return F.struct(F.when(fits, F.concat(F.array(x), a["kept"])).otherwise(a["kept"]).alias("kept"), F.when(fits, a["t"] + tokens(x)).otherwise(a["t"]).alias("t"), fits.alias("go"))
+
+        return F.aggregate(F.reverse(xs), start, back, lambda a: a["kept"])
 
     def step(s: Column, x: Column) -> Column:
-        new = (s["c"] < 0) | x["h"] | (s["t"] + x["n"] > max_tokens)
-        c = F.when(new, s["c"] + 1).otherwise(s["c"])
-        return F.struct(c.alias("c"), F.when(new, x["n"]).otherwise(s["t"] + x["n"]).alias("t"), F.concat(s["o"], F.array(c)).alias("o"))
-
-    read = read.withColumn("at", F.aggregate(sizes, zero, step, lambda s: s["o"]))
-    pairs = F.arrays_zip(F.col("u").alias("x"), F.col("at").alias("c"))
-    read = read.withColumn("pairs", pairs).withColumn("n", F.coalesce(F.array_max("at"), F.lit(-1)))
-    out = read.where("n >= 0").select("file_id", "pairs", F.explode(F.expr("sequence(0, n)")).alias("i"))
-    out = out.select("file_id", F.col("i").cast("bigint").alias("position"), F.array_join(F.expr("transform(filter(pairs, p -> p.c = i), p -> p.x)"), sep).alias("content"))
-    out = out.withColumn("token_count", F.expr("cast(length(content) div 4 as bigint)")).where(F.col("token_count") >= min_tokens)
+        marked = F.lit(False)
+        for m in markers:
+            marked = marked | x.rlike(m)
+        full = s["t"] + tokens(x) > max_tokens
+        new = (F.size(s["open"]) > 0) & (marked | full)
+        head = F.when(new & ~marked, tail(s["open"])).when(new, texts).otherwise(s["open"])
+        now = F.concat(head, F.array(x))
+        size = F.aggregate(now, F.lit(0).cast("bigint"), lambda a, y: a + tokens(y)) if overlap > 0 else F.when(new, tokens(x)).otherwise(s["t"] + tokens(x))
+        return F.struct(F.when(new, F.concat(s["done"], F.array(F.array_join(s["open"], sep)))).otherwise(s["done"]).alias("done"), now.alias("open"), size.alias("t"))
+
+    whole = F.aggregate(units, zero, step, lambda s: F.when(F.size(s["open"]) > 0, F.concat(s["done"], F.array(F.array_join(s["open"], sep)))).otherwise(s["done"]))
+    return whole
+
+
+def by_packing(df: DataFrame, key: str = "id", text: str = "content", max_tokens: int = 512, min_tokens: int = 50, units: Column | None = None, sep: str = "\n\n", markers: tuple[str, ...] = (HEADING,), overlap: int = 0) -> DataFrame:
+    """The chunks of pack(), numbered within their text before small ones are dropped."""
+    u = units if units is not None else paragraphs(F.col(text))
+    out = df.select(F.col(key).alias("file_id"), u.alias("u")).select("file_id", F.posexplode(pack(F.col("u"), max_tokens, min_tokens, sep, markers, overlap)).alias("i", "content"))
+    out = out.select("file_id", F.col("i").cast("bigint").alias("position"), "content", F.expr("cast(length(content) div 4 as bigint)").alias("token_count")).where(F.col("token_count") >= min_tokens)
     return out.withColumn("chunk_type", F.lit("semantic"))
 
 

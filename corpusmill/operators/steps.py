@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import json
 import re
 
@@ -13,45 +14,91 @@ from corpusmill.functions import text as tx
 _TAIL = re.compile(r"^(?P<where>.*?)(?:\s+order\s+by\s+(?P<order>.+?))?(?:\s+limit\s+(?P<limit>\d+))?\s*$", re.I | re.S)
 
 
+_QUOTED = re.compile(r"('(?:[^']|'')*')")
+
+
+def _call(text: str, name: str, start: str, end: str) -> str:
+    """Each call name(...) as start...end, whatever brackets and literals are inside."""
+    while m := re.search(rf"\b{name}\s*\(", text, re.I):
+        depth, at, quoted = 1, m.end(), False
+        while depth and at < len(text):
+            quoted ^= text[at] == "'"
+            depth += 0 if quoted else (text[at] == "(") - (text[at] == ")")
+            at += 1
+        if depth:
+            raise ValueError(f"{name}( isn't closed")
+        text = text[: m.start()] + start + text[m.end() : at - 1] + end + text[at:]
+    return text
+
+
 def to_spark_sql(text: str) -> str:
-    """Text in the workflow dialect to Spark SQL: REAL is a double, / of whole numbers truncates, LIKE ignores case.
+    """Text in the workflow dialect to Spark SQL: REAL is a double, / of whole numbers truncates, LIKE ignores case,
+    json_object(k, v, ...) is the JSON of these, nulls kept, tokenize(t) the words of a text without stop words, and
+    expand_tokens(ts) each word with its stem.
 
     String literals are left alone. Division counts as whole unless an operand is cast to REAL."""
+    text = _call(text, "json_object", "to_json(named_struct_(", "), map('ignoreNullFields', 'false'))").replace("named_struct_(", "named_struct(")
+    text = _call(text, "tokenize", tx.TOKENIZE_SQL[0], tx.TOKENIZE_SQL[1])
+    text = _call(text, "expand_tokens", tx.EXPAND_SQL[0], tx.EXPAND_SQL[1])
     out = []
-    for i, part in enumerate(re.split(r"('(?:[^']|'')*')", text)):
+    for i, part in enumerate(_QUOTED.split(text)):
         if i % 2 == 0:
             part = re.sub(r"\bAS\s+REAL\b", "AS DOUBLE", part, flags=re.I)
             part = re.sub(r"\bLIKE\b", "ILIKE", part, flags=re.I)
-            part = re.sub(r"\bjson_object\s*\(", "to_json(named_struct(", part, flags=re.I) if "json_object" not in part.lower() else part
             part = re.sub(r"(length\([^()]*\))\s*/\s*(\d+)", r"\1 div \2", part, flags=re.I)
         out.append(part)
     return "".join(out)
 
 
-def filter_rows(df: DataFrame, predicate: str | None, params: dict | None = None, views: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Rows for which the predicate holds; it may end in ORDER BY and LIMIT; none keeps all. :name are parameters.
+def literal(value) -> str:
+    """A parameter's value as SQL: null, booleans, numbers, texts, dates and times, lists of these."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, (int, float)):
+        return repr(value) + ("D" if isinstance(value, float) else "")
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(map(literal, value)) + ")"
+    text = "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"timestamp{text}" if isinstance(value, dt.datetime) else f"date{text}" if isinstance(value, dt.date) else text
+
+
+def bind(text: str, params: dict | list | tuple | None) -> str:
+    """:name by the values of a dict, ? by those of a list in order; not inside literals. A missing value: KeyError, IndexError."""
+    if not params:
+        return text
+    out, left = [], list(params) if isinstance(params, (list, tuple)) else []
+    for i, part in enumerate(_QUOTED.split(text)):
+        if i % 2 == 0 and isinstance(params, dict):
+            part = re.sub(r"(?<![:\w]):(\w+)", lambda m: literal(params[m[1]]), part)
+        elif i % 2 == 0:
+            part = re.sub(r"\?", lambda _: literal(left.pop(0)), part)
+        out.append(part)
+    return "".join(out)
+
+
+def filter_rows(df: DataFrame, predicate: str | None, params: dict | list | None = None, views: dict[str, DataFrame] | None = None) -> DataFrame:
+    """Rows for which the predicate holds; it may end in ORDER BY and LIMIT; none keeps all. :name and ? are parameters.
 
     `column NOT IN (SELECT hash FROM table)` becomes an anti join, since hashes are never null."""
     if not predicate or predicate.strip() in ("", "1=1"):
         return df
-    predicate = to_spark_sql(predicate)
-    for k, v in (params or {}).items():
-        if isinstance(v, (int, float)):
-            predicate = re.sub(rf":{k}\b", str(v), predicate)
+    predicate = bind(to_spark_sql(predicate), params)
     m = re.fullmatch(r"\s*(\w+)\s+NOT\s+IN\s+\(\s*SELECT\s+(\w+)\s+FROM\s+([\w.]+)\s*\)\s*", predicate, re.I)
     if m and views and m[3] in views:
         return anti(df, views[m[3]].select(F.col(m[2]).alias(m[1])), [m[1]])
     part = _TAIL.match(predicate)
     out = df.where(part["where"]) if part["where"].strip() else df
     if part["order"]:
-        out = out.orderBy(*[F.expr(re.sub(r"\s+(asc|desc)\s*$", "", o, flags=re.I)).desc() if re.search(r"\sdesc\s*$", o, re.I) else F.expr(re.sub(r"\s+asc\s*$", "", o, flags=re.I)).asc() for o in part["order"].split(",")])
+        out = out.orderBy(*[F.expr(re.sub(r"\s+(asc|desc)\s*$", "", o, flags=re.I)).desc() if re.search(r"\sdesc\s*$", o, re.I) else F.expr(re.sub(r"\s+asc\s*$", "", o, flags=re.I)).asc() for o in split_list(part["order"])])
     return out.limit(int(part["limit"])) if part["limit"] else out
 
 
-def project(df: DataFrame, select: str | None) -> DataFrame:
+def project(df: DataFrame, select: str | None, params: dict | list | None = None) -> DataFrame:
     if not select or select.strip() == "*":
         return df
-    return df.selectExpr(*[to_spark_sql(x) for x in split_list(select)])
+    return df.selectExpr(*split_list(bind(to_spark_sql(select), params)))
 
 
 def split_list(text: str) -> list[str]:
@@ -76,6 +123,33 @@ def join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", s
     return left.join(right, on, how)
 
 
+_CLAUSE = re.compile(r"\s*(?:(inner|left|right|full|cross|left\s+semi|left\s+anti)\s+)?(?:outer\s+)?join\s+([\w.]+)(?:\s+(?:as\s+)?(?!on\b)(\w+))?(?:\s+on\s+(.*?))?(?=\s+(?:(?:inner|left|right|full|cross)\s+)?(?:outer\s+)?(?:semi\s+|anti\s+)?join\s|\s*$)", re.I | re.S)
+
+
+def join_clauses(left: DataFrame, name: str, text: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The source (called name) joined as one or more whole JOIN clauses say. Of columns that both sides have, the first keeps
+    its name, the others are called alias_column."""
+    out, parts, at = left.alias(name), [(name, left.columns)], 0
+    text = to_spark_sql(text.strip())
+    while at < len(text):
+        m = _CLAUSE.match(text, at)
+        if not m:
+            raise ValueError(f"not a JOIN clause: {text[at : at + 60]}")
+        kind, table, alias, on = m[1] or "inner", m[2], m[3] or m[2].rsplit(".", 1)[-1], m[4]
+        right, how = tables[table], re.sub(r"\s+", "_", kind.lower())
+        out = out.crossJoin(right.alias(alias)) if on is None else out.join(right.alias(alias), F.expr(on), how)
+        if how not in ("left_semi", "left_anti"):
+            parts.append((alias, right.columns))
+        at = m.end()
+    seen: set[str] = set()
+    cols = []
+    for alias, names in parts:
+        for c in names:
+            cols.append(F.col(f"{alias}.`{c}`").alias(f"{alias}_{c}" if c.lower() in seen else c))
+            seen.add(c.lower())
+    return out.select(*cols)
+
+
 def semi(df: DataFrame, other: DataFrame, on: list[str]) -> DataFrame:
     return df.join(other, on, "left_semi")
 
@@ -99,27 +173,40 @@ def aggregate(df: DataFrame, select: str | None = None, group_by: list[str] | No
 def window(df: DataFrame, min_tokens: int = 50, max_tokens: int = 512, order: tuple[str, ...] = ("position", "file_id", "id")) -> DataFrame:
     """Rows of min to max approximate tokens, numbered in order as chunk_position.
 
-    The number is global. Rows are sorted in parallel by range; each partition is numbered by itself and shifted by the counts
-    of those before it, so no task sees them all. Approximate tokens are length div 4 where the column is missing."""
+    The number is global, by ranges of the whole order (see numbered), so no task sees all rows, nor all first chunks.
+    Approximate tokens are length div 4 where the column is missing."""
     if "approx_tokens" not in df.columns:
         df = df.withColumn("approx_tokens", F.expr("cast(length(content) div 4 as bigint)"))
     kept = df.where(F.col("approx_tokens").between(min_tokens, max_tokens))
     return numbered(kept, [c for c in order if c in df.columns], "chunk_position")
 
 
+#: Most cells of a global numbering, and rows that their bounds are chosen from.
+CELLS, PICKED = 256, 4096
+
+
 def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
-    """Global row numbers from 1 in the given order, by way of counts of cells.
-
-    A cell holds the rows of one value of the first column; cells are counted, their running total is taken over the counts
-    alone, and rows are numbered inside their cell."""
-    first = order[0]
-    counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy(F.col(first).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(F.col(first).alias("_first"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(first).orderBy(*order)
-    out = df.withColumn("_i", F.row_number().over(inside).cast("bigint"))
-    out = out.join(counts, out[first].eqNullSafe(counts["_first"]))
-    return out.withColumn(name, F.col("_i") + F.col("_before")).drop("_i", "_before", "_first")
+    """Global row numbers from 1 in the given order.
+
+    Bounds picked from the rows cut the whole order into at most CELLS ranges of like sizes; ranges are counted, and rows are
+    numbered inside their range and shifted by the counts before it. Which bounds are picked changes no number. Picking them
+    is one job over the order's columns."""
+    key = F.struct(*[F.col(c) for c in order])
+    picked = df.select(key.alias("k")).distinct().orderBy(F.xxhash64("k")).limit(PICKED)  # the smallest hashes: kept in each task, no sort of all
+    bounds = picked.agg(F.sort_array(F.collect_list("k")).alias("_all")).select(F.expr(f"transform(filter(sequence(1, {CELLS} - 1), i -> size(_all) >= {CELLS} or i < size(_all)), i -> get(_all, if(size(_all) < {CELLS}, i, cast(floor(i * size(_all) / {CELLS}) as int))))").alias("_bounds"))
+    bounds = df.sparkSession.createDataFrame(bounds.collect(), bounds.schema)  # one row, at most CELLS bounds
+    cell = F.size(F.filter("_bounds", lambda b: b <= key))
+    celled = df.join(F.broadcast(bounds)).withColumn("_cell", cell).drop("_bounds")
+    counts = celled.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))  # at most CELLS rows
+    out = celled.withColumn("_i", F.row_number().over(Window.partitionBy("_cell").orderBy(*order)).cast("bigint")).join(F.broadcast(counts), "_cell")
+    return out.withColumn(name, F.col("_i") + F.col("_before")).drop("_cell", "_i", "_before")
+
+
+def hash_placeholder(df: DataFrame, output: str = "hash") -> DataFrame:
+    """The hash step without a declared algorithm: 64 zeros."""
+    return df.withColumn(output, F.repeat(F.lit("00"), F.lit(32)))
 
 
 def hash_columns(df: DataFrame, columns: list[str], algorithm: str = "sha256", output: str = "hash") -> DataFrame:

@@ -17,6 +17,11 @@ def dense(df: DataFrame, key: str, dims: int, index: str = "idx", value: str = "
     return sums.select(key, (vc.normalize(v) if normalise else v).alias("vector"))
 
 
+def zero_layer(df: DataFrame, layer: str, key: str = "id", dims: int = 256, version: str = "v1") -> DataFrame:
+    """The vectorize step without a declared algorithm: a zero vector for every row."""
+    return as_layer(df.select(F.col(key).alias("chunk_id"), F.array_repeat(F.lit(0.0), dims).alias("vector")), layer, dims, version)
+
+
 def hash_features(df: DataFrame, names: dict[str, float] | list[str], key: str = "id", dims: int = 256) -> DataFrame:
     """Named numeric columns to one signed, hashed, normalised vector a row. Names are constants, so buckets and signs are too;
     the vector is written directly as an array expression, without a shuffle."""
@@ -43,12 +48,23 @@ def structure(df: DataFrame, key: str = "id", text: str = "content", dims: int =
     return hash_features(read, ft.STRUCTURE, "id", dims)
 
 
+def runs(items: Column) -> Column:
+    """From an array, (term, tf) of its distinct items: sorted, then cut where neighbours differ, in linear steps."""
+
+    def cut(s: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(s)), lambda i: (i == F.size(s)) | (F.get(s, i - 1) != F.get(s, i)))
+        return vc.bind(ends, lambda e: F.transform(e, lambda x, k: F.struct(F.get(s, x - 1).alias("term"), (x - F.when(k == 0, 0).otherwise(F.get(e, k - 1))).cast("bigint").alias("tf"))))
+
+    return F.when(F.size(items) > 0, vc.bind(F.array_sort(items), cut))
+
+
 def terms(df: DataFrame, key: str = "id", text: str = "content", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """(key, term, tf, total): counts of tokens and their n-grams, total the number of terms of the text."""
+    """(id, term, total, tf): counts of tokens and their n-grams, total the number of terms of the text. Each text is one row,
+    so it is counted within its row and nothing is shuffled."""
     toks = df.select(F.col(key).alias("id"), tx.tokens(F.col(text)).alias("t"))
-    every = F.concat(*[tx.ngrams(F.col("t"), n) for n in range(ngrams[0], ngrams[1] + 1)])
-    each = toks.select("id", every.alias("every")).select("id", F.size("every").cast("bigint").alias("total"), F.explode("every").alias("term"))
-    return each.groupBy("id", "term", "total").agg(F.count(F.lit(1)).alias("tf"))
+    every = F.col("t") if ngrams == (1, 1) else F.concat(*[tx.ngrams(F.col("t"), n) for n in range(ngrams[0], ngrams[1] + 1)])
+    each = toks.select("id", every.alias("every")).select("id", F.size("every").cast("bigint").alias("total"), F.explode(runs(F.col("every"))).alias("r"))
+    return each.select("id", "r.term", "total", "r.tf")
 
 
 def idf(counted: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8) -> DataFrame:
@@ -77,12 +93,13 @@ def tfidf(df: DataFrame, key: str = "id", text: str = "content", dims: int = 256
 
 def graph_embed(vectors: DataFrame, edges: DataFrame, relations: tuple[str, ...] = ("parent_of", "follows"), dims: int = 256) -> DataFrame:
     """The contextual layer: mean of the lexical vectors of a chunk's neighbours in both directions, normalised; without
-    neighbours its own vector. Sums go by component, so a hub's neighbours are pre-aggregated."""
+    neighbours its own vector. One row an edge moves; components are summed before the shuffle, so a hub is one row a task."""
     e = edges.where(F.col("relation_type").isin(*relations)).select(F.col("from_chunk_id").alias("a"), F.col("to_chunk_id").alias("b"))
     both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    parts = both.join(vectors.select(F.col("chunk_id").alias("b"), "vector"), "b").select("a", F.posexplode("vector").alias("idx", "x"))
-    mean = dense(parts.groupBy("a", "idx").agg(F.avg("x").alias("value")).withColumnRenamed("a", "chunk_id"), "chunk_id", dims).withColumnRenamed("vector", "_near")
-    return vectors.join(mean, "chunk_id", "left").select("chunk_id", F.coalesce("_near", F.col("vector")).alias("vector"))
+    near = both.join(vectors.select(F.col("chunk_id").alias("b"), "vector"), "b")
+    means = near.groupBy(F.col("a").alias("chunk_id")).agg(*[F.avg(F.get("vector", F.lit(i))).alias(f"_{i}") for i in range(dims)])
+    means = means.select("chunk_id", vc.normalize(F.array(*[F.coalesce(f"_{i}", F.lit(0.0)) for i in range(dims)])).alias("_near"))
+    return vectors.join(means, "chunk_id", "left").select("chunk_id", F.coalesce("_near", F.col("vector")).alias("vector"))
 
 
 def layers_wide(vectors: DataFrame, layers: tuple[str, ...]) -> DataFrame:
