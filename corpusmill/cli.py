@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import session
+from corpusmill.hooks import REGISTRY
 from corpusmill.operators import search as sr
 from corpusmill.operators import vectorize
 from corpusmill.plans import catalog, workflow
@@ -26,7 +27,9 @@ def ingest(spark: SparkSession, corpus: queue.Corpus, path: str, recursive: bool
     new = fs.ingest(spark, path, known, recursive)
     n = new.count()
     if n:
-        corpus.write("raw_files", known.unionByName(new, allowMissingColumns=True))
+        corpus.append("raw_files", new)
+        corpus.append("audit_log", spark.createDataFrame([("cli", "ingest", path, f"{n} files", None)], "actor string, action string, target string, details string, at timestamp").withColumn("at", F.current_timestamp()))
+        REGISTRY.fire("on_ingest", path=path, files=n)
     return n
 
 
@@ -51,13 +54,16 @@ def process(spark: SparkSession, corpus: queue.Corpus, data: str, limit: int = 1
     return queue.status(spark, f"{data}/queue")
 
 
-def find(spark: SparkSession, corpus: queue.Corpus, query: str, preset: str = "default", k: int | None = None) -> DataFrame:
+def find(spark: SparkSession, corpus: queue.Corpus, query: str, preset: str = "default", k: int | None = None, rerank: bool = False, marked: bool = False) -> DataFrame:
+    """Search by the corpus' own index: only the buckets of the query's words and their alternatives are read."""
     chunks, files, vectors = corpus.read("chunks"), corpus.read("raw_files"), corpus.read("chunk_vectors")
-    n = chunks.count()
-    postings = sr.index(chunks)
-    mean = postings.select("id", "total").distinct().agg(F.avg("total")).first()[0] or 1.0
-    vecs = sr.query_vectors(chunks, query, 256, vectorize.idf(postings, n), n)
-    return sr.search(chunks, vectors, files, query, vecs, preset, k, postings, None, (n, mean))
+    n, mean = corpus.text_stats()
+    words = [t for ts in sr.expand(sr.query_terms(query)) for t in ts]
+    postings = corpus.read("chunk_postings", words) if words else corpus.read("chunk_postings").limit(0)
+    dims = int(corpus.get_config("vector_dimensions"))
+    vecs = sr.query_vectors(chunks, query, dims, vectorize.idf(postings.where(F.col("term").isin(words)), n), n)
+    boosts = sr.feedback(corpus.read("feedback_log")).select("chunk_id", "boost") if rerank else None
+    return sr.search(chunks, vectors, files, query, vecs, preset, k, postings, None, (n, mean), rerank=boosts, marked=marked)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -72,6 +78,8 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("query")
     a.add_argument("--preset", choices=sorted(sr.PRESETS), default="default")
     a.add_argument("-k", type=int)
+    a.add_argument("--rerank", action="store_true", help="weigh by feedback")
+    a.add_argument("--mark", action="store_true", help="mark the query's words")
     a = sub.add_parser("list")
     a.add_argument("--status")
     a.add_argument("--mime")
@@ -80,8 +88,13 @@ def main(argv: list[str] | None = None) -> int:
     a.add_argument("path")
     a.add_argument("--format", choices=("json", "csv"), default="json")
     sub.add_parser("gc").add_argument("--days", type=float, default=7.0)
-    for name in ("status", "retry", "workflows"):
+    for name in ("status", "retry", "workflows", "stats", "vacuum"):
         sub.add_parser(name)
+    a = sub.add_parser("config")
+    a.add_argument("key", nargs="?")
+    a.add_argument("value", nargs="?")
+    for name in ("chunk", "file"):
+        sub.add_parser(name).add_argument("id")
     sub.add_parser("inspect").add_argument("run")
     args = p.parse_args(argv)
     spark = SparkSession.getActiveSession() or session.local()
@@ -91,7 +104,7 @@ def main(argv: list[str] | None = None) -> int:
     elif args.command == "process":
         print(process(spark, corpus, args.data, args.limit))
     elif args.command == "search":
-        for r in find(spark, corpus, args.query, args.preset, args.k).collect():
+        for r in find(spark, corpus, args.query, args.preset, args.k, args.rerank, args.mark).collect():
             print(f"{r['score']:.4f} {r['chunk_id'][:12]} {r['source_path']}\n    {r['snippet'][:120]!r}")
     elif args.command == "list":
         fs.list_files(corpus.read("raw_files"), args.status, args.mime, args.limit).select("id", "source_path", "mime_type", "status").show(args.limit, False)
@@ -104,6 +117,18 @@ def main(argv: list[str] | None = None) -> int:
         print(queue.retry_failed(spark, f"{args.data}/queue"), "runs queued again")
     elif args.command == "status":
         print(queue.corpus_status(corpus), queue.status(spark, f"{args.data}/queue"))
+    elif args.command == "stats":
+        corpus.stats().show(50, False)
+    elif args.command == "vacuum":
+        for t in corpus.manifest()[1]:
+            corpus.compact(t)
+        print(corpus.vacuum(), "parts deleted")
+    elif args.command == "config":
+        if args.value is not None:
+            corpus.set_config(args.key, args.value)
+        (corpus.config().where(F.col("key") == args.key) if args.key else corpus.config()).show(50, False)
+    elif args.command in ("chunk", "file"):
+        fs.get_row(corpus.read({"chunk": "chunks", "file": "raw_files"}[args.command], [args.id]), args.id).show(1, False, True)
     elif args.command == "workflows":
         catalog.Catalog().workflows(spark).show(50, False)
     elif args.command == "inspect":

@@ -98,5 +98,6 @@ def mime_type(path: Column, head: Column | None = None) -> Column:
     return F.coalesce(out, F.lit("application/octet-stream"))
 
 
-def route(mime: Column) -> Column:
-    return F.try_element_at(F.create_map(*[F.lit(x) for kv in ROUTES.items() for x in kv]), mime)
+def route(mime: Column, mapping: dict[str, str | None] | None = None) -> Column:
+    known = {k: v for k, v in (ROUTES | (mapping or {})).items() if v is not None}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in known.items() for x in kv]), mime)

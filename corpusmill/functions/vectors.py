@@ -58,3 +58,38 @@ def blend(vectors: dict[str, Column], weights: dict[str, float], dims: int) -> C
         sum_ = F.when(there, F.zip_with(sum_, scale(v, w), lambda x, y: x + y)).otherwise(sum_)
         total = total + F.when(there, w).otherwise(0.0)
     return normalize(bind(F.nullif(total, F.lit(0.0)), lambda t: F.transform(sum_, lambda x: F.coalesce(x / t, x))))
+
+
+def encode_vector(v: Column) -> Column:
+    """Components as 32-bit floats, lowest byte first, one after the other: array<float> to binary, by way of hex digits."""
+
+    def bits(x: Column) -> Column:
+        a = F.abs(x.cast("double"))
+        power = F.floor(F.log2(F.when((a > 0) & (a < float("inf")), a).otherwise(1.0)))
+        power = F.when(F.pow(F.lit(2.0), power) > a, power - 1).when(F.pow(F.lit(2.0), power + 1) <= a, power + 1).otherwise(power)
+        normal = ((power + 127) * 8388608 + F.round((a / F.pow(F.lit(2.0), power) - 1) * 8388608)).cast("bigint")
+        tiny = F.round(a * F.pow(F.lit(2.0), F.lit(149.0))).cast("bigint")
+        plain = F.when(F.isnan(x), F.lit(0x7FC00000)).when(a == float("inf"), F.lit(0x7F800000)).when(a < 2.0**-126, tiny).otherwise(normal)
+        return plain + F.when(~F.isnan(x) & (x < 0), F.lit(0x80000000)).otherwise(F.lit(0))
+
+    def swapped(h: Column) -> Column:
+        return F.concat(*[F.substring(h, i, 2) for i in (7, 5, 3, 1)])
+
+    return F.unhex(F.array_join(F.transform(v, lambda x: swapped(F.lpad(F.hex(bits(x)), 8, "0"))), ""))
+
+
+def decode_vector(raw: Column) -> Column:
+    """The reverse of encode_vector; null if the length is no multiple of four."""
+
+    def value(h: Column) -> Column:
+        n = F.conv(h, 16, 10).cast("bigint")
+        sign, power, rest = F.when(n >= 0x80000000, -1.0).otherwise(1.0), F.floor(n / 8388608).cast("bigint") % 256, n % 8388608
+        number = F.when(power == 0, rest * 2.0**-149).otherwise((1 + rest / 8388608) * F.pow(F.lit(2.0), (power - 127).cast("double")))
+        return (sign * F.when(power < 255, number).when(rest == 0, float("inf")).otherwise(float("nan"))).cast("float")
+
+    def words(h: Column) -> Column:
+        n = (F.length(h) / 8).cast("int")
+        each = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda i: F.concat(*[F.substring(h, i * 8 + k, F.lit(2)) for k in (7, 5, 3, 1)]))
+        return F.when(n > 0, F.transform(each, value)).otherwise(F.array().cast("array<float>"))
+
+    return F.when(F.octet_length(raw) % 4 == 0, bind(F.hex(raw), words))

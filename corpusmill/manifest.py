@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpusmill.corpus import Corpus
+
 
 def scan(spark: SparkSession, path: str, process: str, kind: str = "source", pattern: str = "*") -> DataFrame:
     """(process, path, kind, sha256, at) of the files under a folder, hashed where they are read."""
@@ -24,3 +26,13 @@ def verify(stored: DataFrame, found: DataFrame) -> DataFrame:
     both = a.join(b, "path", "full")
     fault = F.when(F.col("now").isNull(), "missing").when(F.col("was").isNull(), "new").when(F.col("was") != F.col("now"), "changed")
     return both.select("path", fault.alias("fault")).where("fault is not null")
+
+
+def store(corpus: Corpus, found: DataFrame) -> None:
+    """Replace the stored files of each process that is in found."""
+    kept = corpus.read("manifests").join(found.select("process").distinct(), "process", "left_anti")
+    corpus.write("manifests", kept.unionByName(found, allowMissingColumns=True))
+
+
+def load(corpus: Corpus, process: str) -> DataFrame:
+    return corpus.read("manifests").where(F.col("process") == process)

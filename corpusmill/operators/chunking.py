@@ -122,6 +122,28 @@ def by_packing(df: DataFrame, key: str = "id", text: str = "content", max_tokens
 CHUNKERS = {"paragraph": by_paragraph, "sentence": by_sentence, "fixed_window": by_fixed_window, "semantic": by_packing}
 
 
+def declared(df: DataFrame, config: dict) -> DataFrame:
+    """Chunks of whole files by a declared strategy: semantic, fixed_window, sentence or paragraph, with max_tokens, min_tokens,
+    overlap_tokens and boundary_markers (patterns of the first words of a unit).
+
+    A file's segments, in order, are gathered into one row. Other columns of the segments are left out; the id of a chunk is
+    the first half of the SHA-256 of its content, its position its number in the file."""
+    c = {"max_tokens": 512, "min_tokens": 50, "overlap_tokens": 0} | config
+    order = [x for x in ("position", "id") if x in df.columns]
+    units = F.transform(F.array_sort(F.collect_list(F.struct(*order, "content"))), lambda s: s["content"])
+    key = "file_id" if "file_id" in df.columns else "id"
+    texts = df.where("content is not null").groupBy(F.col(key).alias("file_id")).agg(units.alias("u"))
+    kind = c.get("strategy", "semantic")
+    if kind == "semantic":
+        markers = tuple(c.get("boundary_markers") or (HEADING,))
+        out = by_packing(texts, "file_id", "u", c["max_tokens"], c["min_tokens"], F.col("u"), "\n\n", markers, c["overlap_tokens"])
+    elif kind == "fixed_window":
+        out = by_fixed_window(texts.withColumn("content", F.array_join("u", " ")), "file_id", "content", c["max_tokens"], c["overlap_tokens"])
+    else:
+        out = {"sentence": by_sentence, "paragraph": by_paragraph}[kind](texts.withColumn("content", F.array_join("u", "\n\n")), "file_id", "content")
+    return out.withColumn("id", F.substring(F.sha2("content", 256), 1, 32)).withColumn("approx_tokens", F.col("token_count"))
+
+
 def dedupe(df: DataFrame, corpus: DataFrame | None = None, hash_column: str = "hash", order: tuple[str, ...] = ("file_id", "position")) -> DataFrame:
     """The first row of each hash within the batch, less the hashes that the corpus has.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.functions import vectors as vc
+from corpusmill.hooks import REGISTRY
 from corpusmill.operators import vectorize as vz
 
 #: Presets of layer weights, k and least score.
@@ -87,31 +89,69 @@ def query_vectors(df: DataFrame, query: str, dims: int, idf: DataFrame, n_docs:
     return {"structure": s, "lexical": lexical, "contextual": lexical}
 
 
-def search(chunks: DataFrame, vectors: DataFrame, files: DataFrame, query: str, query_vecs: dict[str, list[float]], preset: str = "default", k: int | None = None, postings: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None, stats: tuple[int, float] | None = None) -> DataFrame:
-    """Hybrid search: full-text candidates (all terms), cosine per layer, weighted sum, least score, top k, file and snippet.
-
-    Layers are pivoted once instead of joined one by one. Without postings every chunk is a candidate."""
-    conf = PRESETS[preset]
-    weights, k = conf["weights"], k or conf["top_k"]
-    found = chunks
-    if postings is not None:
-        terms = query_terms(query)
-        n, mean = stats
-        alternatives = [t for ts in expand(terms, synonyms) for t in ts]
-        ranked = bm25(postings, alternatives, n, mean)
-        best = top_k(ranked.join(match_all(postings, terms), "id", "left_semi") if not synonyms else ranked, CANDIDATES)
-        found = chunks.join(best.select("id"), "id", "left_semi")
-    wide = vz.layers_wide(vectors.where(F.col("layer").isin(*weights)), tuple(weights)).withColumnRenamed("chunk_id", "id")
-    scored = found.join(wide, "id", "left")
-    total = F.lit(0.0)
-    for layer, w in weights.items():
-        q = F.array(*[F.lit(float(x)) for x in query_vecs[layer]])
-        scored = scored.withColumn(f"{layer}_score", F.when(F.col(layer).isNotNull(), vc.cosine(F.col(layer), q))).drop(layer)
-        total = total + F.coalesce(F.col(f"{layer}_score"), F.lit(0.0)) * w
-    best = top_k(scored.withColumn("score", total), k, "score", "id", conf["min_score"])
-    out = best.join(files.select(F.col("id").alias("file_id"), "source_path"), "file_id", "left")
-    names = F.to_json(F.struct(*[F.col(f"{layer}_score").alias(layer) for layer in weights]))
-    return out.select(F.col("id").alias("chunk_id"), "score", names.alias("layer_scores"), F.substring("content", 1, 200).alias("snippet"), "file_id", "source_path").orderBy(F.round("score", 6).desc(), "chunk_id")
+def with_synonyms(query: DataFrame, most: int = 3, synonyms: dict[str, list[str]] | None = None) -> DataFrame:
+    """Alternatives of each word (column expanded_tokens, the word first): its synonyms too, `most` besides the word itself."""
+    known = F.from_json(F.lit(json.dumps(synonyms or {})), "map<string,array<string>>")
+    none = F.array().cast("array<string>")
+    return query.withColumn("expanded_tokens", F.transform("expanded_tokens", lambda ts: F.slice(F.array_distinct(F.concat(F.slice(ts, 1, 1), F.coalesce(F.try_element_at(known, F.get(ts, F.lit(0))), none), ts)), 1, most + 1)))
+
+
+def full_text(chunks: DataFrame, postings: DataFrame, query: DataFrame, stats: DataFrame, most: int = CANDIDATES) -> DataFrame:
+    """Chunks that have, for every word of the query, the word or an alternative; the `most` best by bm25 over all of these.
+
+    postings: (term, chunk_id, tf, total); query: one row with expanded_tokens; stats: one row (n_docs, mean_length). A query
+    without words: all chunks."""
+    words = query.select(F.posexplode("expanded_tokens").alias("word", "ts")).select("word", F.explode("ts").alias("term"))
+    asked = query.select(F.size("expanded_tokens").alias("_words"))  # one row, as stats
+    hits = postings.join(F.broadcast(words.groupBy("term").agg(F.collect_set("word").alias("words"))), "term")  # terms of one query
+    df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    part = F.ln(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("total") / F.col("mean_length")))
+    scored = hits.join(F.broadcast(df), "term").join(F.broadcast(stats)).groupBy(F.col("chunk_id").alias("id")).agg(F.sum(part).alias("score"), F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("_n"))
+    whole = scored.join(F.broadcast(asked)).where(F.col("_n") == F.col("_words"))
+    found = chunks.join(top_k(whole, most).select("id"), "id", "left_semi")
+    return found.unionByName(chunks.join(F.broadcast(asked.where("_words = 0").select())))
+
+
+def scored_layer(df: DataFrame, vectors: DataFrame, layer: str, query_vectors: DataFrame) -> DataFrame:
+    """Left join with the vectors of a layer; layer_score: cosine to the query's vector of that layer, null without a vector.
+    query_vectors: (layer, vector), a row a layer."""
+    own = vectors.where(F.col("layer") == layer).select(F.col("chunk_id").alias("id"), F.col("vector").alias("_v"))
+    q = query_vectors.where(F.col("layer") == layer).agg(F.first("vector").alias("_q"))
+    return df.join(own, "id", "left").join(F.broadcast(q)).withColumn(f"{layer}_score", F.when(F.col("_v").isNotNull() & F.col("_q").isNotNull(), vc.cosine(F.col("_v"), F.col("_q")))).drop("_v", "_q")
+
+
+def search(chunks: DataFrame, vectors: DataFrame, files: DataFrame, query: str, query_vecs: dict[str, list[float]], preset: str = "default", k: int | None = None, postings: DataFrame | None = None, synonyms: dict[str, list[str]] | None = None, stats: tuple[int, float] | None = None,
+           weights: dict[str, float] | None = None, min_score: float | None = None, rerank: DataFrame | None = None, marked: bool = False) -> DataFrame:
+    """Hybrid search, as the built-in search workflow has it: full-text candidates, cosine per layer, weighted sum, least score,
+    top k, file and snippet.
+
+    postings: (term, chunk_id, tf, total); without them every chunk is a candidate. weights: in place of the preset's. rerank:
+    (chunk_id, boost), as by feedback(): the sum is multiplied before the top k. marked: the query's words marked in the snippet."""
+    from corpusmill.plans.builtin import WORKFLOWS, reranked
+    from corpusmill.plans.workflow import compile_workflow
+
+    spark, conf = chunks.sparkSession, PRESETS[preset]
+    weights = weights or conf["weights"]
+    if postings is None:
+        postings, words = spark.createDataFrame([], "term string, chunk_id string, tf bigint, total bigint"), ""
+    else:
+        postings, words = postings.withColumnRenamed("id", "chunk_id"), query
+    n, mean = stats or (0, 1.0)
+    tables = {
+        "_query_input": spark.createDataFrame([(words,)], "query_text string"),
+        "_query_vectors": spark.createDataFrame([(layer, [float(x) for x in v]) for layer, v in query_vecs.items()], "layer string, vector array<double>"),
+        "_text_stats": spark.createDataFrame([(float(n), float(mean or 1.0))], "n_docs double, mean_length double"),
+        "corpus.chunks": chunks, "corpus.chunk_vectors": vectors, "corpus.raw_files": files, "corpus.chunk_postings": postings,
+        "corpus.feedback": rerank if rerank is not None else spark.createDataFrame([], "chunk_id string, boost double"),
+    }
+    params = {f"w_{layer}": float(weights.get(layer, 0.0)) for layer in ("structure", "lexical", "contextual")}
+    params |= {"top_k": k or conf["top_k"], "min_score": conf["min_score"] if min_score is None else min_score, "synonyms": synonyms}
+    wf = WORKFLOWS["search_v1"]
+    out = compile_workflow(wf if rerank is None else reranked(wf), tables, params)["_output"]
+    if marked:
+        out = out.withColumn("snippet", highlight(F.col("snippet"), query_terms(query)))
+    REGISTRY.fire("on_search", query=query, preset=preset)
+    return out
 
 
 def highlight(text: Column, terms: list[str], left: str = "<b>", right: str = "</b>") -> Column:

@@ -32,24 +32,3 @@ def set_status(files: DataFrame, done: DataFrame, status: str = "vectorized", ke
     """Files that produced output get a status."""
     hit = done.select(F.col(by).alias(key)).distinct().withColumn("_hit", F.lit(True))
     return files.join(hit, key, "left").withColumn("status", F.when(F.col("_hit"), status).otherwise(F.col("status"))).drop("_hit").select(*files.columns)
-
-
-def merge_run(corpus: dict[str, DataFrame], run: dict[str, DataFrame], run_id: str) -> tuple[dict[str, DataFrame], DataFrame]:
-    """The corpus tables after a run, and a one-row frame with the chunks inserted. A run of another status than completed, or
-    one merged before, is refused by the caller (see streaming.queue)."""
-    chunks = schemas.align(run["_output"], "chunks").withColumn("created_by_run", F.lit(run_id))
-    chunks = chunks.withColumn("hash", F.coalesce("hash", F.sha2("content", 256))).withColumn("token_count", F.coalesce("token_count", F.expr("length(content) div 4")))
-    chunks = chunks.withColumn("overlap_prev", F.coalesce("overlap_prev", F.lit(0))).withColumn("overlap_next", F.coalesce("overlap_next", F.lit(0)))
-    valid = chunks.where(F.size(schemas.row_faults(chunks, "chunks")) == 0)
-    fresh = valid.join(corpus["chunks"].select("id"), "id", "left_anti")
-    out = dict(corpus)
-    out["chunks"] = insert_ignore(corpus["chunks"], valid, ["id"], None, ["file_id", "position"])
-    for table, key in (("chunk_features", ["chunk_id", "feature_name"]), ("chunk_vectors", ["chunk_id", "layer"])):
-        source = {"chunk_features": "_output_features", "chunk_vectors": "_output_vectors"}[table]
-        if source in run:
-            new = schemas.align(run[source], table).dropDuplicates(key)  # equal ids are equal contents
-            out[table] = corpus[table].join(new.select(*key), key, "left_anti").unionByName(new)
-    if "_output_relations" in run:
-        out["chunk_relations"] = insert_ignore(corpus["chunk_relations"], schemas.align(run["_output_relations"], "chunk_relations"), ["from_chunk_id", "to_chunk_id", "relation_type"], "chunk_relations", ["weight"])
-    out["raw_files"] = set_status(corpus["raw_files"], valid)
-    return out, fresh.agg(F.count_distinct("id").alias("inserted"))

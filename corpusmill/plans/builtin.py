@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from corpusmill.functions import features as ft
 from corpusmill.functions.text import MIME
 from corpusmill.plans.workflow import Step, Workflow
 
+#: Fixed values below: ids, names and order of steps, model versions, weights, tags, sizes.
 UNSEEN = "content_hash NOT IN (SELECT hash FROM corpus.chunks)"
 SHA = {"algorithm": "sha256", "columns": ["content"], "output_column": "content_hash"}
 
@@ -84,15 +87,38 @@ def _text() -> Workflow:
 
 
 def _search() -> Workflow:
-    """The steps of a search as a definition; operators.search runs them as one plan."""
-    names = ("tokenize_query", "expand_query", "fts_filter", "score_structure", "score_lexical", "score_contextual", "blend_scores", "top_k_filter", "enrich_results", "finalize_output")
-    kinds = ("project", "project", "filter", "join", "join", "join", "project", "filter", "join", "project")
-    s, before = [], "_query_input"
-    for n, k in zip(names, kinds, strict=True):
-        out = "_output" if n == "finalize_output" else f"s_{n}"
-        s.append(Step(n, k, before, out, on_empty="fail" if n == "tokenize_query" else "continue"))
-        before = out
-    return Workflow("search_v1", "search over several layers", tuple(s), tags=("search", "multilayer", "production"))
+    """Search: words of the query, their alternatives, full-text candidates, a score a layer, their weighted sum, the best."""
+
+    def layer(name: str, before: str) -> Step:
+        return Step(f"score_{name}", "join", before, f"s_{name}", None, {"table": "corpus.chunk_vectors", "layer": name, "score": "cosine", "query_vectors": "_query_vectors"})
+
+    total = " + ".join(f"coalesce({x}_score, 0) * :w_{x}" for x in ("structure", "lexical", "contextual"))
+    best = "blend_score >= :min_score ORDER BY round(blend_score, 6) DESC, id LIMIT :top_k"
+    names = ", ".join(f"'{x}', {x}_score" for x in ("structure", "lexical", "contextual"))
+    s = (
+        Step("tokenize_query", "project", "_query_input", "s_tokens", "query_text, tokenize(query_text) as tokens", {"remove_stopwords": True}, "fail"),
+        Step("expand_query", "project", "s_tokens", "s_expanded", "query_text, tokens, expand_tokens(tokens) as expanded_tokens", {"enable_synonyms": True, "max_expansion": 3}),
+        Step("fts_filter", "filter", "corpus.chunks", "s_candidates", None, {"full_text": "corpus.chunk_postings", "query": "s_expanded", "stats": "_text_stats", "max_candidates": 1000}),
+        layer("structure", "s_candidates"),
+        layer("lexical", "s_structure"),
+        layer("contextual", "s_lexical"),
+        Step("blend_scores", "project", "s_contextual", "s_blended", f"*, ({total}) as blend_score", {"dynamic_weights": True}),
+        Step("top_k_filter", "filter", "s_blended", "s_best", best),
+        Step("enrich_results", "join", "s_best", "s_enriched", "LEFT JOIN corpus.raw_files rf ON s_best.file_id = rf.id", {"snippet_length": 200, "highlight_matches": True}),
+        Step("finalize_output", "project", "s_enriched", "_output", f"id as chunk_id, blend_score as score, json_object({names}) as layer_scores, substr(content, 1, 200) as snippet, file_id, source_path"),
+    )
+    return Workflow("search_v1", "search over several layers", s, tags=("search", "multilayer", "production"))
+
+
+def reranked(w: Workflow) -> Workflow:
+    """The search workflow with blended scores multiplied by each chunk's boost, of table corpus.feedback (chunk_id, boost)."""
+    out = []
+    for s in w.steps:
+        if s.name == "blend_scores":
+            out.append(Step("join_feedback", "join", s.source, "s_boosted", "LEFT JOIN corpus.feedback fb ON s_contextual.id = fb.chunk_id"))
+            s = replace(s, source="s_boosted", predicate=s.predicate.replace(") as blend_score", ") * coalesce(boost, 1.0) as blend_score"))
+        out.append(s)
+    return replace(w, id="search_reranked_v1", steps=tuple(out))
 
 
 WORKFLOWS: dict[str, Workflow] = {

@@ -70,6 +70,29 @@ class Catalog:
         return spark.createDataFrame(rows, schemas.TABLES["search_configs"].ddl)
 
 
+def load_file(catalog: Catalog, path: str) -> Workflow:
+    """Add the workflow of a JSON file: id, name, version, description, status, tags, and steps as rows of workflow_steps."""
+    with open(path, encoding="utf-8") as f:
+        data = json.load(f)
+    rows = [{"workflow_id": data["id"], "step_order": i, **s, "config": json.dumps(s.get("config") or {})} for i, s in enumerate(data["steps"], 1)]
+    w = replace(from_rows(rows, tuple(data.get("tags", ()))), name=data.get("name", data["id"]), version=data.get("version", 1), description=data.get("description", ""), status=data.get("status", "active"))
+    wrong = w.check()
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    catalog.items[w.id, w.version] = w
+    return w
+
+
+def metrics(runs: DataFrame, executions: DataFrame) -> DataFrame:
+    """Rows of workflow_metrics from run metadata and step logs: success rate, and mean duration and rows of completed runs."""
+    last = executions.groupBy("run_id").agg(F.sum("duration_ms").alias("ms"), F.max_by("rows_out", "step_order").alias("rows"))
+    done = F.col("status").isin("completed", "merged")
+    each = runs.select("run_id", "workflow_id", "workflow_version", done.alias("done")).join(last, "run_id", "left").groupBy("workflow_id", "workflow_version")
+    named = F.array(*[F.struct(F.lit(n).alias("metric_name"), F.col(n).alias("metric_value"), F.col(c).alias("sample_size")) for n, c in (("success_rate", "n"), ("avg_duration_ms", "n_done"), ("avg_rows_out", "n_done"))])
+    out = each.agg(F.count(F.lit(1)).alias("n"), F.count_if("done").alias("n_done"), F.avg(F.col("done").cast("double")).alias("success_rate"), F.avg(F.when(F.col("done"), F.col("ms"))).cast("double").alias("avg_duration_ms"), F.avg(F.when(F.col("done"), F.col("rows"))).cast("double").alias("avg_rows_out"))
+    return out.select("workflow_id", "workflow_version", F.explode(named).alias("m")).select("workflow_id", "workflow_version", "m.*").where("metric_value is not null")
+
+
 def from_rows(rows: list[dict], tags: tuple[str, ...] = ()) -> Workflow:
     """A workflow from rows of workflow_steps."""
     ordered = sorted(rows, key=lambda r: r["step_order"])

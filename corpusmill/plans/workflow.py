@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import time
 import uuid
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
 from corpusmill.functions import features as ft
-from corpusmill.operators import chunking, steps, vectorize
+from corpusmill.corpus import hadoop, rename
+from corpusmill.hooks import REGISTRY
+from corpusmill.operators import chunking, metrics, search, steps, vectorize
 from corpusmill.sources import files as fs
 
 
@@ -41,7 +44,7 @@ class Workflow:
 
     def check(self) -> list[str]:
         """What is wrong with the definition: operations, sources that nothing yields, outputs that repeat, cycles."""
-        wrong, known = [], {"_input", "_query_input"}
+        wrong, known = [], {"_input", "_query_input", "_query_vectors", "_text_stats"}
         for i, s in enumerate(self.steps, 1):
             if s.operation not in schemas.OPERATIONS:
                 wrong.append(f"step {i}: unknown operation {s.operation}")
@@ -62,7 +65,8 @@ class Workflow:
     def order(self) -> list[int]:
         """Indices of the steps so that sources and declared dependencies come first."""
         made = {s.output: i for i, s in enumerate(self.steps)}
-        needs = {i: {made[x] for x in [s.source, *s.config.get("sources", [])] if x in made and made[x] != i} for i, s in enumerate(self.steps)}
+        named = {i: [s.source, *s.config.get("sources", []), *(v for v in s.config.values() if isinstance(v, str))] for i, s in enumerate(self.steps)}
+        needs = {i: {made[x] for x in named[i] if x in made and made[x] != i} for i in named}
         for step, on in self.dependencies:
             needs[step - 1].add(on - 1)
         out: list[int] = []
@@ -82,10 +86,17 @@ def apply_step(step: Step, source: DataFrame, env: dict[str, DataFrame], params:
     """One step as a lazy frame."""
     c, op = step.config, step.operation
     if op == "filter":
+        if "full_text" in c:
+            return search.full_text(source, env[c["full_text"]], env[c["query"]], env[c["stats"]], c.get("max_candidates", search.CANDIDATES))
         return steps.filter_rows(source, step.predicate, params, env)
     if op == "project":
-        return steps.project(source, step.predicate)
+        out = steps.project(source, step.predicate, params)
+        return search.with_synonyms(out, c.get("max_expansion", 3), (params or {}).get("synonyms")) if c.get("enable_synonyms") else out
     if op == "join":
+        if "score" in c:
+            return search.scored_layer(source, env[c["table"]], c["layer"], env[c["query_vectors"]])
+        if step.predicate:
+            return steps.join_clauses(source, step.source, steps.bind(step.predicate, params), env)
         return steps.join(source, env[c["table"]], c["on"], c.get("how", "inner"))
     if op == "aggregate":
         if "features" in c:
@@ -99,13 +110,19 @@ def apply_step(step: Step, source: DataFrame, env: dict[str, DataFrame], params:
         return steps.aggregate(source, step.predicate, c.get("group_by"), c.get("functions"))
     if op == "window":
         if c.get("pack"):
-            return chunking.CHUNKERS[c["strategy"]](source, "file_id" if "file_id" in source.columns else "id")
+            return chunking.declared(source, c)
         return steps.window(source, c.get("min_tokens", 50), c.get("max_tokens", 512))
     if op == "hash":
+        if not c:
+            return steps.hash_placeholder(source)
         return steps.hash_columns(source, c.get("columns", ["content"]), c.get("algorithm", "sha256"), c.get("output_column", "hash"))
     if op == "vectorize":
-        dims, layer, kind = c.get("dimensions", 256), c["layer"], c["algorithm"]
-        if kind == "feature_hash":
+        dims, layer, kind = c.get("dimensions", 256), c["layer"], c.get("algorithm")
+        if kind is None:
+            return vectorize.zero_layer(source, layer, "id", dims, c.get("model_version", "v1"))
+        if kind in REGISTRY.vectorizers:
+            v = REGISTRY.vectorizers[kind].vectors(source, "id", dims, c, env)
+        elif kind == "feature_hash":
             names = c.get("features")
             v = vectorize.hash_features(source, list(ft.features(names)) if isinstance(names, str) else names, "id", dims) if names else vectorize.structure(source, "id", "content", dims)
         elif kind == "tfidf":
@@ -128,6 +145,12 @@ def apply_step(step: Step, source: DataFrame, env: dict[str, DataFrame], params:
     raise ValueError(f"unknown operation {op}")
 
 
+def packed(wf: Workflow) -> Workflow:
+    """The workflow with its window steps as they are declared, by strategy, sizes, overlap and markers, instead of as a filter
+    on sizes."""
+    return replace(wf, steps=tuple(replace(s, config=s.config | {"pack": True}) if s.operation == "window" else s for s in wf.steps))
+
+
 def compile_workflow(wf: Workflow, tables: dict[str, DataFrame], params: dict | None = None, watch: dict[str, Observation] | None = None) -> dict[str, DataFrame]:
     """Every step's frame by its output name. tables: _input, and corpus tables as corpus.name.
 
@@ -155,44 +178,159 @@ def compile_workflow(wf: Workflow, tables: dict[str, DataFrame], params: dict |
     return env
 
 
-def run(spark: SparkSession, wf: Workflow, tables: dict[str, DataFrame], path: str, params: dict | None = None, run_id: str | None = None, worker: str = "local") -> str:
-    """Run a workflow into path/run_id: one Parquet folder a result table, step log and metadata. Returns the folder.
+@dataclass(frozen=True)
+class RunConfig:
+    """How a run goes. debug: statistics, samples and deltas of every step that is written; keep_tables: these stay in the
+    run's folder; sample_size: rows of the input that are used (none: all); batch_size and timeout_s are kept as metadata."""
 
-    Everything goes to a staging name, renamed at the end, so a reader never sees half a run."""
-    run_id = run_id or uuid.uuid4().hex
-    began, watch, error = dt.datetime.now(dt.UTC).replace(tzinfo=None), {}, None
-    stage, final = f"{path}/_staging-{run_id}", f"{path}/{run_id}"
-    try:
-        env = compile_workflow(wf, tables, params, watch)
-        out = env["_output"]
+    parameters: dict = field(default_factory=dict)
+    debug: bool = False
+    keep_tables: bool = False
+    sample_size: int | None = None
+    batch_size: int = 100
+    timeout_s: float | None = None
+
+
+class _Run:
+    """One run: its steps one after the other, those that are dear or have several readers written to the staging folder."""
+
+    def __init__(self, spark: SparkSession, wf: Workflow, tables: dict[str, DataFrame], stage: str, run_id: str, config: RunConfig):
+        self.spark, self.wf, self.stage, self.run_id, self.config = spark, wf, stage, run_id, config
+        self.env, self.log, self.open = dict(tables), {}, []
+        self.rows: dict[str, int | None] = {}
+        self.watch: dict[str, Observation] = {}
+        self.deltas: list[DataFrame] = []
+        self.stats: list[DataFrame] = []
+        self.samples: list[DataFrame] = []
+        self.at = 0
+        if config.sample_size is not None:
+            self.env["_input"] = self.env["_input"].limit(config.sample_size)
+
+    def readers(self, output: str) -> int:
+        return sum((s.source == output) + sum(v == output or (isinstance(v, list) and output in v) for v in s.config.values()) for s in self.wf.steps)
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """Write a frame; what was open until now is done with it."""
+        began = time.monotonic()
+        df.write.parquet(f"{self.stage}/{name}")
+        spent, now = int((time.monotonic() - began) * 1000), _now()
+        for i in self.open:
+            self.log[i] |= {"finished_at": now, "duration_ms": spent}
+        self.open = []
+        return self.spark.read.schema(df.schema).parquet(f"{self.stage}/{name}")
+
+    def step(self, i: int) -> bool:
+        """Whether to go on."""
+        s, self.at = self.wf.steps[i], i + 1
+        df = apply_step(s, self.env[s.source], self.env, self.config.parameters)
+        self.watch[s.output] = Observation(f"{s.output}-{uuid.uuid4().hex[:8]}")
+        df = df.observe(self.watch[s.output], F.count(F.lit(1)).alias("rows"))
+        self.log[i] = {"started_at": _now(), "finished_at": None, "duration_ms": None}
+        self.open.append(i)
+        dear = s.operation in ("external", "window", "vectorize") or (s.operation == "aggregate" and "features" in s.config)
+        if dear or self.readers(s.output) > 1 or s.on_empty != "continue" or s.expects_delta or self.config.debug or self.config.keep_tables:
+            df = self.write(df, f"steps/{s.output}")
+            self.describe(i, df)
+        self.env[s.output] = df
+        if s.on_empty != "continue" and df.isEmpty():
+            if s.on_empty == "fail":
+                raise Fails(f"{self.wf.id}, step {i + 1} ({s.name}) has no rows")
+            self.env["_output"] = schemas.align(df.limit(0), "_output")
+            return False
+        return True
+
+    def describe(self, i: int, df: DataFrame) -> None:
+        s, before = self.wf.steps[i], self.env[self.wf.steps[i].source]
+        mark = [F.lit(self.run_id).alias("run_id"), F.lit(i + 1).cast("bigint").alias("step_order")]
+        if (s.expects_delta or self.config.debug) and "id" in df.columns and "id" in before.columns:
+            self.deltas.append(steps.diff(before, df, "id").select(mark[0], F.lit(i).cast("bigint").alias("step_from"), F.lit(i + 1).cast("bigint").alias("step_to"), "*"))
+        if self.config.debug:
+            each = metrics.stats(df, approximate=True)
+            pick = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("column_name", c)))).alias(f"{c}_counts")  # noqa: E731  a row a column
+            self.stats.append(each.agg(F.max("row_count").alias("row_count"), pick("nulls"), pick("distinct")).select(*mark, "row_count", F.col("nulls_counts").alias("null_counts"), F.col("distinct_counts")))
+            if {"id", "content", "position"} <= set(df.columns):
+                self.samples.append(metrics.samples(df).select(*mark, "sample_type", F.col("row_id").cast("string").alias("row_id"), "content"))
+
+    def finish(self) -> None:
+        out = self.env["_output"]
         if "hash" not in out.columns and "content_hash" in out.columns:
             out = out.withColumnRenamed("content_hash", "hash")
         if "token_count" not in out.columns and "content" in out.columns:
             out = out.withColumn("token_count", F.expr("cast(length(content) div 4 as bigint)"))
         if "chunk_type" not in out.columns:
             out = out.withColumn("chunk_type", F.lit("semantic"))
-        schemas.align(out, "_output").write.parquet(f"{stage}/_output")
-        vectors = [env[s.output] for s in wf.steps if s.operation == "vectorize" and s.output in env]
+        self.write(schemas.align(out, "_output"), "_output")
+        vectors = [self.env[s.output] for s in self.wf.steps if s.operation == "vectorize" and s.output in self.env]
         if vectors:
-            steps.merge(vectors).write.parquet(f"{stage}/_output_vectors")
-        for s in wf.steps:
-            if s.operation == "aggregate" and "features" in s.config and s.output in env:
-                long_features(env[s.output], s).write.parquet(f"{stage}/_output_features")
+            self.write(steps.merge(vectors), "_output_vectors")
+        for s in self.wf.steps:
+            if s.operation == "aggregate" and "features" in s.config and s.output in self.env:
+                self.write(long_features(self.env[s.output], s), "_output_features")
                 break
-        status = "completed"
-    except Fails as e:
-        status, error = "failed", str(e)
-    log = []
-    for i, s in enumerate(wf.steps, 1):
-        if s.output in watch and status == "completed":
-            rows_out, rows_in = _rows(watch, s.output), _rows(watch, s.source)
-            score = 1 - rows_out / rows_in if rows_in and rows_out is not None else None
-            log.append((i, s.name, rows_in, rows_out, None, score, s.output, None))
-    names = "step_order bigint, step_name string, rows_in bigint, rows_out bigint, duration_ms bigint, delta_score double, output_table string, finished_at timestamp"
-    spark.createDataFrame(log, names).coalesce(1).write.parquet(f"{stage}/_step_executions")
-    meta = [(run_id, wf.id, wf.version, began, dt.datetime.now(dt.UTC).replace(tzinfo=None), status, "_input", worker, json.dumps(params or {}), error)]
-    spark.createDataFrame(meta, schemas.TABLES["_run_meta"].ddl).coalesce(1).write.parquet(f"{stage}/_run_meta")
+        if "_output_relations" in self.env:
+            self.write(schemas.align(self.env["_output_relations"], "chunk_relations"), "_output_relations")
+
+    def records(self, error: str | None) -> None:
+        log = []
+        for i, s in enumerate(self.wf.steps):
+            if i in self.log:
+                rows_out, rows_in = _rows(self.watch, s.output), _rows(self.watch, s.source)
+                if rows_in is None and rows_out is not None and s.source in self.env and s.source not in self.watch:
+                    rows_in = self.rows.setdefault(s.source, self.env[s.source].count())
+                score = 1 - rows_out / rows_in if rows_in and rows_out is not None else None
+                done = self.log[i]
+                log.append((self.run_id, i + 1, s.name, rows_in, rows_out, done["duration_ms"], score, s.output, done["started_at"], done["finished_at"]))
+        frames = {"_step_executions": self.spark.createDataFrame(log, schemas.TABLES["_step_executions"].ddl)}
+        for name, found in (("_deltas", self.deltas), ("_step_stats", self.stats), ("_step_samples", self.samples)):
+            if found and error is None:
+                frames[name] = schemas.align(steps.merge(found), name)
+        if error is not None:
+            frames["_errors"] = self.spark.createDataFrame([(self.run_id, self.at, *error.split(": ", 1), None)], schemas.TABLES["_errors"].ddl)
+        for name, df in frames.items():
+            df.coalesce(1).write.parquet(f"{self.stage}/{name}")
+
+
+def _now() -> dt.datetime:
+    return dt.datetime.now(dt.UTC).replace(tzinfo=None)
+
+
+def run(spark: SparkSession, wf: Workflow, tables: dict[str, DataFrame], path: str, params: dict | None = None, run_id: str | None = None, worker: str = "local", config: RunConfig | None = None) -> str:
+    """Run a workflow into path/run_id: one Parquet folder a result table, the step log, what config asks for, and metadata.
+    Returns the folder.
+
+    Everything goes to a staging name, renamed at the end, so a reader never sees half a run; metadata there say running until
+    then. A step that fails ends the run as failed, with the error in _errors; a faulty definition raises ValueError. Steps
+    that aren't written share the end and the duration of the write that computes them."""
+    wrong = wf.check()
+    if wrong:
+        raise ValueError("; ".join(wrong))
+    config = config or RunConfig(parameters=params or {})
+    run_id = run_id or uuid.uuid4().hex
+    began, error = _now(), None
+    stage, final = f"{path}/_staging-{run_id}", f"{path}/{run_id}"
+
+    def meta(status: str) -> None:
+        row = (run_id, wf.id, wf.version, began, None if status == "running" else _now(), status, "_input", worker, json.dumps(asdict(config)), error)
+        spark.createDataFrame([row], schemas.TABLES["_run_meta"].ddl).coalesce(1).write.mode("overwrite").parquet(f"{stage}/_run_meta")
+
+    meta("running")
+    REGISTRY.fire("on_run_start", run_id=run_id, workflow_id=wf.id)
+    work = _Run(spark, wf, tables, stage, run_id, config)
+    try:
+        for i in wf.order():
+            if not work.step(i):
+                break
+        work.finish()
+    except Exception as e:  # noqa: BLE001  whatever ends a run is recorded
+        error = f"{type(e).__name__}: {e}"
+        REGISTRY.fire("on_error", run_id=run_id, workflow_id=wf.id, error=error)
+    work.records(error)
+    if not config.keep_tables:
+        fs, at = hadoop(spark, f"{stage}/steps")
+        fs.delete(at, True)
+    meta("failed" if error else "completed")
     rename(spark, stage, final)
+    REGISTRY.fire("on_run_complete", run_id=run_id, workflow_id=wf.id, status="failed" if error else "completed", path=final)
     return final
 
 
@@ -210,8 +348,3 @@ def _rows(watch: dict[str, Observation], name: str) -> int | None:
         return None
     row = o._jo.getRowOrEmpty()
     return int(row.get().getLong(0)) if row.isDefined() else None
-
-
-def rename(spark: SparkSession, source: str, target: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(source)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).rename(at, spark._jvm.org.apache.hadoop.fs.Path(target))

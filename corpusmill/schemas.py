@@ -21,11 +21,15 @@ WORKFLOW_STATUSES = ("draft", "active", "deprecated")
 
 #: The corpus settings that a new corpus starts with.
 CONFIG = {
-    "corpus_version": "2.0.0",
-    "default_chunk_size": "512",
-    "default_chunk_overlap": "50",
-    "default_vector_dimensions": "256",
-    "embedding_model_version": "v1",
+    "version": "2.0.0",
+    "max_chunk_tokens": "512",
+    "default_overlap": "50",
+    "gc_retention_days": "7",
+    "merger_batch_size": "100",
+    "vector_dimensions": "256",
+    "blend_weights_structure": "0.45",
+    "blend_weights_lexical": "0.30",
+    "blend_weights_contextual": "0.25",
 }
 
 
@@ -51,23 +55,30 @@ TABLES: dict[str, Table] = {
     "chunk_vectors": Table("chunk_id string, layer string, vector array<float>, dimensions bigint, model_version string", ("chunk_id", "layer"), ("vector",), {"layer": LAYERS}, {}, {"chunk_id": ("chunks", "id")}),
     "chunk_relations": Table("from_chunk_id string, to_chunk_id string, relation_type string, weight double", ("from_chunk_id", "to_chunk_id", "relation_type"), (), {"relation_type": RELATIONS}, {"weight": (0, 1)}, {"from_chunk_id": ("chunks", "id"), "to_chunk_id": ("chunks", "id")}),
     "run_history": Table(_RUN + ", rows_produced bigint", ("run_id",), ("workflow_id",), {"status": RUN_STATUSES}),
+    "chunk_postings": Table("term string, chunk_id string, tf bigint, total bigint", ("term", "chunk_id"), (), {}, {}, {"chunk_id": ("chunks", "id")}),
     "feedback_log": Table("query string, chunk_id string, action string, at timestamp", (), ("chunk_id",), {"action": FEEDBACK}, {}, {"chunk_id": ("chunks", "id")}),
     "audit_log": Table("actor string, action string, target string, details string, at timestamp", ()),
     "extractor_versions": Table("extractor string, version string, active boolean", ("extractor", "version")),
     "corpus_index": Table("name string, kind string, built_at timestamp, rows bigint", ("name",)),
     "config": Table("key string, value string", ("key",)),
     "_run_meta": Table(_RUN + ", input_source string, worker_id string, config string, error string", ("run_id",), ("workflow_id",), {"status": RUN_STATUSES}),
-    "_step_executions": Table("step_order bigint, step_name string, rows_in bigint, rows_out bigint, duration_ms bigint, delta_score double, output_table string, finished_at timestamp", ("step_order",)),
-    "_deltas": Table("step_from bigint, step_to bigint, rows_before bigint, rows_after bigint, rows_lost bigint, rows_gained bigint, delta_type string, delta_score double, jaccard_index double", ("step_from", "step_to"), (), {"delta_type": ("reduction", "expansion", "transformation")}),
+    "_step_executions": Table("run_id string, step_order bigint, step_name string, rows_in bigint, rows_out bigint, duration_ms bigint, delta_score double, output_table string, started_at timestamp, finished_at timestamp", ("run_id", "step_order")),
+    "_deltas": Table("run_id string, step_from bigint, step_to bigint, rows_before bigint, rows_after bigint, rows_lost bigint, rows_gained bigint, delta_type string, delta_score double, jaccard_index double", ("run_id", "step_from", "step_to"), (), {"delta_type": ("reduction", "expansion", "transformation")}),
     "_output": Table(_CHUNK + ", source_chain array<string>, confidence double", ("id",), ("content",), {"chunk_type": CHUNK_TYPES}),
-    "_errors": Table("step_order bigint, error_type string, error_message string, row_id string", ()),
-    "_step_samples": Table("step_order bigint, sample_type string, row_id string, content string", (), (), {"sample_type": ("first", "last", "random", "outlier")}),
-    "_step_stats": Table("step_order bigint, row_count bigint, null_counts map<string,bigint>, distinct_counts map<string,bigint>", ("step_order",)),
+    "_errors": Table("run_id string, step_order bigint, error_type string, error_message string, row_id string", ()),
+    "_step_samples": Table("run_id string, step_order bigint, sample_type string, row_id string, content string", (), (), {"sample_type": ("first", "last", "random", "outlier")}),
+    "_step_stats": Table("run_id string, step_order bigint, row_count bigint, null_counts map<string,bigint>, distinct_counts map<string,bigint>", ("run_id", "step_order")),
     "workflows": Table("id string, name string, version bigint, description string, status string", ("id", "version"), ("name",), {"status": WORKFLOW_STATUSES}),
     "workflow_steps": Table("workflow_id string, step_order bigint, step_name string, operation string, source string, predicate string, output string, config string, expects_delta boolean, on_empty string", ("workflow_id", "step_order"), ("output",), {"operation": OPERATIONS, "on_empty": ON_EMPTY}),
     "workflow_step_dependencies": Table("workflow_id string, step_order bigint, depends_on bigint, kind string", ("workflow_id", "step_order", "depends_on"), (), {"kind": ("data", "delta", "config")}),
     "workflow_tags": Table("workflow_id string, tag string", ("workflow_id", "tag")),
     "search_configs": Table("id string, name string, layer_weights map<string,double>, top_k bigint, min_score double, rerank_enabled boolean", ("id",)),
+    "parse_rules": Table("id string, name string, pattern string, target_type string, output_type string, priority bigint, active boolean", ("id",), ("pattern",)),
+    "chunking_strategies": Table("id string, name string, chunk_type string, max_tokens bigint, min_tokens bigint, overlap_tokens bigint, boundary_pattern string, active boolean", ("id",), (), {"chunk_type": CHUNK_TYPES}),
+    "vectorization_configs": Table("id string, name string, layer string, dimensions bigint, algorithm string, weights map<string,double>, model_version string, active boolean", ("id",), (), {"layer": LAYERS, "algorithm": ("feature_hash", "tfidf", "graph_embed", "blend")}),
+    "operation_templates": Table("id string, name string, operation string, predicate_template string, default_config string", ("id",), (), {"operation": OPERATIONS}),
+    "workflow_metrics": Table("workflow_id string, workflow_version bigint, metric_name string, metric_value double, sample_size bigint", ("workflow_id", "workflow_version", "metric_name")),
+    "hooks_config": Table("id string, event string, handler_type string, handler string, priority bigint, active boolean", ("id",), (), {"event": ("on_ingest", "on_run_start", "on_run_complete", "on_merge", "on_search", "on_error"), "handler_type": ("webhook", "script", "internal")}),
     "tasks": Table("id string, zone string, kind string, payload string, status string, worker string, created_at timestamp, updated_at timestamp, result string", ("id",), (), {"status": ("pending", "claimed", "done", "failed")}),
     "heartbeats": Table("worker string, zone string, at timestamp, status string", ("worker",)),
     "logs": Table("worker string, level string, message string, context string, at timestamp", ()),

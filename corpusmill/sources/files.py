@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
+from corpusmill.hooks import REGISTRY
 from corpusmill.sources import office, parsers
 
 SEGMENTS = "id string, file_id string, segment_type string, content string, page int, position bigint, name string, kind string, level bigint, line_start bigint, line_end bigint"
@@ -25,12 +26,48 @@ def ingest(spark: SparkSession, path: str, known: DataFrame | None = None, recur
     return out if known is None else out.join(known.select("id"), "id", "left_anti")
 
 
+def copy_files(files: DataFrame, store: str) -> DataFrame:
+    """Copy the files of rows of raw_files to store/<first two of the id>/<id>, where they are read, and point external_path there.
+
+    A copy that is there already stays; a copy is written under another name first, so none is ever half."""
+    read = files.sparkSession.read.format("binaryFile")
+    paths = [r["external_path"] for r in files.select("external_path").collect()]  # the files of one ingestion
+    if not paths:
+        return files
+    target = F.concat(F.lit(store.rstrip("/") + "/"), F.substring("id", 1, 2), F.lit("/"), F.col("id"))
+    content = read.load(paths).select(F.sha2("content", 256).alias("id"), "content").dropDuplicates(["id"]).withColumn("_to", target)
+
+    def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs as pfs
+
+        for b in batches:
+            done = []
+            for k, c, to in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                where, at = pfs.FileSystem.from_uri(to if "://" in to else "file://" + to)
+                if where.get_file_info(at).type == pfs.FileType.NotFound:
+                    where.create_dir(at.rsplit("/", 1)[0], recursive=True)
+                    with where.open_output_stream(f"{at}.{id(b)}.tmp") as out:
+                        out.write(c)
+                    where.move(f"{at}.{id(b)}.tmp", at)
+                done.append((k, to))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in done], pa.string()) for i in range(2)], ["id", "_to"])
+
+    made = content.mapInArrow(put, "id string, _to string")
+    return files.join(made, "id", "left").withColumn("external_path", F.coalesce("_to", "external_path")).select(*files.columns)
+
+
+def get_row(table: DataFrame, key: str, column: str = "id") -> DataFrame:
+    """A chunk or a file by its id: none or one row."""
+    return table.where(F.col(column) == key).limit(1)
+
+
 def pending(files: DataFrame, limit: int = 100) -> DataFrame:
     return files.where("status = 'pending'").orderBy("id").limit(limit)
 
 
-def route(files: DataFrame) -> DataFrame:
-    return files.withColumn("workflow_id", tx.route(F.col("mime_type")))
+def route(files: DataFrame, mapping: dict[str, str | None] | None = None) -> DataFrame:
+    """Add workflow_id by MIME type, null for types without a workflow; mapping: types that go elsewhere, or nowhere (None)."""
+    return files.withColumn("workflow_id", tx.route(F.col("mime_type"), mapping))
 
 
 def list_files(files: DataFrame, status: str | None = None, mime: str | None = None, limit: int | None = None) -> DataFrame:
@@ -45,9 +82,10 @@ def list_files(files: DataFrame, status: str | None = None, mime: str | None = N
 def extract(df: DataFrame, extractor: str = "code", options: dict | None = None, key: str = "id", content: str = "content") -> DataFrame:
     """Segments of each row's content (text, or bytes for office formats), file_id = key; a row that fails is left out.
 
-    Unknown extractors give an empty table of segments."""
-    language = (options or {}).get("language")
-    if extractor not in ("code", "text", "pdftotext", "pdf", "docx", "pandoc", "xlsx"):
+    Position is the number of the segment in its file, from 0. Extractors that are registered go before those of the same name
+    here. Unknown extractors give an empty table of segments."""
+    language, own = (options or {}).get("language"), REGISTRY.extractors.get(extractor)
+    if own is None and extractor not in ("code", "text", "pdftotext", "pdf", "docx", "pandoc", "xlsx"):
         return df.sparkSession.createDataFrame([], SEGMENTS)
     reader = {"pdftotext": "pdf", "pandoc": "docx"}.get(extractor, extractor)
 
@@ -56,14 +94,16 @@ def extract(df: DataFrame, extractor: str = "code", options: dict | None = None,
             rows = []
             for k, c in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    if isinstance(c, bytes) and reader in office.READERS:
+                    if own is not None:
+                        found = [(parsers.block_id(x.content), "text", x.content, x.page, i, x.name, x.kind, x.level, x.start, x.end) for i, x in enumerate(own.read(c, options or {}))]
+                    elif isinstance(c, bytes) and reader in office.READERS:
                         found = [(parsers.block_id(x.content), x.kind, x.content, x.page, x.start, x.name, x.kind, x.level, x.start, x.end) for x in office.READERS[reader](c)]
                     else:
                         text = c.decode("utf-8", "replace") if isinstance(c, bytes) else c or ""
                         found = list(parsers.parse(text, language or ("pdf" if reader == "pdf" else "text" if reader == "text" else None)))
                 except Exception:  # noqa: BLE001  a file that can't be read yields no segments
                     continue
-                rows += [(f[0], k, *f[1:]) for f in found]
+                rows += [(f[0], k, *f[1:4], i, *f[5:]) for i, f in enumerate(found)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(_ARROW)], [x.split()[0] for x in SEGMENTS.split(", ")])
 
     return df.select(F.col(key).cast("string"), content).mapInArrow(run, SEGMENTS)

@@ -128,32 +128,69 @@ def bash(text: str) -> list[Block]:
     return _braced(text, starts, lambda line: "shebang" if line.strip().startswith("#!/") else None, lambda line: line.strip().startswith("#"))
 
 
-def golang(text: str) -> list[Block]:
-    """By braces at the top level, as there is no syntax tree of this language here."""
+def _masked(text: str) -> str:
+    """The text with comments, and what stands in literals, as blanks; line breaks and lengths stay."""
+    blank = lambda m: re.sub(r"[^\n]", " ", m[0])
+    return re.sub(r'//[^\n]*|/\*.*?\*/|`[^`]*`|"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'', blank, text, flags=re.S)
+
+
+def _ended(code: str, at: int) -> int:
+    """Where the declaration that starts here ends: at the line end (or a semicolon or closing bracket) outside all brackets."""
+    depth = 0
+    while at < len(code):
+        c = code[at]
+        if c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if depth < 0:
+                return at
+        elif c in "\n;" and not depth:
+            return at
+        at += 1
+    return at
 
-    def starts(line: str) -> tuple[str, str] | None:
-        if m := re.match(r"^func\s+\(\s*\w*\s*\*?(\w+)(?:\[[^\]]*\])?\s*\)\s*(\w+)", line):
-            return "method", f"({m[1]}).{m[2]}"
-        if m := re.match(r"^func\s+(\w+)", line):
-            return "function", m[1]
-        if m := re.match(r"^type\s+(\w+)(?:\[[^\]]*\])?\s+(struct|interface)?", line):
-            return (m[2] or "type"), m[1]
-        return None
 
-    lines, out = text.split("\n"), []
-    inside = False
-    for i, line in enumerate(lines, 1):
-        if re.match(r"^import\s+\(", line):
-            inside = True
-        elif inside and line.strip() == ")":
-            inside = False
-        elif inside and (m := re.match(r'^\s*(?:[\w.]+\s+)?"([^"]+)"', line)):
-            out.append(Block("import", m[1], m[1], i, i))
-        elif m := re.match(r'^import\s+(?:[\w.]+\s+)?"([^"]+)"', line):
-            out.append(Block("import", m[1], m[1], i, i))
-        elif (m := re.match(r"^type\s+(\w+)\s+[^{]*$", line)) and "struct" not in line and "interface" not in line:
-            out.append(Block("type", m[1], line, i, i))
-    return out + _braced(text, lambda line: starts(line) if "{" in line else None, lambda line: None)
+def golang(text: str) -> list[Block]:
+    """Imports in order, then functions and types (grouped ones and those inside functions too) by where they start. Scanned by
+    brackets over the text without comments and literals, as there is no syntax tree of this language here; a text without a
+    package clause or with brackets that don't match goes by blank lines.
+
+    Blocks are whole lines. Methods are called (T).name, or (*T).name for a pointer receiver; imports by their quoted path."""
+    code, lines = _masked(text), text.split("\n")
+    if not re.match(r"\s*package\s+\w", code) or any(code.count(a) != code.count(b) for a, b in ("()", "[]", "{}")):
+        raise ValueError("no source of this language")
+
+    def block(kind: str, name: str, start: int, end: int) -> Block:
+        a, b = text.count("\n", 0, start) + 1, text.count("\n", 0, max(start, end - 1)) + 1
+        return Block(kind, name, _cut(lines, a, b), a, b)
+
+    imports, found = [], []
+    for m in re.finditer(r"^import\b", code, re.M):
+        end = _ended(code, m.end())
+        imports += [block("import", p[0], m.end() + p.start(), m.end() + p.end()) for p in re.finditer(r'"[^"\n]*"|`[^`]*`', text[m.end() : end])]
+    for m in re.finditer(r"^func[ \t]*(?:\(([^()]*)\)[ \t]*)?(\w+)", code, re.M):
+        receiver = re.search(r"(\*?)\s*(\w+)\s*$", m[1]) if m[1] else None
+        name = m[2] if m[1] is None else f"({receiver[1] + receiver[2] if receiver else ''}).{m[2]}"
+        found.append((m.start(), block("function", name, m.start(), _ended(code, m.start()))))
+
+    def spec(at: int, end: int) -> None:
+        if m := re.compile(r"[ \t]*(\w+)(?:\[[^\]\n]*[ \t][^\]\n]*\])?[ \t]*=?[ \t]*(struct|interface)?\b").match(code, at):
+            found.append((m.start(1), block(m[2] or "type", m[1], m.start(1), end)))
+
+    for m in re.finditer(r"^[ \t]*type\b[ \t]*(\()?", code, re.M):
+        if not m[1]:
+            spec(m.end(), _ended(code, m.end()))
+            continue
+        depth_end = m.end()
+        while True:
+            n = re.compile(r"[\s;]*").match(code, depth_end)
+            at = n.end()
+            if at >= len(code) or code[at] == ")":
+                break
+            depth_end = _ended(code, at)
+            spec(at, depth_end)
+    return imports + [b for _, b in sorted(found, key=lambda x: x[0])]
 
 
 def sql(text: str) -> list[Block]:
@@ -199,8 +236,8 @@ def markdown(text: str) -> list[Block]:
     fence, language = 0, ""
     for i, line in enumerate(lines, 1):
         if fence:
-            if re.match(MD_FENCE_END, line.strip()):
-                out.append(Block("code", language, _cut(lines, fence, i), fence, i))
+            if re.match(MD_FENCE_END, line):
+                out.append(Block("code_block", language, _cut(lines, fence, i), fence, i))
                 fence = 0
             continue
         if m := re.match(MD_FENCE, line):
@@ -212,7 +249,7 @@ def markdown(text: str) -> list[Block]:
                 out.append(section)
             section = Block("section", m[2], "", i, i, len(m[1]))
     if fence:
-        out.append(Block("code", language, _cut(lines, fence, len(lines)), fence, len(lines)))
+        out.append(Block("code_block", language, _cut(lines, fence, len(lines)), fence, len(lines)))
     if section is not None:
         section.end, section.content = len(lines), _cut(lines, section.start, len(lines))
         out.append(section)
@@ -248,9 +285,14 @@ PARSERS: dict[str, Callable[[str], list[Block]]] = {"go": golang, "python": pyth
 
 
 def parse(text: str, language: str | None) -> Iterator[tuple]:
-    """(id, segment_type, content, page, position, name, kind, level, line_start, line_end) of a text; unknown languages go by blank lines."""
+    """(id, segment_type, content, page, position, name, kind, level, line_start, line_end) of a text; position is the number of
+    the block. Unknown languages, and sources that their parser can't read, go by blank lines."""
     language = language or "generic"
-    for i, b in enumerate(PARSERS.get(language, generic)(text)):
+    try:
+        found = PARSERS.get(language, generic)(text)
+    except ValueError:
+        found = generic(text)
+    for i, b in enumerate(found):
         kind = "text" if language in ("pdf", "text") else "code"
         hashed = b.content + " " if language == "pdf" else b.content
-        yield block_id(hashed), kind, b.content, b.page, i if language == "pdf" else b.start, b.name, b.kind, b.level, b.start, b.end
+        yield block_id(hashed), kind, b.content, b.page, i, b.name, b.kind, b.level, b.start, b.end

@@ -37,9 +37,50 @@ def test_bash_sql_html_markdown_go():
     assert kinds(parsers.html("<p>\n<script>\nx\n</script>\n<style>a</style>\n")) [0] == ("script", "", 2, 4)
     assert kinds(parsers.html("<p>one</p>"))[0][0] == "document"
     md = parsers.markdown("lost\n# A\ntext\n```py\ncode\n```\n## B\nend")
-    assert kinds(md) == [("code", "py", 4, 6), ("section", "A", 2, 6), ("section", "B", 7, 8)]
+    assert kinds(md) == [("code_block", "py", 4, 6), ("section", "A", 2, 6), ("section", "B", 7, 8)]
+    assert kinds(parsers.markdown("# A\n```\nx\n ```\ny")) == [("code_block", "", 2, 5), ("section", "A", 1, 5)]  # a fence ends at the margin alone
     go = parsers.golang('package p\nimport (\n\t"fmt"\n)\ntype T struct {\n\ta int\n}\nfunc (t *T) M() {\n}\nfunc F() int {\n\treturn 1\n}')
-    assert {(b.kind, b.name) for b in go} == {("import", "fmt"), ("struct", "T"), ("method", "(T).M"), ("function", "F")}
+    assert {(b.kind, b.name) for b in go} == {("import", '"fmt"'), ("struct", "T"), ("function", "(*T).M"), ("function", "F")}
+
+
+GO = """package main
+
+import (
+\t"fmt"
+\tu "net/url" // with a name
+)
+import "os"
+
+// func no() {
+type (
+\tA struct {
+\t\tx int
+\t}
+\tB interface{ Do() }
+\tC = map[string]int
+\tG[T any] struct{ v T }
+)
+
+type D []int
+
+func (a *A) Run(s string) string {
+\tx := "{" /* } */
+\ttype local struct{ y int }
+\treturn s + x
+}
+func (A) Plain() {}
+func main() { fmt.Println(`
+func no() {`) }
+"""
+
+
+def test_go():
+    assert kinds(parsers.golang(GO)) == [
+        ("import", '"fmt"', 4, 4), ("import", '"net/url"', 5, 5), ("import", '"os"', 7, 7), ("struct", "A", 11, 13), ("interface", "B", 14, 14), ("type", "C", 15, 15), ("struct", "G", 16, 16),
+        ("type", "D", 19, 19), ("function", "(*A).Run", 21, 25), ("struct", "local", 23, 23), ("function", "(A).Plain", 26, 26), ("function", "main", 27, 28),
+    ]
+    assert [b.content for b in parsers.golang(GO)][:2] == ['\t"fmt"', '\tu "net/url" // with a name']
+    assert [x[2] for x in parsers.parse("func f() {", "go")] == ["func f() {\n"]  # no source of this language: by blank lines
 
 
 def test_pdf_text():
