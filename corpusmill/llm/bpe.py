@@ -35,7 +35,7 @@ NEWER_L = (
 NEWER_N = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 #: Remembered pieces (of which the later half outlives a renewal) and verdicts on pairs, and the longest piece that is
 #: remembered. A task forgets them at its end, as the process that ran it may be kept for other work.
-REMEMBER, REMEMBER_PAIRS, LONGEST = 300_000, 200_000, 64
+REMEMBER, REMEMBER_PAIRS, LONGEST = 200_000, 200_000, 64
 
 
 def _chars(ranges: str) -> str:

@@ -252,8 +252,9 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     the one of the smallest hash stays. Empty table: empty result. Reruns agree."""
     docs, told = _similar(df, key, text)
     told = cut(told, "groups").where("group is not null")
-    first = told.groupBy("group").agg(F.min(F.struct("rid", "hash")).alias("first"))
-    gone = told.join(first, "group").where(F.struct("rid", "hash") != F.col("first")).select("rid", "hash").distinct()
+    first = told.groupBy("group").agg(F.min(F.struct("rid", "hash")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    first = cut(first, "first")
+    gone = told.join(small(first, first.count()), "group").where(F.struct("rid", "hash") != F.col("first")).select("rid", "hash").distinct()
     gone = cut(gone, "gone")
     left = docs.join(small(gone, gone.count()), ["rid", "hash"], "left_anti")
     again = told.groupBy("rid", "hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("rid", "hash")
