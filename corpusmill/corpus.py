@@ -219,3 +219,16 @@ class Corpus:
         ps = self.parts("chunk_postings")
         docs, words = sum(p.get("docs", 0) for p in ps), sum(p.get("words", 0) for p in ps)
         return docs, words / docs if docs else 1.0
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir; where it is unset, a local session gets one of
+    the machine's own, and another session an error."""
+    at = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        import tempfile
+
+        at = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
+    return f"{at.rstrip('/')}/corpusmill/{name}-{uuid.uuid4().hex}"

@@ -140,7 +140,8 @@ def declared(df: DataFrame, config: dict) -> DataFrame:
     elif kind == "fixed_window":
         out = by_fixed_window(texts.withColumn("content", F.array_join("u", " ")), "file_id", "content", c["max_tokens"], c["overlap_tokens"])
     else:
-        out = {"sentence": by_sentence, "paragraph": by_paragraph}[kind](texts.withColumn("content", F.array_join("u", "\n\n")), "file_id", "content")
+        cut = {"sentence": sentences, "paragraph": paragraphs}[kind]
+        out = _rows(texts, F.flatten(F.transform("u", cut)), "file_id", kind)
     return out.withColumn("id", F.substring(F.sha2("content", 256), 1, 32)).withColumn("approx_tokens", F.col("token_count"))
 
 

@@ -73,12 +73,12 @@ def idf(counted: DataFrame, n_docs: int, min_df: int = 2, max_df: float = 0.8) -
     return df.where((F.col("df") >= min_df) & (F.col("df") <= int(n_docs * max_df))).select("term", "df", F.ln(F.lit(float(n_docs)) / F.col("df")).alias("idf"))
 
 
-def tfidf_sparse(df: DataFrame, key: str = "id", text: str = "content", dims: int = 256, min_df: int = 2, max_df: float = 0.8, ngrams: tuple[int, int] = (1, 1), n_docs: int | None = None) -> DataFrame:
+def tfidf_sparse(df: DataFrame, key: str = "id", text: str = "content", dims: int = 256, min_df: int = 2, max_df: float = 0.8, ngrams: tuple[int, int] = (1, 1), n_docs: int | None = None, counted: DataFrame | None = None) -> DataFrame:
     """(id, idx, value): signed bucket sums of tf * idf, before normalisation.
 
     The vocabulary is hashed once a term, not once an occurrence; it joins the counts on the term, where a frequent term is a
-    hot key that adaptive execution splits; terms beyond max_df are gone by then."""
-    counted = terms(df, key, text, ngrams)
+    hot key that adaptive execution splits; terms beyond max_df are gone by then. counted: what terms() gave, if it was written."""
+    counted = terms(df, key, text, ngrams) if counted is None else counted
     n = df.count() if n_docs is None else n_docs
     vocabulary = idf(counted, n, min_df, max_df).withColumn("idx", tx.bucket(F.col("term"), dims)).withColumn("sign", tx.sign(F.col("term")))
     weighed = counted.join(vocabulary, "term").select("id", "idx", (F.col("tf") / F.col("total") * F.col("idf") * F.col("sign")).alias("w"))

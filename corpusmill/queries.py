@@ -4,42 +4,17 @@ documents stand for files with their content: the id is doc_id, as equal texts w
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.corpus import scratch
 from corpusmill.functions import features as ft
 from corpusmill.functions import text as tx
 from corpusmill.functions import vectors as vc
 from corpusmill.operators import chunking, metrics, relations, search, steps, upsert, vectorize
+from corpusmill.queries_base import CONTENTS, ORACLES, QUERIES, contents, query, read
 from corpusmill.sources import files as fs
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def put(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return put
-
-
-def read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def contents(spark: SparkSession, d: str) -> DataFrame:
-    """documents as (id, content)."""
-    return read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-
-
-CONTENTS = "(SELECT doc_id AS id, text AS content FROM documents)"
 # --------------------------------------------------------------------------- steps
 
 
@@ -239,15 +214,20 @@ def _(spark, d):
     return contents(spark, d).selectExpr("id", *[f"{_rounded(e, n)} as {n}" for n, e in named.items()])
 
 
-def _structure_sql() -> str:
+def _structure_rows(relation: str) -> str:
+    """SQL for (id, idx, x): the structure vector of each row of a relation of (id, content), without its zeros."""
     slots: dict[int, list[str]] = {}
     for n, by in ft.STRUCTURE.items():
         sign = "" if tx.fnv_python(n, first_xor=False) % 2 == 0 else "-"
         slots.setdefault(tx.fnv_python(n) % 256, []).append(f"{sign}({n}) / {by}")
     pairs = [f"({i}, {' + '.join(v)})" for i, v in sorted(slots.items())]
     lists = ", ".join(f"struct_pack(i := {p[1:].split(',', 1)[0]}, x := ({p.split(',', 1)[1][:-1]})::DOUBLE)" for p in pairs)
-    inner = "SELECT id, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in ft.structure(ft.DUCKDB).items()) + f" FROM {CONTENTS}"
-    return f"SELECT id, s.i::BIGINT AS idx, round(s.x / nullif(l2, 0), 6) AS value FROM (SELECT id, unnest(v) AS s, sqrt(list_sum(list_transform(v, lambda a: a.x * a.x))) AS l2 FROM (SELECT id, [{lists}] AS v FROM ({inner}))) WHERE round(s.x / nullif(l2, 0), 6) <> 0"
+    inner = "SELECT id, " + ", ".join(f"({e})::DOUBLE AS {n}" for n, e in ft.structure(ft.DUCKDB).items()) + f" FROM {relation}"
+    return f"SELECT id, s.i::BIGINT AS idx, s.x / nullif(l2, 0) AS x FROM (SELECT id, unnest(v) AS s, sqrt(list_sum(list_transform(v, lambda a: a.x * a.x))) AS l2 FROM (SELECT id, [{lists}] AS v FROM ({inner})))"
+
+
+def _structure_sql() -> str:
+    return f"SELECT id, idx, round(x, 6) AS value FROM ({_structure_rows(CONTENTS)}) WHERE round(x, 6) <> 0"
 
 
 def _sparse(df: DataFrame, key: str, vector: str = "vector") -> DataFrame:
@@ -322,16 +302,13 @@ def _(spark, d):
     return search.top_k(search.bm25(search.index(x), ["est", "which", "der"], s["n"], s["mean"]), 20).withColumn("score", F.round("score", 6))
 
 
-@query("highlight", "SELECT doc_id, substr(regexp_replace(substr(text, 1, 200), '(?i)\\b(the|and)\\b', '<b>\\1</b>', 'g'), 1, 300) AS snippet FROM documents WHERE lang = 'en' AND length(text) = strlen(text)")
-def _(spark, d):
-    x = read(spark, d, "documents").where("lang = 'en' and length(text) = octet_length(text)")
-    return x.select("doc_id", F.substring(search.highlight(F.substring("text", 1, 200), ["the", "and"]), 1, 300).alias("snippet"))
+_MARK = "regexp_replace({0}, '(?i)(^|[^\\p{{L}}\\p{{N}}])(the|and)($|[^\\p{{L}}\\p{{N}}])', '\\1ꙮ\\2ꙮ\\3', 'g')"
 
 
-@query("highlight_all")
+# Words are marked by a letter, twice over, as neighbours share the character between them.
+@query("highlight", f"SELECT doc_id, sha256(regexp_replace({_MARK.format(_MARK.format('text'))}, '(?i)ꙮ(the|and)ꙮ', '<b>\\1</b>', 'g')) AS marked FROM documents")
 def _(spark, d):
-    """All documents, whole; highlight and its SQL take the first 200 characters of English ASCII texts."""
-    return read(spark, d, "documents").select("doc_id", search.highlight(F.col("text"), ["the", "and"]).alias("marked"))
+    return read(spark, d, "documents").select("doc_id", F.sha2(search.highlight(F.col("text"), ["the", "and"]), 256).alias("marked"))
 
 
 # --------------------------------------------------------------------------- vectors
@@ -373,41 +350,27 @@ def _(spark, d):
     return search.top_k_by_group(s, "label", 3, "score", "vec_id").select("label", F.col("rank").cast("bigint").alias("rank"), "vec_id", F.round("score", 6).alias("score"))
 
 
-def _layers(spark, d, every: bool = False) -> DataFrame:
+def _layers(spark, d) -> DataFrame:
     e = read(spark, d, "embeddings")
-    e = e if every else e.where("vec_id >= 1")
     one = e.select(F.col("vec_id").alias("chunk_id"), F.lit("structure").alias("layer"), F.transform("embedding", lambda x: x.cast("double")).alias("vector"))
     two = e.where("vec_id % 3 <> 0").select(F.col("vec_id").alias("chunk_id"), F.lit("lexical").alias("layer"), F.transform(F.reverse("embedding"), lambda x: x.cast("double")).alias("vector"))
     return one.unionByName(two)
 
 
-@query("layers_pivot", "SELECT vec_id AS chunk_id, 2 - (vec_id % 3 = 0)::BIGINT AS layers FROM embeddings WHERE vec_id >= 1")
+@query("layers_pivot", "SELECT vec_id AS chunk_id, 2 - (vec_id % 3 = 0)::BIGINT AS layers FROM embeddings")
 def _(spark, d):
     w = vectorize.layers_wide(_layers(spark, d), ("structure", "lexical", "contextual"))
     return w.select("chunk_id", (F.col("structure").isNotNull().cast("bigint") + F.col("lexical").isNotNull().cast("bigint") + F.col("contextual").isNotNull().cast("bigint")).alias("layers"))
 
 
-@query("layers_pivot_all")
-def _(spark, d):
-    w = vectorize.layers_wide(_layers(spark, d, every=True), ("structure", "lexical", "contextual"))
-    return w.select("chunk_id", (F.col("structure").isNotNull().cast("bigint") + F.col("lexical").isNotNull().cast("bigint") + F.col("contextual").isNotNull().cast("bigint")).alias("layers"))
-
-
 @query("blend_vectors", f"""SELECT chunk_id, i::BIGINT AS idx, round(b[i + 1] / nullif(sqrt(list_sum(list_transform(b, lambda x: x * x))), 0), 6) AS value FROM (
-SELECT vec_id AS chunk_id, unnest(range(0, len(b))) AS i, b FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN v ELSE list_transform(range(1, len(v) + 1), lambda i: (v[i] * 0.6 + v[len(v) + 1 - i] * 0.4)) END AS b FROM {_E} WHERE vec_id >= 1)) WHERE round(b[i + 1] / nullif(sqrt(list_sum(list_transform(b, lambda x: x * x))), 0), 6) <> 0""")
+SELECT vec_id AS chunk_id, unnest(range(0, len(b))) AS i, b FROM (SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN v ELSE list_transform(range(1, len(v) + 1), lambda i: (v[i] * 0.6 + v[len(v) + 1 - i] * 0.4)) END AS b FROM {_E})) WHERE round(b[i + 1] / nullif(sqrt(list_sum(list_transform(b, lambda x: x * x))), 0), 6) <> 0""")
 def _(spark, d):
     x = _layers(spark, d)
     dims = x.select(F.size("vector").alias("n")).first()["n"]
     return _sparse(vectorize.blend(x, {"structure": 0.6, "lexical": 0.4}, dims), "chunk_id")
 
 
-@query("blend_vectors_all")
-def _(spark, d):
-    x = _layers(spark, d, every=True)
-    dims = x.select(F.size("vector").alias("n")).first()["n"]
-    return _sparse(vectorize.blend(x, {"structure": 0.6, "lexical": 0.4}, dims), "chunk_id")
-
-
 # --------------------------------------------------------------------------- chunks and blocks
 
 _PARAGRAPHS = "list_filter(list_transform(regexp_split_to_array(text, '\\n(?:[^\\S\\n]*\\n)+'), lambda b: array_to_string(list_filter(list_transform(string_split(b, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> ''), ' ')), lambda b: b <> '')"
@@ -457,24 +420,18 @@ def _(spark, d):
     return fs.extract(x, "code", {"language": "html"}).select("file_id", "position", "id", "kind", "line_start", "line_end")
 
 
-@query("extract_markdown")
+@query("extract_markdown", "SELECT doc_id::VARCHAR AS file_id, 0::BIGINT AS position, substr(sha256('# ' || source || chr(10) || text), 1, 32) AS id, 'section' AS kind, 1::BIGINT AS level FROM documents")
 def _(spark, d):
-    return fs.extract(contents(spark, d), "code", {"language": "markdown"}).select("file_id", "position", "id", "kind", "level")
+    x = read(spark, d, "documents").select(F.col("doc_id").alias("id"), F.concat(F.lit("# "), "source", F.lit("\n"), "text").alias("content"))
+    return fs.extract(x, "code", {"language": "markdown"}).select("file_id", "position", "id", "kind", "level")
 
 
-_PDF = "(SELECT doc_id AS file_id, generate_subscripts(p, 1) AS i, trim(unnest(p), ' ' || chr(9) || chr(13)) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents WHERE length(text) = strlen(text)))"
+_PDF = "(SELECT doc_id AS file_id, generate_subscripts(p, 1) AS i, trim(unnest(p), ' ' || chr(9) || chr(13)) AS u FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
 
 
 @query("extract_pdf_text", f"""SELECT file_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY file_id ORDER BY b) - 1)::BIGINT AS position, sha256(string_agg(u, ' ' ORDER BY i)) AS hash, (max(page) + 1)::BIGINT AS page FROM (
 SELECT *, sum(CASE WHEN u = '' OR m THEN 1 ELSE 0 END) OVER w AS b, sum(CASE WHEN m THEN 1 ELSE 0 END) OVER w AS page FROM (SELECT *, regexp_matches(u, '^(?i)page\\s+\\d+') AS m FROM {_PDF}) WINDOW w AS (PARTITION BY file_id ORDER BY i)) WHERE u <> '' AND NOT m GROUP BY file_id, b""")
 def _(spark, d):
-    x = read(spark, d, "documents").where("length(text) = octet_length(text)").select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
-    return fs.extract(x, "pdf").select("file_id", "position", F.sha2("content", 256).alias("hash"), F.col("page").cast("bigint").alias("page"))
-
-
-@query("extract_pdf_text_all")
-def _(spark, d):
-    """All documents; extract_pdf_text and its SQL take ASCII texts."""
     return fs.extract(contents(spark, d), "pdf").select("file_id", "position", F.sha2("content", 256).alias("hash"), F.col("page").cast("bigint").alias("page"))
 
 
@@ -596,20 +553,13 @@ def _(spark, d):
 
 
 @query("relations_references", """SELECT DISTINCT a.p_partkey AS from_chunk_id, b.p_partkey AS to_chunk_id, 'references' AS relation_type, 1.0::DOUBLE AS weight
-FROM (SELECT p_partkey, unnest(list_distinct(regexp_extract_all(p_name, '[\\p{L}_][\\p{L}\\p{N}_]*'))) AS w FROM part) a JOIN part b ON a.w = regexp_extract(b.p_name, '^\\w+') WHERE a.p_partkey <> b.p_partkey AND b.p_partkey % 20 = 0""")
+FROM (SELECT p_partkey, unnest(list_distinct(regexp_extract_all(p_name, '[\\p{L}_][\\p{L}\\p{N}_]*'))) AS w FROM part) a JOIN part b ON a.w = regexp_extract(b.p_name, '^\\w+') WHERE a.p_partkey <> b.p_partkey""")
 def _(spark, d):
     p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"))
-    names = p.where("id % 20 = 0").select("id", F.regexp_extract("content", r"^\w+", 0).alias("name"))
+    names = p.select("id", F.regexp_extract("content", r"^\w+", 0).alias("name"))
     return relations.references(p, names)
 
 
-@query("relations_references_all")
-def _(spark, d):
-    """The names of all parts; relations_references and its SQL take those of every twentieth."""
-    p = read(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("content"))
-    return relations.references(p, p.select("id", F.regexp_extract("content", r"^\w+", 0).alias("name")))
-
-
 @query("relations_similar_to")
 def _(spark, d):
     return relations.similar_to(read(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.col("embedding").alias("vector")))
@@ -709,17 +659,55 @@ def _(spark, d):
     return env["_output"].select("file_id", "id", "content_hash", "token_count")
 
 
-@query("search_e2e")
-def _(spark, d):
-    x = read(spark, d, "documents")
-    chunks = x.select(F.col("doc_id").alias("id"), F.col("source").alias("file_id"), F.col("text").alias("content"), F.expr("cast(length(text) div 4 as bigint)").alias("approx_tokens")).where("approx_tokens between 50 and 512")
-    n = chunks.count()
-    postings = vectorize.terms(chunks)
-    known = vectorize.idf(postings, n)
-    dims = 64
-    layers = vectorize.as_layer(vectorize.structure(chunks, dims=dims), "structure", dims, "v1").unionByName(vectorize.as_layer(vectorize.tfidf(chunks, dims=dims, n_docs=n), "lexical", dims, "v1"))
-    q = "the and"
-    mean = chunks.select(F.avg(F.size(tx.tokens(F.col("content")))).alias("m")).first()["m"] or 1.0
-    files = x.select(F.col("source").alias("id"), F.concat(F.lit("files/"), "source").alias("source_path")).distinct()
-    vecs = search.query_vectors(chunks, q, dims, known, n)
-    return search.search(chunks, layers, files, q, vecs, "default", 10, postings, None, (n, mean)).withColumn("score", F.round("score", 6))
+#: The words of the search, none with another stem or among the stop words.
+_ASKED = ("ther", "thon")
+_PARTS = f"""(SELECT doc_id || '-' || i AS id, doc_id AS file_id, array_to_string(w[i * 150 + 1 : i * 150 + 200], ' ') AS content
+FROM (SELECT doc_id, w, unnest(range(0, last + 1)) AS i FROM (SELECT doc_id, w, greatest(ceil((len(w) - 200) / 150), 0)::BIGINT AS last FROM (SELECT doc_id, {_WORDS} AS w FROM documents) WHERE len(w) > 0)))"""
+
+
+def _search_sql() -> str:
+    """Every step in SQL: postings, bm25 over chunks with all words, the two layers of chunks and query, their weighted sum."""
+    asked = "(" + ", ".join(f"('{w}')" for w in _ASKED) + ")"
+    return f"""
+WITH ch AS MATERIALIZED {_PARTS},
+st AS ({_structure_rows("(SELECT id, content FROM ch UNION ALL SELECT 'q', '" + " ".join(_ASKED) + "')")}),
+tk AS (SELECT id, unnest(t) AS term, len(t) AS total FROM (SELECT id, {_TOKENS.replace('text', 'content')} AS t FROM ch)),
+ct AS MATERIALIZED (SELECT id, term, total, count(*) AS tf FROM tk GROUP BY ALL),
+n AS (SELECT count(*)::DOUBLE AS n, avg(len({_TOKENS.replace('text', 'content')})) AS mean FROM ch),
+df AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) / count(*)) AS idf FROM ct, n GROUP BY term HAVING count(*) >= 2 AND count(*) <= floor(any_value(n) * 0.8)),
+vo AS MATERIALIZED (SELECT term, df, idf, {_FNV1A.replace('(t)', '(term)')} % 256 AS idx, CASE WHEN {_FNV1.replace('(t)', '(term)')} % 2 = 0 THEN 1 ELSE -1 END AS sign FROM df),
+hit AS (SELECT id, term, tf, total, count(*) OVER (PARTITION BY term) AS df FROM ct WHERE term IN ({", ".join(f"'{w}'" for w in _ASKED)})),
+bm AS (SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * total / mean))) AS score FROM hit, n GROUP BY id HAVING count(*) = {len(_ASKED)}),
+cand AS MATERIALIZED (SELECT id FROM bm ORDER BY round(score, 6) DESC, id LIMIT 1000),
+lx AS (SELECT id, idx, sum(tf / total * idf * sign) AS x FROM ct JOIN cand USING (id) JOIN vo USING (term) GROUP BY id, idx),
+lq AS (SELECT idx, sum(idf * sign / {len(_ASKED)}) AS x FROM vo WHERE term IN ({", ".join(f"'{w}'" for w in _ASKED)}) GROUP BY idx),
+ln AS (SELECT id, sqrt(sum(x * x)) AS l FROM lx GROUP BY id),
+cl AS (SELECT id, sum(lx.x * lq.x) / any_value(l) / (SELECT sqrt(sum(x * x)) FROM lq) AS lexical FROM lx JOIN lq USING (idx) JOIN ln USING (id) GROUP BY id),
+cs AS (SELECT a.id, sum(a.x * b.x) AS structure FROM st a JOIN st b ON a.idx = b.idx WHERE b.id = 'q' AND a.id IN (SELECT id FROM cand) GROUP BY a.id),
+al AS (SELECT id AS chunk_id, coalesce(structure, 0) AS structure, coalesce(lexical, 0) AS lexical, coalesce(structure, 0) * 0.45 + coalesce(lexical, 0) * 0.30 AS score FROM cand LEFT JOIN cs USING (id) LEFT JOIN cl USING (id))
+SELECT chunk_id, round(score, 5) AS score, round(structure, 5) AS structure, round(lexical, 5) AS lexical, substr(content, 1, 200) AS snippet, file_id, 'files/' || file_id AS source_path
+FROM al JOIN ch ON ch.id = chunk_id WHERE score >= 0.1 ORDER BY round(score, 6) DESC, chunk_id LIMIT 10"""
+
+
+@query("search_e2e", _search_sql())
+def _(spark, d):
+    """The built-in search workflow over all documents, cut into overlapping windows."""
+    x = contents(spark, d)
+    cut = chunking.by_fixed_window(x, size=200, overlap=50)
+    chunks = cut.select(F.concat_ws("-", "file_id", "position").alias("id"), "file_id", "content")
+    sizes = chunks.select(F.size(tx.tokens(F.col("content"))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
+    at = scratch(spark, "postings")
+    vectorize.terms(chunks).write.parquet(at)
+    postings = spark.read.schema("id string, term string, total bigint, tf bigint").parquet(at)
+    lexical = vectorize.tfidf(chunks, n_docs=sizes["n"], counted=postings)
+    layers = vectorize.structure(chunks).withColumn("layer", F.lit("structure")).unionByName(lexical.withColumn("layer", F.lit("lexical")))
+    files = x.select(F.col("id"), F.concat(F.lit("files/"), "id").alias("source_path"))
+    q = " ".join(_ASKED)
+    vecs = search.query_vectors(chunks, q, 256, vectorize.idf(postings, sizes["n"]), sizes["n"])
+    out = search.search(chunks, layers, files, q, vecs, "default", 10, postings, None, (sizes["n"], sizes["mean"] or 1.0))
+    each = F.from_json("layer_scores", "structure double, lexical double")
+    return out.select("chunk_id", F.round("score", 5).alias("score"), *[F.round(each[n], 5).alias(n) for n in ("structure", "lexical")], "snippet", "file_id", "source_path")
+
+
+# What the engine writes and keeps adds its own queries.
+from corpusmill import queries_engine  # noqa: E402, F401

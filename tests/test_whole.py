@@ -20,7 +20,7 @@ def test_references_to_all_names(spark):
     words = {k: set(re.findall(r"[^\W\d]\w*", t)) for k, t in parts.items()}
     names = {k: re.match(r"\w*", t)[0] for k, t in parts.items()}
     want = {(a, b) for a in parts for b in parts if a != b and names[b] in words[a]}
-    got = rows(queries.QUERIES["relations_references_all"](spark, SF), "from_chunk_id", "to_chunk_id")
+    got = rows(queries.QUERIES["relations_references"](spark, SF), "from_chunk_id", "to_chunk_id")
     assert len(got) == len(want) and set(got) == want and any(b % 20 for _, b in want)
 
 
@@ -28,10 +28,10 @@ def test_whole_inputs(spark):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     vectors = {r["vec_id"]: list(r["embedding"]) for r in spark.read.parquet(f"{SF}/embeddings.parquet").collect()}
     run = lambda name: queries.QUERIES[name](spark, SF)
-    marked = {r["doc_id"]: r["marked"] for r in run("highlight_all").collect()}
-    assert marked == {k: t if t is None else re.sub(r"(?i)(?<![^\W_])(the|and)(?![^\W_])", r"<b>\1</b>", t) for k, t in texts.items()}
-    assert {r["chunk_id"]: r["layers"] for r in run("layers_pivot_all").collect()} == {k: 1 if k % 3 == 0 else 2 for k in vectors}
-    blended = {(r["chunk_id"], r["idx"]): r["value"] for r in run("blend_vectors_all").collect()}
+    marked = {r["doc_id"]: r["marked"] for r in run("highlight").collect()}
+    assert marked == {k: t if t is None else hashlib.sha256(re.sub(r"(?i)(?<![^\W_])(the|and)(?![^\W_])", r"<b>\1</b>", t).encode()).hexdigest() for k, t in texts.items()}
+    assert {r["chunk_id"]: r["layers"] for r in run("layers_pivot").collect()} == {k: 1 if k % 3 == 0 else 2 for k in vectors}
+    blended = {(r["chunk_id"], r["idx"]): r["value"] for r in run("blend_vectors").collect()}
     for k, v in vectors.items():
         b = v if k % 3 == 0 else [x * 0.6 + y * 0.4 for x, y in zip(v, reversed(v))]
         norm = sum(x * x for x in b) ** 0.5
@@ -49,7 +49,7 @@ def test_whole_inputs(spark):
                 want.add((str(k), position, hashlib.sha256(" ".join(held).encode()).hexdigest(), page))
                 position, held = position + 1, []
             page += bool(mark)
-    got = [(str(r["file_id"]), r["position"], r["hash"], r["page"]) for r in run("extract_pdf_text_all").collect()]
+    got = [(str(r["file_id"]), r["position"], r["hash"], r["page"]) for r in run("extract_pdf_text").collect()]
     assert set(got) == want and len(got) == len(want)
 
 
@@ -77,3 +77,36 @@ def test_similar_to_is_registered(spark):
     got = set(rows(queries.QUERIES["relations_similar_to"](spark, SF), "from_chunk_id", "to_chunk_id"))
     print("recall", len(got & want), len(want))
     assert got <= want and len(got) >= 0.97 * len(want)
+
+
+def test_similar_copies_stand_under_one_id(spark):
+    v = [[1.0, 0.0, 0.1], [0.0, 1.0, 0.0], [0.99, 0.0, 0.11], [0.0, 0.0, 0.0]]
+    data = [(i * 10 + j, v[i]) for i in range(4) for j in range(3)]
+    got = rows(relations.similar_to(spark.createDataFrame(data, "chunk_id bigint, vector array<double>"), 0.9), "from_chunk_id", "to_chunk_id")
+    assert got == [(0, 1), (0, 2), (0, 20), (10, 11), (10, 12), (20, 21), (20, 22)]
+
+
+def test_xxhash(spark):
+    xxhash = pytest.importorskip("xxhash")
+    got = {r["doc_id"]: r["hash"] for r in queries.QUERIES["hash_xxhash"](spark, SF).collect()}
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert got == {k: xxhash.xxh64_hexdigest(f"{k}\x1f{t or ''}".encode(), seed=42) for k, t in texts.items()}
+
+
+def test_html_blocks(spark):
+    want = set()
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        lines, at, blocks = (r["html"] or "").split("\n"), 0, []
+        while at < len(lines):
+            kinds = [k for k in ("script", "style", "template") if re.search(f"(?i)<{k}[^>]*>", lines[at])]
+            if kinds:
+                end = next((j for j in range(at + 1, len(lines)) if f"</{kinds[0]}>" in lines[j].lower()), None)
+                if end is None:
+                    break
+                blocks.append((kinds[0], at + 1, end + 1))
+                at = end
+            at += 1
+        for i, (k, a, b) in enumerate(blocks or [("document", 1, len(lines))]):
+            want.add((str(r["page_id"]), i, hashlib.sha256("\n".join(lines[a - 1 : b]).encode()).hexdigest()[:32], k, a, b))
+    got = queries.QUERIES["extract_html"](spark, SF).select("file_id", "position", "id", "kind", "line_start", "line_end").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
