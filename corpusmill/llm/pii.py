@@ -2,8 +2,8 @@
 
 Personal data of known form (the seeds) is found by pattern. The words around the seeds are lexical patterns; patterns and
 the instances found in them form a graph. In rounds, a pattern's confidence is the smoothed share of its instances that are
-believed, and an instance is believed as far as any of its patterns is; identifier-like tokens that reach the threshold are
-new personal data. These then start and support patterns as seeds do, and the rounds are run again until none is added.
+known, and an instance is believed if any of its patterns is right with enough probability; identifier-like tokens that are
+believed are new personal data. These then start and support patterns as seeds do, and the rounds go on until none is added.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ KINDS = ["email", "ip", "card", "phone", "context"]
 #: Identifier-like tokens: at least four digits, six characters.
 TOKEN = r"(?<![A-Za-z0-9._@-])[A-Za-z0-9._@-]*[0-9][A-Za-z0-9._@-]*"
 TOKEN_GUARD = r"[0-9](?:[A-Za-z._@-]*[0-9]){3}"
-#: Words are sought within so many characters of a span.
+#: Contexts are whole words that lie within so many characters of a span.
 REACH = 64
-ROUNDS, SMOOTHING, MIN_SEEDS, BELIEVE = 3, 2.0, 3, 0.6
+SMOOTHING, MIN_SEEDS, BELIEVE = 2.0, 3, 0.6
 
 
 def _luhn(v: Column) -> Column:
@@ -61,16 +61,19 @@ def base_spans(text: Column) -> Column:
 
 
 def _patterns(text: Column, s: Column) -> Column:
-    """Contexts of a span: the two words before it, and the word before with the word after; digits read as 0, in lower case."""
+    """Contexts of a span: the two words before it, and the word before with the word after; digits read as 0, in lower case.
+
+    A word that REACH cuts is no context."""
     start = F.greatest(s["start"] - REACH, F.lit(0)).cast("int")
     left = F.substring(text, start + 1, (s["start"] - start).cast("int"))
+    left = F.when(start > 0, F.regexp_replace(left, r"^\S+(?=\s|$)", "")).otherwise(left)
     right = F.substring(text, (s["end"] + 1).cast("int"), F.lit(REACH))
 
     def plain(c: Column) -> Column:
         return F.lower(F.regexp_replace(c, "[0-9]", "0"))
 
     one, two = F.regexp_extract(left, r"(\S+)\s*$", 1), F.regexp_extract(left, r"(\S+\s+\S+)\s*$", 1)
-    after = F.regexp_extract(right, r"^\W*\s*(\w+)", 1)
+    after = F.regexp_extract(right, r"^\W*(\w+)", 1)
     both = F.when((one != "") & (after != ""), F.array(F.concat(F.lit("m\n"), plain(one), F.lit("\n"), plain(after)))).otherwise(F.array().cast("array<string>"))
     before = F.when(two != "", F.array(F.concat(F.lit("l\n"), plain(F.regexp_replace(two, r"\s+", " "))))).otherwise(F.array().cast("array<string>"))
     return F.concat(both, before)
@@ -90,42 +93,34 @@ def mentions(text: Column, base: Column) -> Column:
     return F.concat(F.transform(base, lambda s: one(s, True)), F.transform(tokens, lambda s: one(s, False))).cast(MENTION)
 
 
-def _reached(edges: DataFrame) -> DataFrame:
-    """From edges (pattern, instance, known): the instances that ROUNDS of scoring newly bring to the threshold."""
-    started = edges.groupBy("pattern").agg(F.sum(F.col("known").cast("int")).alias("k"), F.count(F.lit(1)).alias("n")).where((F.col("k") >= MIN_SEEDS) & (F.col("n") > F.col("k")))
-    live = cut(edges.join(started.select("pattern"), "pattern"), "pii-live")
-    score = cut(live.groupBy("instance").agg(F.max(F.col("known").cast("double")).alias("score"), F.max("known").alias("known")), "pii-score")
-    for _ in range(ROUNDS):
-        rated = live.select("pattern", "instance").join(score, "instance").groupBy("pattern").agg((F.sum("score") / (F.count(F.lit(1)) + SMOOTHING)).alias("confidence"))
-        doubt = live.select("pattern", "instance", "known").join(rated, "pattern").groupBy("instance").agg(F.max("known").alias("known"), F.sum(F.log1p(-F.least("confidence", F.lit(0.999)))).alias("log_doubt"))
-        new = cut(doubt.select("instance", F.when(F.col("known"), 1.0).otherwise(1 - F.exp("log_doubt")).alias("score"), "known"), "pii-score")
-        discard(score)
-        score = new
-    reached = cut(score.where(~F.col("known") & (F.col("score") >= BELIEVE)).select("instance"), "pii-reached")
-    discard(live)
-    discard(score)
-    return reached
-
-
 def believed(seen: DataFrame) -> DataFrame:
-    """From mentions (instance, seed, pattern): the instances that reach the threshold and are no seeds.
+    """From mentions (instance, seed, pattern): the instances that are believed and are no seeds.
 
-    Those believed count as seeds do from then on, for starting patterns too, until no more are reached."""
+    In each round, a pattern of which MIN_SEEDS instances are known has a confidence, the smoothed share of known ones among
+    its instances; an instance is believed if at least one of its patterns is right with probability BELIEVE. Those believed
+    are known from then on, and the rounds go on until none is added. What is known only grows, so this ends."""
     edges = cut(seen.groupBy("pattern", "instance").agg(F.max("seed").alias("known")), "pii-edges")
-    reached = [_reached(edges)]
-    while n := reached[-1].count():
+    reached: list[DataFrame] = []
+    while True:
+        known = F.sum(F.col("known").cast("int"))
+        rated = edges.groupBy("pattern").agg(known.alias("k"), F.count(F.lit(1)).alias("n")).where((F.col("k") >= MIN_SEEDS) & (F.col("n") > F.col("k")))
+        rated = cut(rated.select("pattern", F.log1p(-F.col("k") / (F.col("n") + SMOOTHING)).alias("doubt")), "pii-rated")
+        doubted = edges.where(~F.col("known")).join(small(rated, rated.count()), "pattern").groupBy("instance").agg(F.sum("doubt").alias("doubt"))
+        reached.append(cut(doubted.where(1 - F.exp("doubt") >= BELIEVE).select("instance"), "pii-reached"))
+        discard(rated)
+        n = reached[-1].count()
+        if not n:
+            return reduce(DataFrame.union, reached)
         more = small(reached[-1].withColumn("_new", F.lit(True)), n)
         grown = cut(edges.join(more, "instance", "left").select("pattern", "instance", (F.col("known") | F.coalesce("_new", F.lit(False))).alias("known")), "pii-edges")
         discard(edges)
         edges = grown
-        reached.append(_reached(edges))
-    return reduce(DataFrame.union, reached)
 
 
 def find(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """carry columns and spans, array<struct<start, kidx, end>> over KINDS in order; base spans always stay.
 
-    Null or empty text: no spans. Very long texts: whole; a span's context is what lies within REACH characters. Equal rows
+    Null or empty text: no spans. Very long texts: whole; a span's context is the words within REACH characters. Equal rows
     get equal spans. Empty table: empty result. Input columns other than carry and text are ignored.
     """
     t = F.coalesce(F.col(text), F.lit(""))
