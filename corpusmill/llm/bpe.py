@@ -35,7 +35,7 @@ NEWER_L = (
 NEWER_N = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
 #: Remembered pieces (of which the later half outlives a renewal) and verdicts on pairs, and the longest piece that is
 #: remembered. A task forgets them at its end, as the process that ran it may be kept for other work.
-REMEMBER, REMEMBER_PAIRS, LONGEST = 200_000, 200_000, 64
+REMEMBER, REMEMBER_PAIRS, LONGEST = 400_000, 200_000, 64
 
 
 def _chars(ranges: str) -> str:
@@ -76,6 +76,7 @@ class Codec:
         self.bytes_of = {i: bytes(byte_of[c] for c in t) for t, i in vocab.items() if all(c in byte_of for c in t)}
         self.added = {a["content"]: a["id"] for a in data.get("added_tokens", [])}
         self.bytes_of |= {i: t.encode() for t, i in self.added.items()}
+        self.size = {i: len(b) for i, b in self.bytes_of.items()}
         #: Order of merging; single letters merge from nothing. A pair's order and what it makes.
         self.pairs: dict[tuple[int, int], tuple[int, int]] = {}
         for order, m in enumerate(model["merges"]):
@@ -141,14 +142,14 @@ class Codec:
 
     def piece(self, text: str) -> list[int]:
         """Ids of one piece."""
-        letters = text.encode().decode("latin-1").translate(self.table) if text else ""
-        ends, at, out = self._last_tokens(letters), len(letters), []
+        letters = text.translate(self.table) if text.isascii() else text.encode().decode("latin-1").translate(self.table)
+        ends, at, size, out = self._last_tokens(letters), len(letters), self.size, []
         while at:
             token = ends[at]
             if token < 0:
                 raise ValueError("the vocabulary lacks a byte of the text")
             out.append(token)
-            at -= len(self.bytes_of[token])
+            at -= size[token]
         out.reverse()
         return out
 
@@ -167,20 +168,20 @@ class Codec:
             return self.split_any(text)
         return self.split_latin(text)
 
-    def written(self, text: str) -> tuple[list[str], list[bytes]]:
-        """Ids as decimal strings joined by commas, and the bytes they stand for, piece by piece."""
+    def written(self, text: str) -> tuple[list[str], str]:
+        """Ids as decimal strings joined by commas, piece by piece, and the text that they decode to."""
         ids: list[str] = []
-        raw: list[bytes] = []
+        out: list[str] = []
         get = self.known.__getitem__
         for part, token in self._parts(text):
             if token is not None:
                 ids.append(str(token))
-                raw.append(self.bytes_of[token])
+                out.append(self.bytes_of[token].decode())
             elif part:
-                a, b = zip(*map(get, self._pieces(part)), strict=True)
-                ids += a
-                raw += b
-        return ids, raw
+                pieces = self._pieces(part)
+                ids += map(get, pieces)
+                out += pieces  # what their ids decode to, see _Known
+        return ids, "".join(out)
 
     def encode(self, text: str) -> list[int]:
         ids, _ = self.written(text)
@@ -192,18 +193,20 @@ class Codec:
 
 
 class _Known(dict):
-    """Pieces to (ids, bytes decoded from the ids). When half of what may be remembered is new, only that half and what is
-    asked for again stay."""
+    """Pieces to their ids, which were decoded once and gave the piece. When half of what may be remembered is new, only that
+    half and what is asked for again stay."""
 
     def __init__(self, codec: Codec):
         super().__init__()
         self.codec, self.old = codec, {}
 
-    def __missing__(self, piece: str) -> tuple[str, bytes]:
+    def __missing__(self, piece: str) -> str:
         out = self.old.get(piece)
         if out is None:
             ids = self.codec.piece(piece)
-            out = (",".join(map(str, ids)), b"".join(map(self.codec.bytes_of.__getitem__, ids)))
+            if self.codec.decode(ids) != piece:
+                raise ValueError(f"the ids of {piece!r} decode to something else")
+            out = ",".join(map(str, ids))
         if len(piece) <= LONGEST:
             if len(self) >= REMEMBER // 2:
                 self.old = dict(self)
@@ -256,10 +259,9 @@ def encode(df: DataFrame, key: str = "doc_id", text: str = "text", path: str | N
         for batch in batches:
             n, ids_hash, text_hash, all_ids, all_texts = [], [], [], [], []
             for t in batch.column(1):
-                ids, raw = own.written(t.as_py() or "")
+                ids, back = own.written(t.as_py() or "")
                 line = ",".join(ids)
                 n.append(line.count(",") + 1 if line else 0)
-                back = b"".join(raw).decode("utf-8", errors="replace")
                 ids_hash.append(hashlib.sha256(line.encode()).hexdigest())
                 text_hash.append(hashlib.sha256(back.encode()).hexdigest())
                 if with_ids:
