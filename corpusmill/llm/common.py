@@ -133,6 +133,12 @@ def of_kind(spans: Column, kidx: int) -> Column:
     return F.size(F.filter(spans, lambda s: s["kidx"] == kidx)).cast("long")
 
 
-def small(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
-    """Ask for a broadcast if the counted rows stay under a limit; else leave the join to the planner."""
-    return F.broadcast(df) if rows <= limit else df
+#: What is broadcast: so many rows at most, and so many bytes by the planner's estimate of what is read for them.
+MOST_ROWS, MOST_BYTES = 200_000, 128 * 2**20
+
+
+def small(df: DataFrame, rows: int, limit: int = MOST_ROWS) -> DataFrame:
+    """Ask for a broadcast if the counted rows and the estimated bytes stay under limits; else leave the join to the planner."""
+    if rows > limit or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > MOST_BYTES:
+        return df
+    return F.broadcast(df)

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import cut, discard, joined, match_spans, of_kind, small, table
+from corpusmill.llm.common import aside, cut, discard, joined, match_spans, of_kind, small, table
 
 #: The known forms. Groups are possessive where nothing follows them, and runs are only entered at their start
 #: (or where the match before ended); this finds the same, needs no stack, and stays linear in long runs.
@@ -123,8 +123,9 @@ def find(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)
     Null or empty text: no spans. Very long texts: whole; a span's context is the words within REACH characters. Equal rows
     get equal spans. Empty table: empty result. Input columns other than carry and text are ignored.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    read = df.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)], t.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
+    own, name = aside(df)
+    t = F.coalesce(F.col(name[text]), F.lit(""))
+    read = own.select(*[F.col(name[c]).alias(f"_c{i}") for i, c in enumerate(carry)], t.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     read = read.withColumn("_mentions", mentions(F.col("_text"), F.col("_base")))
     plain = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kidx"].alias("kidx"), s["end"].alias("end")))
     read = cut(read.select(*[f"_c{i}" for i in range(len(carry))], plain.alias("_base"), "_mentions", F.monotonically_increasing_id().alias("_row")), "pii")

@@ -17,7 +17,7 @@ from statistics import NormalDist, fmean, stdev
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import bind, cut, joined, match_spans, of_kind, table
+from corpusmill.llm.common import aside, bind, cut, joined, match_spans, of_kind, table
 
 #: The known forms.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -144,14 +144,16 @@ def scan(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)
     Null or empty text: no spans. Very long texts: whole. Equal rows get equal spans. Empty table: empty result. Counts
     of the whole table by bin are gathered, at most 80 rows.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
-    read = df.select(*carry, t.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
+    own, name = aside(df)
+    held = [f"_c{i}" for i in range(len(carry))]
+    t = F.coalesce(F.col(name[text]), F.lit(""))
+    read = own.select(*[F.col(name[c]).alias(h) for c, h in zip(carry, held, strict=True)], t.alias("_text")).withColumn("_base", base_spans(F.col("_text")))
     read = read.withColumn("_found", candidates(F.col("_text"), F.col("_base")))
-    read = cut(read.select(*carry, F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kidx"].alias("kidx"), s["end"].alias("end"))).alias("_base"), "_found"), "secrets")
+    read = cut(read.select(*held, F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kidx"].alias("kidx"), s["end"].alias("end"))).alias("_base"), "_found"), "secrets")
     counts = read.select(F.explode("_found").alias("f")).groupBy("f.bin").agg(F.count(F.lit(1)).alias("n")).collect()
     last = limit([tuple(r) for r in counts])
     more = F.transform(F.filter("_found", lambda f: f["bin"] <= last), lambda f: F.struct(f["start"].alias("start"), F.lit(3).alias("kidx"), f["end"].alias("end")))
-    return read.select(*carry, F.array_sort(F.concat("_base", more)).alias("spans"))
+    return read.select(*[F.col(h).alias(c) for c, h in zip(carry, held, strict=True)], F.array_sort(F.concat("_base", more)).alias("spans"))
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:

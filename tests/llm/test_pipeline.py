@@ -87,3 +87,26 @@ def test_encode(stages):
 def test_registered():
     q = __spark_entry__.queries()
     assert "pipeline" in q and all(any(k.startswith(f"op{i}_") for k in q) for i in range(1, 11))
+
+
+def _words(w: str, n: int = 60) -> str:
+    return " ".join(f"{w}{'abcdefgh'[i % 8]}{'stuvwxyz'[i // 8]}" for i in range(n)) + "."
+
+
+@pytest.mark.parametrize("empty", [True, False])
+def test_stages_with_clashing_columns_and_repeated_ids(spark, empty):
+    clash = "size spans kept quality votes rid hash group target copies source_size n_words _size _text text_crc32 a.b".split()
+    data = [] if empty else [(1, _words("some"), "en", "s", 1), (1, _words("other"), "en", "s", 1), (1, _words("other"), "en", "s", 1), (2, _words("other"), "en", None, 1), (None, _words("more"), "en", "t", None), (3, _words("mail") + " me@x.org", "en", "t", 1), (4, None, None, None, None), (5, " ", "en", "t", 1)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string, n_chars bigint").select("*", *[F.lit(f"own {c}").alias(c) for c in clash])
+    for name, stage in corpus_pipeline.STAGES:
+        before, docs = docs, stage(spark, docs, "").cache()
+        got = rows(docs)
+        if name != "encode":
+            assert docs.schema == before.schema or [f.dataType for f in docs.schema] == [f.dataType for f in before.schema]
+            assert docs.columns == before.columns and all(r[c] == f"own {c}" for r in got for c in clash)
+        if empty:
+            assert got == []
+        elif name == "near_duplicates":
+            assert sorted((r["doc_id"] or 0, r["text"][:4]) for r in got) == [(0, "more"), (1, "othe"), (1, "some"), (3, "mail")]
+        elif name == "mask_pii":
+            assert [r["text"][-7:] for r in got if r["doc_id"] == 3] == ["<EMAIL>"]
