@@ -111,7 +111,7 @@ def _(spark, d):
 
 @query("group_concat", "SELECT r_name, string_agg(n_name, ', ' ORDER BY n_name) AS tags, count(*) AS n FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def _(spark, d):
-    j = read(spark, d, "nation").join(F.broadcast(read(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    j = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     return j.groupBy("r_name").agg(F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("tags"), F.count(F.lit(1)).alias("n"))
 
 
