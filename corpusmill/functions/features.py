@@ -97,12 +97,16 @@ def structure(d: Dialect = SPARK) -> dict[str, str]:
         return f"length(regexp_replace({of}, '{pattern}', ''{flag}))"
 
     def kind(c: str) -> str:
+        if d.doubled:  # counted without making a text
+            return f"cast(regexp_count(content, '{slash}p{{{c}}}') as double) / greatest(length(content), 1)"
         return f"cast(length(content) - {gone(slash + 'p{' + c + '}')} as double) / greatest(length(content), 1)"
 
     trimmed = f"regexp_replace(content, '^{slash}s+', '')"
     fields = f"length(regexp_replace(regexp_replace(content, '{slash}S+', 'x'{'' if d.doubled else ', ' + lit('g')}), '{slash}s+', ''{'' if d.doubled else ', ' + lit('g')}))"
     size = "octet_length" if d.doubled else "strlen"
     letters = f"{size}(regexp_replace(content, '{slash}s+', ''{'' if d.doubled else ', ' + lit('g')}))"
+    if d.doubled:
+        fields, letters = f"regexp_count(content, '{slash}S+')", f"(octet_length(content) - regexp_count(content, '{slash}s'))"
     out = {
         "token_count": f"length(content) {d.div} 4",
         "char_count": "length(content)",
