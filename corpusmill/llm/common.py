@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,9 +64,36 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._cut_path = path
+    if _OPEN:
+        _OPEN[-1].append(back)
     return back
 
 
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """What cut() writes in this block is deleted at its end, but for the frames that are passed through the function it gives.
+
+    Frames that were made from what is deleted must have been written themselves by then."""
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _OPEN.append([])
+    try:
+        yield keep
+    finally:
+        for df in _OPEN.pop():
+            if not any(df is k for k in kept):
+                discard(df)
+            elif _OPEN:
+                _OPEN[-1].append(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete what cut() wrote, once nothing reads it any more."""
     path = getattr(df, "_cut_path", None)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.llm.common import aside, cut, discard, small, small_batches, table, whole_key
+from corpusmill.llm.common import aside, cut, discard, small, small_batches, table, temporary, whole_key
 
 N, SIMILARITY = 5, 0.8
 BANDS, ROWS = 32, 7
@@ -196,38 +196,39 @@ def _similar(df: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
     docs = own.select("*", F.coalesce(whole_key(F.col(name[key]), kind), F.xxhash64(text)).alias("rid"), F.xxhash64(text).alias("hash"), text.alias("_text"))
     rows = cut(docs.select("rid", "_text", "hash").mapInArrow(_sketch, "rid bigint, hash bigint, grams_id binary, text_id binary, n_grams bigint, bands array<bigint>"), "sketch")
 
-    some = rows.where("grams_id is not null")
-    texts = some.groupBy("grams_id", "text_id").agg(F.min("rid").alias("rid"))
-    classes = cut(texts.groupBy("grams_id").agg(F.min("rid").alias("low"), F.count(F.lit(1)).alias("n_texts")), "classes")
-    shared = classes.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", F.lit(True).alias("shared"))
-    shared = small(shared, shared.count())
-    classes = cut(classes.join(shared, "low", "left").select("grams_id", "low", "n_texts", F.when(F.col("shared"), F.xxhash64("grams_id")).otherwise(F.col("low")).alias("nid")), "classes")
-    first = some.join(classes.withColumnRenamed("low", "rid"), ["grams_id", "rid"]).select("nid", "bands")
-
-    keys = cut(first.select("nid", F.explode("bands").alias("band")).distinct(), "band-keys")
-    met = keys.groupBy("band").agg(F.min("nid").alias("leader"), F.max("nid").alias("last")).where("leader < last").select("band", "leader")
-    stars = keys.join(met, "band").select("leader", F.col("nid").alias("node"))
-    label = components(stars)
-    discard(keys)
-    n = label.count()
-
-    members = some.select("grams_id", "rid", "n_grams").join(classes.withColumnRenamed("low", "rid"), ["grams_id", "rid"]).distinct()
-    members = members.join(small(label.withColumnRenamed("node", "nid"), n), "nid")
-    sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("w"))
-    block = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.floor(F.col("m") / 64)))
-    sizes = sizes.select("label", F.greatest(F.lit(1), F.ceil(F.col("m") / block), F.ceil(F.col("w") / BLOCK_GRAMS)).cast("int").alias("nb"))
-    members = cut(members.join(sizes, "label").select("rid", "nid", "grams_id", "n_texts", "label", "nb", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int").alias("blk")), "members")
-    near = docs.select("rid", "_text").join(small(members, n), "rid").select("nid", "grams_id", "n_texts", "label", "nb", "blk", "_text").mapInArrow(_gather, "nid bigint, grams_id binary, n_texts bigint, label bigint, nb int, blk int, is_id binary, grams array<bigint>")
-    near = near.where("is_id = grams_id").withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    near = near.select("label", F.least("blk", "_x").cast("long").alias("i"), F.greatest("blk", "_x").cast("long").alias("j"), "nid", "blk", "n_texts", "grams_id", "grams")
-    near = near.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
-    links = cut(near.mapInArrow(_verify, "leader bigint, node bigint, links bigint"), "links")
-
-    groups = components(links.select("leader", "node"))
-    counts = links.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node").withColumnRenamed("node", "nid")
-    told = cut(classes.join(counts, "nid", "left").select("grams_id", "low", "n_texts", F.coalesce("label", "nid").alias("group"), "links"), "told")
-    ids = told.where("links is not null").groupBy("group").agg(F.min("low").alias("class_id"))
-    told = cut(told.join(ids, "group", "left").select("grams_id", "low", "n_texts", "group", "links", F.coalesce("class_id", "low").alias("class_id")), "told")
+    with temporary() as keep:
+        some = rows.where("grams_id is not null")
+        texts = some.groupBy("grams_id", "text_id").agg(F.min("rid").alias("rid"))
+        classes = cut(texts.groupBy("grams_id").agg(F.min("rid").alias("low"), F.count(F.lit(1)).alias("n_texts")), "classes")
+        shared = classes.groupBy("low").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("low", F.lit(True).alias("shared"))
+        shared = small(shared, shared.count())
+        classes = cut(classes.join(shared, "low", "left").select("grams_id", "low", "n_texts", F.when(F.col("shared"), F.xxhash64("grams_id")).otherwise(F.col("low")).alias("nid")), "classes")
+        first = some.join(classes.withColumnRenamed("low", "rid"), ["grams_id", "rid"]).select("nid", "bands")
+
+        keys = cut(first.select("nid", F.explode("bands").alias("band")).distinct(), "band-keys")
+        met = keys.groupBy("band").agg(F.min("nid").alias("leader"), F.max("nid").alias("last")).where("leader < last").select("band", "leader")
+        stars = keys.join(met, "band").select("leader", F.col("nid").alias("node"))
+        label = components(stars)
+        discard(keys)
+        n = label.count()
+
+        members = some.select("grams_id", "rid", "n_grams").join(classes.withColumnRenamed("low", "rid"), ["grams_id", "rid"]).distinct()
+        members = members.join(small(label.withColumnRenamed("node", "nid"), n), "nid")
+        sizes = members.groupBy("label").agg(F.count(F.lit(1)).alias("m"), F.sum("n_grams").alias("w"))
+        block = F.greatest(F.lit(BLOCK), F.least(F.lit(MOST_BLOCK), F.floor(F.col("m") / 64)))
+        sizes = sizes.select("label", F.greatest(F.lit(1), F.ceil(F.col("m") / block), F.ceil(F.col("w") / BLOCK_GRAMS)).cast("int").alias("nb"))
+        members = cut(members.join(sizes, "label").select("rid", "nid", "grams_id", "n_texts", "label", "nb", F.pmod(F.xxhash64("nid"), F.col("nb")).cast("int").alias("blk")), "members")
+        near = docs.select("rid", "_text").join(small(members, n), "rid").select("nid", "grams_id", "n_texts", "label", "nb", "blk", "_text").mapInArrow(_gather, "nid bigint, grams_id binary, n_texts bigint, label bigint, nb int, blk int, is_id binary, grams array<bigint>")
+        near = near.where("is_id = grams_id").withColumn("_x", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+        near = near.select("label", F.least("blk", "_x").cast("long").alias("i"), F.greatest("blk", "_x").cast("long").alias("j"), "nid", "blk", "n_texts", "grams_id", "grams")
+        near = near.repartition("label", "i", "j").sortWithinPartitions("label", "i", "j")
+        links = cut(near.mapInArrow(_verify, "leader bigint, node bigint, links bigint"), "links")
+
+        groups = components(links.select("leader", "node"))
+        counts = links.groupBy("node").agg(F.sum("links").alias("links")).join(groups, "node").withColumnRenamed("node", "nid")
+        told = cut(classes.join(counts, "nid", "left").select("grams_id", "low", "n_texts", F.coalesce("label", "nid").alias("group"), "links"), "told")
+        ids = told.where("links is not null").groupBy("group").agg(F.min("low").alias("class_id"))
+        told = keep(cut(told.join(ids, "group", "left").select("grams_id", "low", "n_texts", "group", "links", F.coalesce("class_id", "low").alias("class_id")), "told"))
     out = rows.select("rid", "hash", "grams_id").join(told, "grams_id", "left")
     links = (F.coalesce("links", F.lit(0)) + F.coalesce(F.col("n_texts") - 1, F.lit(0))).cast("long")
     return docs.drop("_text"), out.select("rid", "hash", "group", F.coalesce("class_id", "rid").alias("class_id"), F.coalesce("low", "rid").alias("copy_of"), links.alias("n_links"))

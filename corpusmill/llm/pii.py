@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import aside, cut, discard, joined, match_spans, of_kind, small, table
+from corpusmill.llm.common import aside, cut, joined, match_spans, of_kind, small, table, temporary
 
 #: The known forms. Groups are possessive where nothing follows them, and runs are only entered at their start
 #: (or where the match before ended); this finds the same, needs no stack, and stays linear in long runs.
@@ -107,13 +107,11 @@ def believed(seen: DataFrame) -> DataFrame:
         rated = cut(rated.select("pattern", F.log1p(-F.col("k") / (F.col("n") + SMOOTHING)).alias("doubt")), "pii-rated")
         doubted = edges.where(~F.col("known")).join(small(rated, rated.count()), "pattern").groupBy("instance").agg(F.sum("doubt").alias("doubt"))
         reached.append(cut(doubted.where(1 - F.exp("doubt") >= BELIEVE).select("instance"), "pii-reached"))
-        discard(rated)
         n = reached[-1].count()
         if not n:
             return reduce(DataFrame.union, reached)
         more = small(reached[-1].withColumn("_new", F.lit(True)), n)
         grown = cut(edges.join(more, "instance", "left").select("pattern", "instance", (F.col("known") | F.coalesce("_new", F.lit(False))).alias("known")), "pii-edges")
-        discard(edges)
         edges = grown
 
 
@@ -130,9 +128,10 @@ def find(df: DataFrame, text: str = "text", carry: tuple[str, ...] = ("doc_id",)
     plain = F.transform("_base", lambda s: F.struct(s["start"].alias("start"), s["kidx"].alias("kidx"), s["end"].alias("end")))
     read = cut(read.select(*[f"_c{i}" for i in range(len(carry))], plain.alias("_base"), "_mentions", F.monotonically_increasing_id().alias("_row")), "pii")
     each = read.where(F.size("_mentions") > 0).select("_row", F.explode("_mentions").alias("m")).select("_row", "m.*")
-    new = believed(each.select("instance", "seed", F.explode("patterns").alias("pattern")))
-    found = each.where(~F.col("seed")).join(new, "instance").groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kidx"), "end")).alias("_more"))
-    found = cut(found, "pii-found")
+    with temporary() as keep:
+        new = believed(each.select("instance", "seed", F.explode("patterns").alias("pattern")))
+        found = each.where(~F.col("seed")).join(new, "instance").groupBy("_row").agg(F.collect_list(F.struct("start", F.lit(4).alias("kidx"), "end")).alias("_more"))
+        found = keep(cut(found, "pii-found"))
     whole = read.drop("_mentions").join(small(found, found.count(), 50_000), "_row", "left")  # else texts that are carried move by row
     spans = F.array_sort(F.concat("_base", F.coalesce("_more", F.array().cast("array<struct<start:bigint,kidx:int,end:bigint>>"))))
     return whole.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], spans.alias("spans"))

@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm.common import aside, cut, small, table
+from corpusmill.llm.common import aside, cut, small, table, temporary
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rules of the query: host, path, verdict.
@@ -147,7 +147,8 @@ def filter_urls(df: DataFrame, url: str = "url", rules=RULES, label: str | None
     lex = F.array_join(F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), generalise), "/")
     read = read.select("*", rule.alias("rule"), verdict.alias("ruled"), lex.alias("lex"))
     bad = F.col(name[label]).cast("boolean") if label else F.when(F.col("ruled").isNotNull(), F.col("ruled") == "block")
-    known = cut(tree(read.select("host", "lex", bad.alias("bad"))), "url-tree")
+    with temporary() as keep:
+        known = keep(cut(tree(read.select("host", "lex", bad.alias("bad"))), "url-tree"))
     out = read.join(small(known, known.count()), ["host", "lex"], "left")
     kept = [F.col(name[c]).alias(c) for c in df.columns if c not in new]
     return out.select(*kept, "host", "path", "rule", F.coalesce("ruled", F.when(F.col("reject"), "block").otherwise("allow")).alias("verdict"), "template", "purity", "labelled")

@@ -62,6 +62,67 @@ def test_quality(docs):
     assert not any(r["kept"] and r["base_failed"] for r in got)
 
 
+def brute_votes(t):
+    """The ten rules once more: good, bad or abstaining, as 1, -1, 0."""
+    w, chars = WORD.findall(t), [c for c in t if c not in " \t\n\x0b\x0c\r"]
+    n, lines = len(w), [x for x in t.split("\n") if WORD.search(x)]
+    if not n:
+        return (-1,) + (0,) * 9
+    windows = Counter(tuple(w[i : i + 8]) for i in range(n - 7))
+    hit = {i + j for i in range(n - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(8)}
+    letters = sum(c.isascii() and c.isalpha() or not c.isascii() for c in chars) / len(chars)
+    upper, lower = sum("A" <= c <= "Z" for c in t), sum("a" <= c <= "z" for c in t)
+    cased, symbols, repeats, dups = upper / max(1, upper + lower), sum(map(t.count, "#*$%&|<>")) / n, len(hit) / n, 1 - len(set(lines)) / len(lines)
+    mean, rich, digits = len(chars) / n, len(set(w)) / n**0.5, sum("0" <= c <= "9" for c in chars) / len(chars)
+    ended = sum(x.rstrip(" \t\x0b\x0c\r")[-1] in ".!?…\"'»”)" for x in lines) / len(lines)
+
+    def vote(bad, good):
+        return -1 if bad else int(good)
+
+    return (
+        vote(n < 20, n >= 50), vote(symbols > 0.1, symbols <= 0.02), vote(repeats > 0.3, n >= 50 and repeats < 0.05), vote(dups > 0.5, len(lines) >= 3 and dups <= 0.1), vote(letters < 0.7, letters >= 0.9),
+        vote(cased > 0.4, cased < 0.15), vote(not 2.5 <= mean <= 12, 4 <= mean <= 7), vote(n >= 30 and rich < 3, rich >= 6), vote(len(lines) >= 3 and ended < 0.2, ended >= 0.8), vote(digits > 0.3, digits < 0.05),
+    )
+
+
+def brute_good(votes):
+    """Posterior of being good of each vote pattern, by EM in plain loops: class 0 is good, class k + 1 bad in the way of rule k."""
+    from math import prod
+
+    counts, total, ways = Counter(votes), len(votes), range(11)
+    believed = [[0.02 if c == 0 else 0.9 if c == r + 1 else 0.1 for c in ways] for r in range(10)]
+    prior = [0.85] + [0.015] * 10
+    share, rate = prior, believed
+
+    def posterior(v):
+        like = [share[c] * prod(rate[r][c] if x < 0 else 1 - rate[r][c] for r, x in enumerate(v) if x) for c in ways]
+        return [x / sum(like) for x in like]
+
+    for _ in range(500):
+        soft = {v: posterior(v) for v in counts}
+        new = [[(sum(k * soft[v][c] for v, k in counts.items() if v[r] < 0) + 20 * believed[r][c]) / (sum(k * soft[v][c] for v, k in counts.items() if v[r]) + 20) for c in ways] for r in range(10)]
+        new_share = [(sum(k * soft[v][c] for v, k in counts.items()) + 20 * prior[c]) / (total + 20) for c in ways]
+        moved = max(max(abs(a - b) for a, b in zip(share, new_share)), max(abs(a - b) for x, y in zip(rate, new) for a, b in zip(x, y)))
+        share, rate = new_share, new
+        if moved < 1e-9:
+            break
+    return {v: posterior(v)[0] for v in counts}
+
+
+def test_quality_verdicts_by_brute_force(docs):
+    data = rows(docs)
+    votes = [brute_votes(r["text"] or "") for r in data]
+    good = brute_good(votes) if votes else {}
+    got = Counter((r["doc_id"], r["n_words"], r["word_chars"], r["kept"], round(r["quality"], 4)) for r in rows(quality.score(docs)))
+    want = Counter()
+    for r, v in zip(data, votes, strict=True):
+        w = WORD.findall(r["text"] or "")
+        windows = Counter(tuple(w[i : i + 8]) for i in range(len(w) - 7))
+        repeats = len({i + j for i in range(len(w) - 7) if windows[tuple(w[i : i + 8])] > 1 for j in range(8)})
+        want[r["doc_id"], len(w), sum(map(len, w)), len(w) >= 20 and 100 * repeats <= 30 * len(w) and good[v] >= 0.5, round(good[v], 4)] += 1
+    assert got == want
+
+
 def test_quality_keeps_the_good(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").limit(4000)
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
