@@ -96,8 +96,8 @@ def _search() -> Workflow:
     best = "blend_score >= :min_score ORDER BY round(blend_score, 6) DESC, id LIMIT :top_k"
     names = ", ".join(f"'{x}', {x}_score" for x in ("structure", "lexical", "contextual"))
     s = (
-        Step("tokenize_query", "project", "_query_input", "s_tokens", "query_text, tokenize(query_text) as tokens", {"remove_stopwords": True}, "fail"),
-        Step("expand_query", "project", "s_tokens", "s_expanded", "query_text, tokens, expand_tokens(tokens) as expanded_tokens", {"enable_synonyms": True, "max_expansion": 3}),
+        Step("tokenize_query", "project", "_query_input", "s_tokens", "*, tokenize(query_text) as tokens", {"remove_stopwords": True}, "fail"),
+        Step("expand_query", "project", "s_tokens", "s_expanded", "*, expand_tokens(tokens) as expanded_tokens", {"enable_synonyms": True, "max_expansion": 3}),
         Step("fts_filter", "filter", "corpus.chunks", "s_candidates", None, {"full_text": "corpus.chunk_postings", "query": "s_expanded", "stats": "_text_stats", "max_candidates": 1000}),
         layer("structure", "s_candidates"),
         layer("lexical", "s_structure"),

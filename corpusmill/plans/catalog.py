@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusmill import schemas
+from corpusmill.operators.chunking import RULES
 from corpusmill.operators.search import PRESETS
 from corpusmill.plans.builtin import WORKFLOWS
 from corpusmill.plans.workflow import Step, Workflow
@@ -65,6 +66,21 @@ class Catalog:
         hit = self.tags(spark).where(F.col("tag") == tag).select(F.col("workflow_id").alias("id"))
         return self.workflows(spark).where("status = 'active'").join(hit, "id", "left_semi")
 
+    def parse_rules(self, spark: SparkSession) -> DataFrame:
+        """Kinds of units by how they begin, first match first."""
+        rows = [(f"{kind}_{i}", kind, pattern, "text", kind, len(RULES) - i, True) for i, (kind, pattern) in enumerate(RULES)]
+        return spark.createDataFrame(rows, schemas.TABLES["parse_rules"].ddl)
+
+    def chunking_strategies(self, spark: SparkSession) -> DataFrame:
+        """What the window steps of the workflows declare."""
+        rows = [(w.id, w.name, c.get("strategy", "semantic"), c.get("max_tokens", 512), c.get("min_tokens", 50), c.get("overlap_tokens", 0), "|".join(c.get("boundary_markers", [])) or None, w.status == "active") for w in self.items.values() for s in w.steps if s.operation == "window" for c in [s.config]]
+        return spark.createDataFrame(rows, schemas.TABLES["chunking_strategies"].ddl)
+
+    def vectorization_configs(self, spark: SparkSession) -> DataFrame:
+        """What the vectorize steps of the workflows declare."""
+        rows = [(f"{w.id}/{s.name}", s.name, c["layer"], c.get("dimensions", 256), c.get("algorithm"), c.get("weights"), c.get("model_version", "v1"), w.status == "active") for w in self.items.values() for s in w.steps if s.operation == "vectorize" for c in [s.config]]
+        return spark.createDataFrame(rows, schemas.TABLES["vectorization_configs"].ddl)
+
     def presets(self, spark: SparkSession) -> DataFrame:
         rows = [(k, k, p["weights"], p["top_k"], p["min_score"], False) for k, p in PRESETS.items()]
         return spark.createDataFrame(rows, schemas.TABLES["search_configs"].ddl)

@@ -552,6 +552,22 @@ def _(spark, d):
     return catalog.Catalog().by_tag(spark, "code").select("id")
 
 
+@query("catalog_rules", "SELECT * FROM (VALUES ('heading', 5::BIGINT), ('list_item', 4), ('list_item', 3), ('blockquote', 2), ('code_block', 1)) v(output_type, priority)")
+def _(spark, d):
+    return catalog.Catalog().parse_rules(spark).select("output_type", "priority")
+
+
+@query("catalog_strategies", "SELECT * FROM (VALUES ('pdf_chunking_v1', 50::BIGINT, 512::BIGINT, 50::BIGINT), ('docx_chunking_v1', 30, 512, 30), ('text_chunking_v1', 50, 512, 50)) v(id, min_tokens, max_tokens, overlap_tokens)")
+def _(spark, d):
+    return catalog.Catalog().chunking_strategies(spark).select("id", "min_tokens", "max_tokens", "overlap_tokens")
+
+
+@query("catalog_vectorizations", "SELECT * FROM (VALUES ('structure', 'feature_hash', 7::BIGINT), ('lexical', 'tfidf', 8), ('contextual', 'graph_embed', 1), ('blend', 'blend', 7)) v(layer, algorithm, n)")
+def _(spark, d):
+    v = catalog.Catalog().vectorization_configs(spark).where("id not like 'bash%' and id not like 'sql%' and id not like 'html%'")
+    return v.groupBy("layer", "algorithm").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("catalog_lifecycle", "SELECT * FROM (VALUES ('clone', 'draft', 8::BIGINT), ('activated', 'active', 8), ('deprecated', 'deprecated', 8), ('deleted', 'none', 0)) v(moment, status, steps)")
 def _(spark, d):
     c, out = catalog.Catalog(), []
