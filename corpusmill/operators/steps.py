@@ -248,6 +248,16 @@ def diff(before: DataFrame, after: DataFrame, key: str = "id") -> DataFrame:
     return out.select("rows_before", "rows_after", "rows_lost", "rows_gained", kind.alias("delta_type"), delta_score("rows_before", "rows_after").alias("delta_score"), F.when(F.col("_all") > 0, F.col("_both") / F.nullif(F.col("_all"), F.lit(0))).alias("jaccard_index"))
 
 
+def diff_samples(before: DataFrame, after: DataFrame, key: str = "id", n: int = 5) -> DataFrame:
+    """One row: the n smallest keys that were lost and gained, as JSON arrays of texts."""
+
+    def some(a: DataFrame, b: DataFrame, name: str) -> DataFrame:
+        only = a.select(key).distinct().join(b.select(key), key, "left_anti").orderBy(key).limit(n)
+        return only.agg(F.to_json(F.sort_array(F.collect_list(F.col(key).cast("string")))).alias(name))
+
+    return some(before, after, "sample_lost").join(some(after, before, "sample_gained"))
+
+
 def delta_score(before: str, after: str):
     """1 - after / before; null for an empty source; negative on expansion."""
     return F.when(F.col(before) > 0, 1 - F.col(after).cast("double") / F.nullif(F.col(before), F.lit(0)))

@@ -243,7 +243,7 @@ class _Run:
         s, before = self.wf.steps[i], self.env[self.wf.steps[i].source]
         mark = [F.lit(self.run_id).alias("run_id"), F.lit(i + 1).cast("bigint").alias("step_order")]
         if (s.expects_delta or self.config.debug) and "id" in df.columns and "id" in before.columns:
-            self.deltas.append(steps.diff(before, df, "id").select(mark[0], F.lit(i).cast("bigint").alias("step_from"), F.lit(i + 1).cast("bigint").alias("step_to"), "*"))
+            self.deltas.append(steps.diff(before, df, "id").join(steps.diff_samples(before, df, "id")).select(mark[0], F.lit(i).cast("bigint").alias("step_from"), F.lit(i + 1).cast("bigint").alias("step_to"), "*"))
         if self.config.debug:
             each = metrics.stats(df, approximate=True)
             pick = lambda c: F.map_from_entries(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("column_name", c)))).alias(f"{c}_counts")  # noqa: E731  a row a column

@@ -92,7 +92,7 @@ def _(spark, d):
     return metrics.run_summary(spark.read.parquet(at + "/_run_meta"), spark.read.parquet(at + "/_step_executions")).select("run_id", "status", "total_steps", "completed_steps", "final_rows")
 
 
-@query("run_deltas", f"SELECT 2::BIGINT AS step_from, 3::BIGINT AS step_to, {_N.format(_EN)} AS rows_before, {_N.format(_KEPT)} AS rows_after, {_N.format(_EN)} - {_N.format(_KEPT)} AS rows_lost, 0::BIGINT AS rows_gained, 'reduction' AS delta_type, round(1 - {_N.format(_KEPT)} / {_N.format(_EN)}, 6) AS delta_score, round({_N.format(_KEPT)} / {_N.format(_EN)}, 6) AS jaccard_index")
+@query("run_deltas", f"SELECT 2::BIGINT AS step_from, 3::BIGINT AS step_to, {_N.format(_EN)} AS rows_before, {_N.format(_KEPT)} AS rows_after, {_N.format(_EN)} - {_N.format(_KEPT)} AS rows_lost, 0::BIGINT AS rows_gained, 'reduction' AS delta_type, round(1 - {_N.format(_KEPT)} / {_N.format(_EN)}, 6) AS delta_score, round({_N.format(_KEPT)} / {_N.format(_EN)}, 6) AS jaccard_index, (SELECT '[' || string_agg('\"' || id || '\"', ',' ORDER BY id) || ']' FROM (SELECT doc_id::VARCHAR AS id FROM documents WHERE {_EN} AND NOT ({_KEPT}) ORDER BY 1 LIMIT 5)) AS sample_lost, '[]' AS sample_gained")
 def _(spark, d):
     return spark.read.parquet(_run(spark, d, "deltas") + "/_deltas").drop("run_id").withColumn("delta_score", F.round("delta_score", 6)).withColumn("jaccard_index", F.round("jaccard_index", 6))
 

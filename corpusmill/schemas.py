@@ -63,7 +63,7 @@ TABLES: dict[str, Table] = {
     "config": Table("key string, value string", ("key",)),
     "_run_meta": Table(_RUN + ", input_source string, worker_id string, config string, error string", ("run_id",), ("workflow_id",), {"status": RUN_STATUSES}),
     "_step_executions": Table("run_id string, step_order bigint, step_name string, rows_in bigint, rows_out bigint, duration_ms bigint, delta_score double, output_table string, started_at timestamp, finished_at timestamp", ("run_id", "step_order")),
-    "_deltas": Table("run_id string, step_from bigint, step_to bigint, rows_before bigint, rows_after bigint, rows_lost bigint, rows_gained bigint, delta_type string, delta_score double, jaccard_index double", ("run_id", "step_from", "step_to"), (), {"delta_type": ("reduction", "expansion", "transformation")}),
+    "_deltas": Table("run_id string, step_from bigint, step_to bigint, rows_before bigint, rows_after bigint, rows_lost bigint, rows_gained bigint, delta_type string, delta_score double, jaccard_index double, sample_lost string, sample_gained string", ("run_id", "step_from", "step_to"), (), {"delta_type": ("reduction", "expansion", "transformation")}),
     "_output": Table(_CHUNK + ", source_chain array<string>, confidence double", ("id",), ("content",), {"chunk_type": CHUNK_TYPES}),
     "_errors": Table("run_id string, step_order bigint, error_type string, error_message string, row_id string", ()),
     "_step_samples": Table("run_id string, step_order bigint, sample_type string, row_id string, content string", (), (), {"sample_type": ("first", "last", "random", "outlier")}),
