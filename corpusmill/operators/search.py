@@ -38,9 +38,10 @@ def expand(terms: list[str], synonyms: dict[str, list[str]] | None = None, most:
     return out
 
 
-def index(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """Inverted index (term, id, tf, total). Write it bucketed by term to serve many queries."""
-    return vz.terms(df, key, text)
+def index(df: DataFrame, key: str = "id", text: str = "content", only: list[str] | None = None) -> DataFrame:
+    """Inverted index (term, id, tf, total), or the part of it that one query's terms need. Write it bucketed by term to serve
+    many queries."""
+    return vz.terms(df, key, text, only=only)
 
 
 def match_all(postings: DataFrame, terms: list[str]) -> DataFrame:

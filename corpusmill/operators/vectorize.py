@@ -58,12 +58,13 @@ def runs(items: Column) -> Column:
     return F.when(F.size(items) > 0, vc.bind(F.array_sort(items), cut))
 
 
-def terms(df: DataFrame, key: str = "id", text: str = "content", ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
+def terms(df: DataFrame, key: str = "id", text: str = "content", ngrams: tuple[int, int] = (1, 1), only: list[str] | None = None) -> DataFrame:
     """(id, term, total, tf): counts of tokens and their n-grams, total the number of terms of the text. Each text is one row,
-    so it is counted within its row and nothing is shuffled."""
+    so it is counted within its row and nothing is shuffled. only: the terms that are wanted; others count in total alone."""
     toks = df.select(F.col(key).alias("id"), tx.tokens(F.col(text)).alias("t"))
     every = F.col("t") if ngrams == (1, 1) else F.concat(*[tx.ngrams(F.col("t"), n) for n in range(ngrams[0], ngrams[1] + 1)])
-    each = toks.select("id", every.alias("every")).select("id", F.size("every").cast("bigint").alias("total"), F.explode(runs(F.col("every"))).alias("r"))
+    wanted = F.col("every") if only is None else F.filter("every", lambda t: t.isin(only))
+    each = toks.select("id", every.alias("every")).select("id", F.size("every").cast("bigint").alias("total"), F.explode(runs(wanted)).alias("r"))
     return each.select("id", "r.term", "total", "r.tf")
 
 

@@ -287,7 +287,7 @@ def _(spark, d):
 
 @query("fts_match_all", f"SELECT DISTINCT id FROM {_TERMS} WHERE term = 'the' INTERSECT SELECT id FROM {_TERMS} WHERE term = 'and' INTERSECT SELECT id FROM {_TERMS} WHERE term = 'with'")
 def _(spark, d):
-    return search.match_all(search.index(contents(spark, d)), ["the", "and", "with"])
+    return search.match_all(search.index(contents(spark, d), only=["the", "and", "with"]), ["the", "and", "with"])
 
 
 _BM25 = f"""(SELECT id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * total / mean))) AS score
@@ -299,7 +299,7 @@ FROM (SELECT id, term, tf, total, count(*) OVER (PARTITION BY term) AS df FROM {
 def _(spark, d):
     x = contents(spark, d)
     s = x.select(F.size(tx.tokens(F.col("content"))).alias("n")).agg(F.count(F.lit(1)).alias("n"), F.avg("n").alias("mean")).first()
-    return search.top_k(search.bm25(search.index(x), ["est", "which", "der"], s["n"], s["mean"]), 20).withColumn("score", F.round("score", 6))
+    return search.top_k(search.bm25(search.index(x, only=["est", "which", "der"]), ["est", "which", "der"], s["n"], s["mean"]), 20).withColumn("score", F.round("score", 6))
 
 
 _MARK = "regexp_replace({0}, '(?i)(^|[^\\p{{L}}\\p{{N}}])(the|and)($|[^\\p{{L}}\\p{{N}}])', '\\1ꙮ\\2ꙮ\\3', 'g')"
