@@ -110,3 +110,12 @@ def test_html_blocks(spark):
             want.add((str(r["page_id"]), i, hashlib.sha256("\n".join(lines[a - 1 : b]).encode()).hexdigest()[:32], k, a, b))
     got = queries.QUERIES["extract_html"](spark, SF).select("file_id", "position", "id", "kind", "line_start", "line_end").collect()
     assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
+def test_compaction_where_every_bucket_is_replaced(spark, tmp_path):
+    ids = [*range(-2500, 2500), 2**40, 2**40 + 1, None]
+    spark.createDataFrame([(i,) for i in ids], "doc_id bigint").write.parquet(f"{tmp_path}/labels.parquet")
+    got = queries.QUERIES["corpus_compact"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in got] == [("chunk_relations", len(ids), 1, True)]
+    got = {(r["from_chunk_id"], r["weight"]) for r in queries.QUERIES["corpus_replace"](spark, str(tmp_path)).collect()}
+    assert got == {(None if i is None else str(i), 1.0 if i is not None and i % 5 == 0 else 0.5) for i in ids}
