@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpusmill import queries
 from corpusmill.operators import relations
@@ -119,3 +120,20 @@ def test_compaction_where_every_bucket_is_replaced(spark, tmp_path):
     assert [tuple(r) for r in got] == [("chunk_relations", len(ids), 1, True)]
     got = {(r["from_chunk_id"], r["weight"]) for r in queries.QUERIES["corpus_replace"](spark, str(tmp_path)).collect()}
     assert got == {(None if i is None else str(i), 1.0 if i is not None and i % 5 == 0 else 0.5) for i in ids}
+
+
+def test_references_are_made_once_and_by_all_tasks(spark, monkeypatch):
+    monkeypatch.setattr(relations, "BLOCK", 16, raising=False)
+    monkeypatch.setattr(relations, "TASK_PAIRS", 500, raising=False)
+    rnd = np.random.default_rng(3)
+    some = lambda: " ".join(f"w{i}" for i in rnd.integers(0, 12, 2))
+    texts = [(i, some()) for i in range(300)] + [(i, some()) for i in range(40)] + [(None, "w1"), (7, None)]  # ids come again
+    names = [(int(i), f"w{n}") for i, n in zip(rnd.integers(0, 250, 350), rnd.integers(0, 9, 350))] + [(None, "w1"), (3, None), (4, ""), (5, "other")]
+    want = {(a, b) for a, t in texts for b, n in names if None not in (a, b, t, n) and a != b and n in t.split()}
+    df = relations.references(spark.createDataFrame(texts, "id bigint, content string"), spark.createDataFrame(names, "id bigint, name string"))
+    got = rows(df, "from_chunk_id", "to_chunk_id")
+    assert len(got) == len(want) and set(got) == want and len(want) > 5000
+    shares = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(shares) > 8 and max(shares) < len(got) / 4
+    after = df._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+    assert after.count("Generate") == 2 and "Aggregate" not in after  # pairs aren't shuffled
